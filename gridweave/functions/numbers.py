@@ -22,4 +22,4 @@ def normalize_number_list(col: Column) -> Column:
     Spark sorts NaN above every number, so NaN is taken out by name.
     """
     kept = F.filter(col, lambda x: (x >= 0) & ~F.isnan(x.cast("double")))
-    return F.transform(kept, normalize_number)
+    return F.transform(kept, lambda x: normalize_number(x))

@@ -87,4 +87,4 @@ def normalize_text(col: Column) -> Column:
 
 def normalize_text_list(col: Column) -> Column:
     """:func:`normalize_text` for every non-null entry of an array."""
-    return F.transform(F.filter(col, lambda s: s.isNotNull()), normalize_text)
+    return F.transform(F.filter(col, lambda s: s.isNotNull()), lambda s: normalize_text(s))
