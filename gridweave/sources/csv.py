@@ -24,9 +24,8 @@ BAD_ROWS = ("fail", "skip", "keep")
 # Order of rows in files, for order_by: block start and row id rise along a file.
 FILE_ORDER = ["_file", "_block", "_row"]
 
-_OVERFLOW = "__overflow"
-# A text no file holds, so that empty fields and absent fields stay apart while reading.
-_NO_NULL = "\u0001\u0002null\u0002\u0001"
+# Holds the line of a row whose number of fields is not the header's.
+_UNEVEN = "__uneven"
 # Blocks are rows of five numbers; above this many they are joined by shuffle.
 _BROADCAST_BLOCKS = 200_000
 
@@ -61,15 +60,16 @@ def read_csv(
     header, header_index = _header(lines, sep, ranges)
     schema = T.StructType([T.StructField(c, T.StringType()) for c in header])
     if bad_rows != "keep":
-        schema = schema.add(_OVERFLOW, T.StringType())
-    options = {"sep": sep, "quote": '"', "escape": '"', "nullValue": _NO_NULL, "mode": "PERMISSIVE"}
+        schema = schema.add(_UNEVEN, T.StringType())
+    options = {"sep": sep, "quote": '"', "escape": '"', "mode": "PERMISSIVE", "columnNameOfCorruptRecord": _UNEVEN}
     order = [
         F.col("_metadata.file_path").alias("_file"),
         F.col("_metadata.file_block_start").alias("_block"),
         F.monotonically_increasing_id().alias("_row"),
     ]
     if header_index == 0 and not ranges:
-        reader = spark.read.schema(schema).options(header=True, **options)
+        # A pruned parse cannot tell how many fields a row has.
+        reader = spark.read.schema(schema).options(header=True, columnPruning=bad_rows == "keep", **options)
         if glob:
             reader = reader.option("pathGlobFilter", glob)
         rows = _named(reader.csv(path), file_pattern)
@@ -82,7 +82,7 @@ def read_csv(
         # move in front of the line filter and see skipped lines.
         parsed = F.inline(F.array(F.from_csv(F.col("value"), _ddl(schema), options)))
         rows = numbered.where(wanted).select(parsed, *(FILE_ORDER if with_order else []))
-    rows = _judge(rows, bad_rows, len(header))
+    rows = _judge(rows, bad_rows, header, sep)
     values = [_without_na(quoted(c), na_tokens).alias(c) for c in header]
     rows = rows.select(*values, *(FILE_ORDER if with_order else []))
     return cast_inferred(rows) if infer_types else rows
@@ -181,14 +181,19 @@ def _with_line_index(lines: DataFrame) -> DataFrame:
     return numbered.select("_file", "_block", "_row", line.alias("line"), "value")
 
 
-def _judge(rows: DataFrame, bad_rows: str, width: int) -> DataFrame:
+def _judge(rows: DataFrame, bad_rows: str, header: Sequence[str], sep: str) -> DataFrame:
     if bad_rows == "keep":
         return rows
-    fits = F.col(_OVERFLOW).isNull()
+    # Only uneven lines are looked at again: separators are counted outside of quotes.
+    bare = F.regexp_replace(_UNEVEN, '"[^"]*"', "")
+    fields = F.length(bare) - F.length(F.replace(bare, F.lit(sep), F.lit(""))) + 1
+    fits = F.col(_UNEVEN).isNull() | (fields <= len(header))
+    # Spark refuses a scan of the line column alone, as a plain count would ask for.
+    read = F.coalesce(F.length(quoted(header[0])), F.lit(0)) >= 0
     if bad_rows == "skip":
-        return rows.where(fits)
-    message = F.lit(f"a row has more than {width} fields; bad_rows='skip' leaves such rows out")
-    return rows.where(F.when(fits, F.lit(True)).otherwise(F.raise_error(message).cast("boolean")))
+        return rows.where(read & fits)
+    message = F.lit(f"a row has more than {len(header)} fields; bad_rows='skip' leaves such rows out")
+    return rows.where(read & F.when(fits, F.lit(True)).otherwise(F.raise_error(message).cast("boolean")))
 
 
 def _without_na(col: Column, tokens: Sequence[str]) -> Column:
