@@ -29,33 +29,28 @@ def fold_nan(col: Column, dtype: T.DataType) -> Column:
 
 
 def _float_text(col: Column) -> Column:
-    # The JVM shows an exponent below 1e-3 and from 1e7 on, Python below 1e-4 and from
-    # 1e16 on. Where the JVM shows one, its digits are laid out again; none is computed.
-    # (JVMs before 19 show one digit too many for some values, mostly from 1e16 on.)
-    shown = col.cast("string")
-    size = F.abs(col).cast("string")
-    sign = F.when(col < 0, "-").otherwise("")
-    mantissa = F.substring_index(size, "E", 1)
-    digits = F.when(mantissa.endswith(".0"), F.substring(mantissa, 1, 1)).otherwise(
-        F.replace(mantissa, F.lit("."), F.lit(""))
-    )
-    exponent = F.substring_index(size, "E", -1).try_cast("int")
-    whole = F.rpad(F.substring(digits, F.lit(1), exponent + 1), exponent + 1, F.lit("0"))
-    rest = F.substring(digits, exponent + 2, F.lit(20))
-    wide = F.concat(sign, whole, F.lit("."), F.when(rest == "", "0").otherwise(rest))
-    power = F.abs(exponent).cast("string")
-    scientific = F.concat(
-        sign,
-        F.substring(digits, 1, 1),
-        F.when(F.length(digits) > 1, F.concat(F.lit("."), F.substring(digits, 2, 20))).otherwise(""),
-        F.when(exponent < 0, "e-").otherwise("e+"),
-        F.when(F.length(power) < 2, F.concat(F.lit("0"), power)).otherwise(power),
-    )
+    # Within these bounds the JVM and Python write a number alike. The rare rest stands
+    # in a lambda, which stays out of the generated code: with it inlined, a handful of
+    # columns make a method too large for the JVM to compile.
+    size = F.abs(col)
+    rest = F.transform(F.array(col), _rare_float_text)
+    alike = ((size >= 1e-3) & (size < 1e7)) | (size == 0)
+    return F.when(alike, col.cast("string")).otherwise(F.get(rest, F.lit(0)))
+
+
+def _rare_float_text(x: Column) -> Column:
+    """Python has a plain number from 1e-4 to 1e16, and 1e-05, 1.5e+20 outside.
+
+    (JVMs before 19 show one digit too many for some values, mostly from 1e16 on.)
+    """
+    size = F.abs(x)
+    plain = F.rtrim(x.cast("string").cast("decimal(38,20)").cast("string"), F.lit("0"))
+    signed = F.replace(F.regexp_replace(x.cast("string"), r"(\.0)?E(\d)", "e+$2"), F.lit("E"), F.lit("e"))
+    scientific = F.regexp_replace(F.replace(signed, F.lit(".0e"), F.lit("e")), r"([+-])(\d)$", "$10$2")
     return (
-        F.when(F.isnan(col), F.lit(None).cast("string"))
-        .when(~shown.contains("E"), F.when(shown.endswith("y"), F.concat(sign, F.lit("inf"))).otherwise(shown))
-        .when((exponent >= 0) & (exponent < 16), wide)
-        .when(exponent == -4, F.concat(sign, F.lit("0.000"), digits))
+        F.when((size >= 1e-4) & (size < 1e16), F.regexp_replace(plain, r"\.$", ".0"))
+        .when(F.isnan(x), F.lit(None).cast("string"))
+        .when(size == float("inf"), F.when(x > 0, "inf").otherwise("-inf"))
         .otherwise(scientific)
     )
 

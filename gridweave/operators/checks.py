@@ -16,7 +16,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from gridweave.functions.dates import parse_date_text
-from gridweave.functions.text import PY_FLAGS, PY_SPACE, column_type, fold_nan, py_str, quoted
+from gridweave.functions.text import PY_FLAGS, PY_SPACE, column_type, fold_nan, quoted
+from gridweave.operators.sampling import unpivot_text
 
 # Texts that read as a truth value.
 TRUTH_WORDS = ["true", "false", "1", "0", "yes", "no"]
@@ -41,15 +42,33 @@ def as_number(col: Column, dtype: T.DataType) -> Column:
     return fold_nan(col.cast("double"), T.DoubleType())
 
 
+@dataclass(frozen=True)
+class Kinds:
+    """Which columns hold texts, numbers and moments, as tests on ``column_name``."""
+
+    text: Column
+    number: Column
+    moment: Column
+
+    @staticmethod
+    def of(df: DataFrame, columns: Sequence[str]) -> Kinds:
+        kinds = {c: kind_of(column_type(df, c)) for c in columns}
+
+        def test(kind: str) -> Column:
+            named = [c for c in columns if kinds[c] == kind]
+            return F.lit(len(named) > 0) if len(named) in (0, len(columns)) else F.col("column_name").isin(named)
+
+        return Kinds(test(TEXT), test(NUMBER), test(MOMENT))
+
+
 class Cells:
-    """Cells of a column, one row each: the texts shown, their kind, and the number form."""
+    """Cells of a column, one row each, with the text they show."""
 
-    def __init__(self, shown: Column, kind: Column, number: Column):
+    def __init__(self, shown: Column, kinds: Kinds):
         self.shown = shown
-        self.text = F.when(kind == TEXT, shown)
-        self.number = F.when(kind == NUMBER, number)
-        self.is_number = (kind == NUMBER) & shown.isNotNull()
-        self.is_moment = (kind == MOMENT) & shown.isNotNull()
+        self.text = F.when(kinds.text, shown)
+        self.is_number = kinds.number & shown.isNotNull()
+        self.is_moment = kinds.moment & shown.isNotNull()
 
     def count(self, test: Column | None = None) -> Column:
         return F.count(F.lit(1)) if test is None else F.count_if(test)
@@ -58,9 +77,6 @@ class Cells:
         """Distinct values; null counts as one."""
         return F.count_distinct(self.shown) + F.coalesce(F.max(self.shown.isNull().cast("bigint")), F.lit(0))
 
-    def number_variance(self) -> Column:
-        return F.var_pop(self.number)
-
     def length_variance(self) -> Column:
         return F.var_pop(F.length(self.text))
 
@@ -68,10 +84,9 @@ class Cells:
 class CountedCells(Cells):
     """Distinct cells of a column with their counts."""
 
-    def __init__(self, shown: Column, kind: Column, copies: Column, number_variance: Column):
-        super().__init__(shown, kind, F.lit(None).cast("double"))
+    def __init__(self, shown: Column, kinds: Kinds, copies: Column):
+        super().__init__(shown, kinds)
         self.copies = copies
-        self._number_variance = number_variance
 
     def count(self, test: Column | None = None) -> Column:
         counted = self.copies if test is None else F.when(test, self.copies)
@@ -80,10 +95,6 @@ class CountedCells(Cells):
     def distinct(self) -> Column:
         return F.count(F.lit(1))
 
-    def number_variance(self) -> Column:
-        # Known before: sums over distinct values would lose digits.
-        return F.max(self._number_variance)
-
     def length_variance(self) -> Column:
         length = F.length(self.text).cast("double")
         copies = F.sum(F.when(self.text.isNotNull(), self.copies)).cast("double")
@@ -103,7 +114,6 @@ BASE_MEASURES: dict[str, Measure] = {
     "present": lambda c: c.count(c.shown.isNotNull()),
     "distinct": lambda c: c.distinct(),
     "length_variance": lambda c: c.length_variance(),
-    "number_variance": lambda c: c.number_variance(),
     "digit_texts": lambda c: c.count(c.text.rlike(f"{PY_FLAGS}^{PY_SPACE}*\\d+{PY_SPACE}*\\z")),
 }
 
@@ -117,6 +127,7 @@ class Check:
     score: Callable[[Measured], Column]
     applies: Callable[[Measured], Column] = field(default=lambda m: m("total") > 0)
     measures: dict[str, Measure] = field(default_factory=dict)
+    of_numbers: bool = False
 
     def weighted(self, m: Measured) -> Column:
         return self.score(m) * F.lit(float(self.weight))
@@ -157,6 +168,7 @@ def variance_check(low: float = 0.0, high: float = math.inf, weight: float = 1.0
         "variance_check",
         weight,
         lambda m: F.when(m("number_variance").between(float(low), float(high)), 1.0).otherwise(0.0),
+        of_numbers=True,
     )
 
 
@@ -230,44 +242,54 @@ def alpha_check(weight: float = 1.0) -> Check:
 
 
 def column_cells(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """``(column_name, kind, shown, number)`` for every cell of the columns."""
-    cells = []
-    for c in columns:
-        dtype = column_type(df, c)
-        kind = kind_of(dtype)
-        shown = py_str(fold_nan(quoted(c), dtype), dtype)
-        number = as_number(quoted(c), dtype) if kind == NUMBER else F.lit(None).cast("double")
-        cells.append(
-            F.struct(
-                F.lit(c).alias("column_name"),
-                F.lit(kind).alias("kind"),
-                shown.alias("shown"),
-                number.alias("number"),
-            )
-        )
-    return df.select(F.inline(F.array(*cells)))
+    """``(column_name, shown)`` for every cell of the columns; NaN shows as null."""
+    return unpivot_text(df, columns, value="shown")
 
 
-def needed_measures(checks: Sequence[Check], cells: Cells) -> dict[str, Column]:
+def number_variances(df: DataFrame, columns: Sequence[str]) -> DataFrame | None:
+    """``(number_column, number_variance)`` per column of numbers; None when there is none.
+
+    Variance is taken from the typed values in one pass without a shuffle of cells: sums
+    of squares over texts or counted values would lose digits.
+    """
+    numbers = [(c, column_type(df, c)) for c in columns if kind_of(column_type(df, c)) == NUMBER]
+    if not numbers:
+        return None
+    wide = df.agg(*[F.var_pop(as_number(quoted(c), t)).alias(f"v{i}") for i, (c, t) in enumerate(numbers)])
+    lines = [
+        F.struct(F.lit(c).alias("number_column"), F.col(f"v{i}").alias("number_variance"))
+        for i, (c, _) in enumerate(numbers)
+    ]
+    return wide.select(F.inline(F.array(*lines)))
+
+
+def measured_columns(
+    df: DataFrame, columns: Sequence[str], checks: Sequence[Check], rows: DataFrame, cells: Cells
+) -> tuple[DataFrame, Measured]:
+    """One row per column with every measure the checks need; the second part names them."""
     wanted = {**BASE_MEASURES}
     for check in checks:
         wanted.update(check.measures)
-    return {name: measure(cells) for name, measure in wanted.items()}
+    aliases = {name: f"m{i}" for i, name in enumerate(wanted)}
+    measured = rows.groupBy("column_name").agg(*[measure(cells).alias(aliases[n]) for n, measure in wanted.items()])
+    found = {name: F.col(alias) for name, alias in aliases.items()}
+    found["number_variance"] = F.lit(None).cast("double")
+    variances = number_variances(df, columns) if any(c.of_numbers for c in checks) else None
+    if variances is not None:
+        # One row per column of the table.
+        measured = measured.join(F.broadcast(variances), F.col("column_name") == F.col("number_column"), "left")
+        found["number_variance"] = F.col("number_variance")
+    return measured, found.__getitem__
 
 
 def run_checks(df: DataFrame, columns: Sequence[str], checks: Sequence[Check]) -> DataFrame:
     """``(column_name, check_name, applies, score)`` for every column and check, in one job.
 
-    Only the measures the checks use are computed: aggregates that no score refers to
-    are pruned, so a run without a uniqueness check shuffles one row per column and task.
+    Aggregates that no score refers to are pruned, so a run without a uniqueness check
+    shuffles one row per column and task.
     """
-    cells = column_cells(df, columns)
-    raw = Cells(F.col("shown"), F.col("kind"), F.col("number"))
-    columns_by_name = needed_measures(checks, raw)
-    aliases = {name: f"m{i}" for i, name in enumerate(columns_by_name)}
-    measured = cells.groupBy("column_name").agg(*[c.alias(aliases[n]) for n, c in columns_by_name.items()])
-
-    m = {name: F.col(alias) for name, alias in aliases.items()}.__getitem__
+    cells = Cells(F.col("shown"), Kinds.of(df, columns))
+    measured, m = measured_columns(df, columns, checks, column_cells(df, columns), cells)
     lines = [
         F.struct(
             F.lit(check.name).alias("check_name"),
@@ -277,4 +299,3 @@ def run_checks(df: DataFrame, columns: Sequence[str], checks: Sequence[Check]) -
         for check in checks
     ]
     return measured.select("column_name", F.inline(F.array(*lines)))
-

@@ -14,8 +14,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gridweave.functions.numbers import normalize_number
-from gridweave.functions.text import PY_FLAGS, column_type, quoted
-from gridweave.operators.checks import NUMBER, Check, CountedCells, as_number, column_cells, kind_of, needed_measures
+from gridweave.functions.text import PY_FLAGS, quoted
+from gridweave.operators.checks import Check, CountedCells, Kinds, column_cells, measured_columns
 from gridweave.operators.detectors import DETECTORS, Detector, lineage
 from gridweave.operators.positions import head
 from gridweave.operators.sampling import unpivot_text
@@ -46,25 +46,6 @@ def _sampled(df: DataFrame, sample: int | None, order_by: str | Sequence[str] |
     return head(df, sample, order_by)
 
 
-def measure_columns(df: DataFrame, columns: Sequence[str], detectors: Sequence[Detector]) -> tuple[DataFrame, dict]:
-    """One row per column with every measure the detectors need, and the measures' column names."""
-    counted = column_cells(df, columns).groupBy("column_name", "kind", "shown").agg(F.count(F.lit(1)).alias("copies"))
-    numbers = [c for c in columns if kind_of(column_type(df, c)) == NUMBER]
-    spread = F.lit(None).cast("double")
-    if numbers:
-        # Variance needs the values, not their counts: one row per task, no shuffle of cells.
-        wide = df.agg(*[F.var_pop(as_number(quoted(c), column_type(df, c))).alias(f"v{i}") for i, c in enumerate(numbers)])
-        lines = [F.struct(F.lit(c).alias("__of"), F.col(f"v{i}").alias("__spread")) for i, c in enumerate(numbers)]
-        spreads = wide.select(F.inline(F.array(*lines)))
-        counted = counted.join(F.broadcast(spreads), F.col("column_name") == F.col("__of"), "left")
-        spread = F.col("__spread")
-    cells = CountedCells(F.col("shown"), F.col("kind"), F.col("copies"), spread)
-    measures = needed_measures([c for d in detectors for c in d.checks], cells)
-    aliases = {name: f"m{i}" for i, name in enumerate(measures)}
-    measured = counted.groupBy("column_name").agg(*[c.alias(aliases[n]) for n, c in measures.items()])
-    return measured, aliases
-
-
 def _spec(detectors: Sequence[Detector], checks: Sequence[Check]) -> Column:
     """The detectors as a constant array, their checks as positions in ``checks``."""
     at = {d.name: i for i, d in enumerate(detectors)}
@@ -106,15 +87,14 @@ def classify(
     """
     chosen = list(columns or df.columns)
     rows = _sampled(df, sample, order_by).select(*[quoted(c) for c in chosen])
-    measured, aliases = measure_columns(rows, chosen, detectors)
-
-    m = {name: F.col(alias) for name, alias in aliases.items()}.__getitem__
-
+    checks = list(dict.fromkeys(c for d in detectors for c in d.checks))
+    counted = column_cells(rows, chosen).groupBy("column_name", "shown").agg(F.count(F.lit(1)).alias("copies"))
+    cells = CountedCells(F.col("shown"), Kinds.of(rows, chosen), F.col("copies"))
+    measured, m = measured_columns(rows, chosen, checks, counted, cells)
     # One row per column and detector of metadata: bounded by the schema, not by the data.
     boosts = df.sparkSession.createDataFrame(
         [(c, [name_boost(c, d) for d in detectors]) for c in chosen], "__column string, __boosts array<double>"
     )
-    checks = list(dict.fromkeys(c for d in detectors for c in d.checks))
     spec = _spec(detectors, checks)
     results = [
         F.struct(F.lit(c.name).alias("name"), c.applies(m).alias("applies"), c.weighted(m).alias("weighted"))

@@ -82,18 +82,14 @@ def distinct_values(df: DataFrame, key: str, columns: Sequence[str], order_by: s
     form is whole at any group size.
     """
     others = [c for c in dict.fromkeys(columns) if c != key]
-    cells = F.array(
-        *[
-            F.struct(F.lit(c).alias("column_name"), F.nullif(column_text(df, c), F.lit("")).alias("value"))
-            for c in others
-        ]
-    )
-    return (
-        with_key(df, key)
-        .select(quoted(key), order_value(order_by).alias("__order"), F.inline(cells))
-        .groupBy(quoted(key), "column_name", "value")
-        .agg(F.min("__order").alias("first_seen"))
+    blanked = with_key(df, key).select(
+        quoted(key).alias("__key"),
+        order_value(order_by).alias("__order"),
+        *[F.nullif(column_text(df, c), F.lit("")).alias(c) for c in others],
     )
+    values = blanked.unpivot(["__key", "__order"], [quoted(c) for c in others], "column_name", "value")
+    grouped = values.groupBy("__key", "column_name", "value").agg(F.min("__order").alias("first_seen"))
+    return grouped.withColumnRenamed("__key", key)
 
 
 def merge_values(

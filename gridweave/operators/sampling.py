@@ -7,7 +7,7 @@ from collections.abc import Iterable, Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridweave.functions.text import column_text
+from gridweave.functions.text import column_text, quoted
 from gridweave.operators.mapping import SlotLike, apply_mapping
 from gridweave.operators.positions import INDEX, head, with_row_index
 
@@ -15,10 +15,15 @@ PREVIEW_ROWS = 5
 SAMPLE_CHUNK = 1_000
 
 
-def unpivot_text(df: DataFrame, columns: Sequence[str], keep: Sequence[str] = ()) -> DataFrame:
+def unpivot_text(df: DataFrame, columns: Sequence[str], keep: Sequence[str] = (), value: str = "value") -> DataFrame:
     """Rows ``(*keep, column_name, value)`` with every value as text."""
-    cells = [F.struct(F.lit(c).alias("column_name"), column_text(df, c).alias("value")) for c in columns]
-    return df.select(*keep, F.inline(F.array(*cells)))
+    texts = df.select(
+        *[quoted(k).alias(f"__keep{i}") for i, k in enumerate(keep)],
+        *[column_text(df, c).alias(c) for c in columns],
+    )
+    kept = [F.col(f"__keep{i}") for i in range(len(keep))]
+    rows = texts.unpivot(kept, [quoted(c) for c in columns], "column_name", value)
+    return rows.withColumnsRenamed({f"__keep{i}": k for i, k in enumerate(keep)}) if keep else rows
 
 
 def column_sample(

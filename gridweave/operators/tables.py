@@ -39,23 +39,29 @@ def validate_columns(columns: Sequence[str | None]) -> None:
         raise ValueError(f"repeated column names: {repeated}")
 
 
-def _holds(col: Column, pattern: str) -> Column:
-    return F.bool_and(F.when(col.isNotNull(), col.rlike(pattern)))
+# One bit per class of text; a column's classes are the bits of its values, or-ed.
+_IS_INTEGER, _IS_DECIMAL, _IS_TRUTH, _IS_TEXT = 1, 2, 4, 8
+
+
+def _text_class(col: Column) -> Column:
+    whole = F.when(col.try_cast("bigint").isNotNull(), _IS_INTEGER).otherwise(_IS_TEXT)
+    return (
+        F.when(col.isNull(), F.lit(None).cast("int"))
+        .when(col.rlike(_INTEGER_TEXT), whole)
+        .when(col.rlike(_DECIMAL_TEXT), _IS_DECIMAL)
+        .when(col.isin(_TRUTH_WORDS), _IS_TRUTH)
+        .otherwise(_IS_TEXT)
+    )
 
 
-def _reported_type(df: DataFrame, name: str) -> Column:
-    dtype = column_type(df, name)
-    gaps = F.count(F.lit(1)) > F.count(quoted(name))
+def _reported_type(dtype: T.DataType, rows: Column, present: Column, classes: Column) -> Column:
+    gaps = rows > present
     if isinstance(dtype, T.StringType):
-        col = quoted(name)
-        big = F.count_if(col.try_cast("bigint").isNull() & col.isNotNull()) > 0
-        whole = F.when(gaps, DECIMAL).when(big, TEXT).otherwise(INTEGER)
         return (
-            F.when(F.count(F.lit(1)) == 0, TEXT)
-            .when(F.count(col) == 0, DECIMAL)
-            .when(_holds(col, _INTEGER_TEXT), whole)
-            .when(_holds(col, _DECIMAL_TEXT), DECIMAL)
-            .when(F.bool_and(col.isin(_TRUTH_WORDS)) & ~gaps, TRUTH)
+            F.when(rows == 0, TEXT)
+            .when((present == 0) | (classes == _IS_DECIMAL) | (classes == _IS_DECIMAL + _IS_INTEGER), DECIMAL)
+            .when(classes == _IS_INTEGER, F.when(gaps, DECIMAL).otherwise(INTEGER))
+            .when((classes == _IS_TRUTH) & ~gaps, TRUTH)
             .otherwise(TEXT)
         )
     if isinstance(dtype, T.IntegralType):
@@ -75,14 +81,24 @@ def schema_report(df: DataFrame, columns: Sequence[str] | None = None) -> DataFr
     Text columns are judged by all their values, in one aggregate over all columns.
     """
     chosen = list(columns or df.columns)
-    found = df.agg(*[_reported_type(df, c).alias(f"t{i}") for i, c in enumerate(chosen)])
-    lines = F.array(
-        *[
-            F.struct(F.lit(i).alias("position"), F.lit(c).alias("column_name"), F.col(f"t{i}").alias("dtype"))
-            for i, c in enumerate(chosen)
-        ]
-    )
-    return found.select(F.inline(lines))
+    types = [column_type(df, c) for c in chosen]
+    found = []
+    for i, (c, dtype) in enumerate(zip(chosen, types, strict=True)):
+        found.append(F.count(quoted(c)).alias(f"present{i}"))
+        if isinstance(dtype, T.StringType):
+            found.append(F.bit_or(_text_class(quoted(c))).alias(f"classes{i}"))
+        else:
+            found.append(F.lit(0).alias(f"classes{i}"))
+    totals = df.agg(F.count(F.lit(1)).alias("rows"), *found)
+    lines = [
+        F.struct(
+            F.lit(i).alias("position"),
+            F.lit(c).alias("column_name"),
+            _reported_type(t, F.col("rows"), F.col(f"present{i}"), F.col(f"classes{i}")).alias("dtype"),
+        )
+        for i, (c, t) in enumerate(zip(chosen, types, strict=True))
+    ]
+    return totals.select(F.inline(F.array(*lines)))
 
 
 def infer_types(df: DataFrame) -> DataFrame:
