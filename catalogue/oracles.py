@@ -163,6 +163,7 @@ ORACLES["scan_csv_bad_rows"] = """
 ORACLES["scan_csv_missing_values"] = """
     SELECT CAST(o_orderkey AS VARCHAR) AS o_orderkey, CASE WHEN o_orderstatus = 'F' THEN 'none' END AS word,
            ',"quoted"' AS marks FROM orders"""
+ORACLES["scan_csv_multi_line"] = "SELECT CAST(doc_id AS VARCHAR) AS doc_id, lang, text FROM documents"
 ORACLES["scan_directory"] = ORACLES["scan_csv"]
 ORACLES["roundtrip_csv"] = ORACLES["scan_csv"]
 ORACLES["reshape_job"] = """
@@ -200,7 +201,7 @@ def _check(name: str, source: str, columns: dict[str, str], score: str, applies:
 
 
 ORACLES["check_match_ratio"] = """
-    SELECT lang, avg(CASE WHEN n_chars > 1000 THEN 1.0 ELSE 0.0 END) AS ratio FROM documents GROUP BY lang"""
+    SELECT lang, round(avg(CASE WHEN n_chars > 1000 THEN 1.0 ELSE 0.0 END), 6) AS ratio FROM documents GROUP BY lang"""
 ORACLES["check_string"] = _check(
     "string_check",
     "customer",
@@ -276,6 +277,13 @@ ORACLES["check_custom"] = _check(
     _share(f"{_TEXT} AND shown = upper(shown)"),
 )
 
+ORACLES["check_list_function"] = " UNION ALL ".join(
+    f"SELECT '{c}' AS column_name, 'repeats' AS check_name, "
+    f"round(1 - count(DISTINCT {c}) / CAST(count(*) AS DOUBLE), 6) AS score "
+    "FROM (SELECT * FROM customer ORDER BY c_custkey LIMIT 100)"
+    for c in ("c_nationkey", "c_mktsegment")
+)
+
 # Classification. Each type: parent, gate, keywords and its checks as (score, applies).
 
 

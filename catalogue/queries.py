@@ -415,6 +415,14 @@ def scan_csv_missing_values(spark, sf_dir):
     return sources.read_csv(spark, path)
 
 
+@query
+def scan_csv_multi_line(spark, sf_dir):
+    """Whole documents, line breaks and quotes and all, through CSV."""
+    path = fresh_path(spark, "documents") + ".csv"
+    sources.write_table(op.text_columns(table(spark, sf_dir, "documents").select("doc_id", "lang", "text")), path)
+    return sources.read_csv(spark, path, multi_line=True, na_tokens=[])
+
+
 @query
 def scan_directory(spark, sf_dir):
     """A folder that holds other files as well."""
@@ -455,7 +463,9 @@ def reshape_job(spark, sf_dir):
 @query
 def check_match_ratio(spark, sf_dir):
     documents = table(spark, sf_dir, "documents")
-    return documents.groupBy("lang").agg(op.match_ratio(F.col("n_chars") > 1000).alias("ratio"))
+    return documents.groupBy("lang").agg(op.match_ratio(F.col("n_chars") > 1000).alias("ratio")).withColumn(
+        "ratio", F.round("ratio", 6)
+    )
 
 
 def _rounded(checked: DataFrame) -> DataFrame:
@@ -537,6 +547,19 @@ def check_custom(spark, sf_dir):
     return _rounded(op.run_checks(table(spark, sf_dir, "customer"), ["c_name", "c_mktsegment"], [shout]))
 
 
+@query
+def check_list_function(spark, sf_dir):
+    """A check of one's own over a list of values, judged by the first 100 rows."""
+    customer = table(spark, sf_dir, "customer")
+
+    def repeats(values):
+        return 1 - len(set(values)) / len(values)
+
+    return _rounded(
+        op.run_list_check(customer, ["c_nationkey", "c_mktsegment"], "repeats", repeats, "c_custkey", weight=1.0)
+    )
+
+
 # Classification
 
 

@@ -11,12 +11,14 @@ import math
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass, field
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from gridweave.functions.dates import parse_date_text
 from gridweave.functions.text import PY_FLAGS, PY_SPACE, column_type, fold_nan, quoted
+from gridweave.operators.positions import HEAD_LIMIT, INDEX, head
 from gridweave.operators.sampling import unpivot_text
 
 # Texts that read as a truth value.
@@ -299,3 +301,31 @@ def run_checks(df: DataFrame, columns: Sequence[str], checks: Sequence[Check]) -
         for check in checks
     ]
     return measured.select("column_name", F.inline(F.array(*lines)))
+
+
+def run_list_check(
+    df: DataFrame,
+    columns: Sequence[str],
+    name: str,
+    score: Callable[[list[str | None]], float],
+    order_by: str | Sequence[str],
+    *,
+    weight: float = 0.5,
+    sample: int = 100,
+) -> DataFrame:
+    """``(column_name, check_name, score)`` of a Python function over a list of values.
+
+    The way out for a rule that no expression can state. The function sees the texts of
+    the first ``sample`` rows, so a list is never longer than that; each column is
+    scored in its own group.
+    """
+    if not 0 < sample <= HEAD_LIMIT:
+        raise ValueError(f"a list check takes a sample of 1 to {HEAD_LIMIT} rows")
+
+    def judge(cells: pd.DataFrame) -> pd.DataFrame:
+        ordered = cells.sort_values(INDEX)
+        values = [None if pd.isna(v) else v for v in ordered["value"]]
+        return pd.DataFrame([(ordered["column_name"].iloc[0], name, float(score(values)) * weight)])
+
+    cells = unpivot_text(head(df, sample, order_by), columns, [INDEX])
+    return cells.groupBy("column_name").applyInPandas(judge, "column_name string, check_name string, score double")

@@ -42,20 +42,24 @@ def read_csv(
     with_order: bool = False,
     file_pattern: str | None = None,
     glob: str | None = None,
+    multi_line: bool = False,
 ) -> DataFrame:
     """Rows of one or more CSV files; the first row not skipped is each file's header.
 
     Columns are text unless ``infer_types``. Short rows are padded with nulls; rows with
     more fields than the header raise, are left out (``bad_rows="skip"``), or lose the
     extra fields (``"keep"``). ``with_order`` adds the ``FILE_ORDER`` columns.
-    ``file_pattern`` keeps files whose name matches a regex anywhere. The files of one
-    scan share one layout, read off the first of them.
+    ``file_pattern`` keeps files whose name matches a regex anywhere. ``multi_line`` reads
+    quoted line breaks, at the price of one task per file. The files of one scan share
+    one layout, read off the first of them.
     """
     if bad_rows not in BAD_ROWS:
         raise ValueError(f"bad_rows is one of {BAD_ROWS}, not {bad_rows!r}")
-    if sep not in (",", "\t", ";", "|") and len(sep) != 1:
+    if len(sep) != 1:
         raise ValueError("the separator is one character")
     ranges = as_ranges(skip)
+    if multi_line and ranges:
+        raise ValueError("rows are skipped by line, so not in files whose rows span lines")
     lines = _lines(spark, path, glob, file_pattern)
     header, header_index = _header(lines, sep, ranges)
     schema = T.StructType([T.StructField(c, T.StringType()) for c in header])
@@ -69,7 +73,8 @@ def read_csv(
     ]
     if header_index == 0 and not ranges:
         # A pruned parse cannot tell how many fields a row has.
-        reader = spark.read.schema(schema).options(header=True, columnPruning=bad_rows == "keep", **options)
+        whole = bad_rows != "keep"
+        reader = spark.read.schema(schema).options(header=True, columnPruning=not whole, multiLine=multi_line, **options)
         if glob:
             reader = reader.option("pathGlobFilter", glob)
         rows = _named(reader.csv(path), file_pattern)
@@ -100,19 +105,19 @@ def csv_header(
 
 
 def header_names(line: str, sep: str = ",") -> list[str]:
-    """Names off a header line: empty ones become ``Unnamed: i``, repeats ``a.1``, ``a.2``."""
-    cells = next(csv_text.reader([line.lstrip("﻿")], delimiter=sep))
+    """Column names off a header line."""
+    return unique_names(next(csv_text.reader([line.lstrip("\ufeff")], delimiter=sep)))
+
+
+def unique_names(cells: Sequence[str | None]) -> list[str]:
+    """Header cells as names: empty ones become ``Unnamed: i``, repeats ``a.1``, ``a.2``."""
     names: list[str] = []
-    taken = set(cells)
-    repeats: dict[str, int] = {}
     for i, cell in enumerate(cells):
-        name = cell or f"Unnamed: {i}"
-        if name in names:
-            count = repeats.get(name, 0) + 1
-            while f"{name}.{count}" in taken or f"{name}.{count}" in names:
-                count += 1
-            repeats[name] = count
-            name = f"{name}.{count}"
+        name = base = cell or f"Unnamed: {i}"
+        count = 0
+        while name in names or (count and name in cells):
+            count += 1
+            name = f"{base}.{count}"
         names.append(name)
     return names
 

@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from gridweave.functions.text import quoted
 from gridweave.operators.positions import as_ranges, in_ranges
 from gridweave.operators.tables import infer_types as cast_inferred
-from gridweave.sources.csv import FILE_ORDER
+from gridweave.sources.csv import FILE_ORDER, unique_names
 
 WORKBOOK_SUFFIXES = (".xlsx",)
 CELL_SCHEMA = "path string, sheet string, sheet_number int, line bigint, cells array<string>"
@@ -61,7 +61,7 @@ def read_workbook(
     top = rows.limit(1).select("line", "cells").collect()
     if not top:
         raise ValueError(f"there is no header in {path!r}" + (f", sheet {sheet!r}" if sheet else ""))
-    names = [c or f"Unnamed: {i}" for i, c in enumerate(top[0]["cells"])]
+    names = unique_names(top[0]["cells"])
     order = [F.col("path").alias("_file"), F.lit(0).cast("bigint").alias("_block"), F.col("line").alias("_row")]
     body = rows.where(F.col("line") > top[0]["line"])
     fields = [F.get("cells", F.lit(i)).alias(c) for i, c in enumerate(names)]
