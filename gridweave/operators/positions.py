@@ -8,6 +8,8 @@ task or a stage runs again.
 
 from __future__ import annotations
 
+import base64
+import json
 import math
 import re
 from collections.abc import Iterable, Sequence
@@ -15,6 +17,7 @@ from functools import reduce as fold
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from gridweave.functions.text import quoted
 
@@ -26,6 +29,7 @@ HEAD_LIMIT = 10_000
 ROWS_PER_RANGE = 1_000_000
 MAX_RANGES = 16_384
 SAMPLES_PER_RANGE = 24
+INLINE_BOUNDS = 32
 
 _TOKEN = re.compile(r"(\d+)(?:\s*[-.]{1,2}\s*(\d+))?")
 
@@ -148,7 +152,7 @@ def with_row_index(
         place = F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(*order)) - 1
         return df.withColumn(INDEX, place.cast("long"))
     bounds = _range_bounds(keys, names, rows, ranges)
-    number = _range_number(F.struct(*order), bounds)
+    number = _range_number(F.struct(*order), bounds, keys.schema)
     counts = dict(keys.groupBy(number.alias("r")).count().collect())
     offsets, total = [], 0
     for r in range(len(bounds) + 1):
@@ -160,27 +164,52 @@ def with_row_index(
     return numbered.withColumn(INDEX, base + place).drop("__range")
 
 
-def _range_bounds(keys: DataFrame, names: list[str], rows: int, ranges: int) -> list[Column]:
-    # At most ranges * SAMPLES_PER_RANGE order tuples reach the driver, whatever the table size.
+def _range_bounds(keys: DataFrame, names: list[str], rows: int, ranges: int) -> list[tuple]:
+    # At most ranges * 2 * SAMPLES_PER_RANGE order tuples reach the driver, whatever the table size.
     fraction = min(1.0, ranges * SAMPLES_PER_RANGE / rows)
     sample = keys.sample(fraction=fraction, seed=11).limit(2 * ranges * SAMPLES_PER_RANGE)
     ordered = sample.orderBy(*[quoted(c) for c in names]).collect()
     picks = sorted({len(ordered) * i // ranges for i in range(1, ranges)}) if ordered else []
-    types = [keys.schema[c].dataType for c in names]
-    rows_picked = dict.fromkeys(tuple(ordered[p]) for p in picks)
-    return [
-        F.struct(*[F.lit(v).cast(t).alias(n) for v, t, n in zip(r, types, names, strict=True)]) for r in rows_picked
-    ]
-
-
-def _range_number(value: Column, bounds: list[Column]) -> Column:
-    """How many bounds are not above the value, by binary search over a constant array."""
-    if not bounds:
-        return F.lit(0)
-    table = F.array(*bounds)
+    return list(dict.fromkeys(tuple(ordered[p]) for p in picks))
+
+
+def _range_number(value: Column, bounds: list[tuple], schema: T.StructType) -> Column:
+    """How many bounds are not above the value.
+
+    Few bounds become nested conditions, which run as generated code; more become a
+    binary search over a constant array, so that the plan stays small.
+    """
+    if len(bounds) <= INLINE_BOUNDS:
+        rows = [
+            F.struct(*[F.lit(v).cast(f.dataType).alias(f.name) for v, f in zip(row, schema, strict=True)])
+            for row in bounds
+        ]
+        return _search_tree(value, rows, 0, len(rows))
+    table = _constant_rows(bounds, schema)
     steps = [1 << b for b in range(len(bounds).bit_length() - 1, -1, -1)]
     return F.reduce(
         F.lit(steps).cast("array<int>"),
         F.lit(0),
         lambda found, step: F.when(F.get(table, found + step - 1) <= value, found + step).otherwise(found),
     )
+
+
+def _constant_rows(rows: list[tuple], schema: T.StructType) -> Column:
+    # As JSON the rows are one literal to build; the planner folds it to a constant.
+    # Sorting after parsing keeps the search right should a value come back rounded.
+    def shown(v):
+        if isinstance(v, (bytes, bytearray)):
+            return base64.b64encode(v).decode()
+        return v.isoformat() if hasattr(v, "isoformat") else str(v)
+
+    text = json.dumps([dict(zip(schema.names, row, strict=True)) for row in rows], default=shown)
+    return F.sort_array(F.from_json(F.lit(text), T.ArrayType(schema)))
+
+
+def _search_tree(value: Column, bounds: list[Column], low: int, high: int) -> Column:
+    if low == high:
+        return F.lit(low)
+    middle = (low + high + 1) // 2
+    return F.when(value >= bounds[middle - 1], _search_tree(value, bounds, middle, high)).otherwise(
+        _search_tree(value, bounds, low, middle - 1)
+    )

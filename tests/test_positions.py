@@ -63,8 +63,16 @@ def test_row_index_types(spark):
         F.timestamp_seconds(F.col("id") * 3).alias("ts"),
         (F.col("id") / 4).cast("decimal(10,2)").alias("m"),
     )
-    for c in ("d", "ts", "m"):
-        assert with_row_index(df.repartition(5), c, rows_per_range=50).where("idx != id").count() == 0
+    df = df.withColumn("day", F.to_date("ts")).withColumn("raw", F.lpad("id", 5, "0").cast("binary"))
+    for order in (["d"], ["ts"], ["m"], ["raw"], ["day", "m"]):
+        for per_range in (50, 6):
+            assert with_row_index(df.repartition(5), order, rows_per_range=per_range).where("idx != id").count() == 0
+
+
+def test_many_ranges_stay_a_small_plan(spark):
+    plan = with_row_index(spark.range(3000), "id", rows_per_range=3)
+    assert plan.where("idx != id").count() == 0
+    assert "from_json" not in plan._jdf.queryExecution().optimizedPlan().toString()
 
 
 def test_row_index_of_nothing(spark):
