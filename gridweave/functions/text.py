@@ -44,11 +44,11 @@ def _rare_float_text(x: Column) -> Column:
     (JVMs before 19 show one digit too many for some values, mostly from 1e16 on.)
     """
     size = F.abs(x)
-    plain = F.rtrim(x.cast("string").cast("decimal(38,20)").cast("string"), F.lit("0"))
+    plain = F.regexp_replace(x.cast("string").cast("decimal(38,20)").cast("string"), r"(\.\d+?)0+$", "$1")
     signed = F.replace(F.regexp_replace(x.cast("string"), r"(\.0)?E(\d)", "e+$2"), F.lit("E"), F.lit("e"))
     scientific = F.regexp_replace(F.replace(signed, F.lit(".0e"), F.lit("e")), r"([+-])(\d)$", "$10$2")
     return (
-        F.when((size >= 1e-4) & (size < 1e16), F.regexp_replace(plain, r"\.$", ".0"))
+        F.when((size >= 1e-4) & (size < 1e16), plain)
         .when(F.isnan(x), F.lit(None).cast("string"))
         .when(size == float("inf"), F.when(x > 0, "inf").otherwise("-inf"))
         .otherwise(scientific)
