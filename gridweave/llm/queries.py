@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import mixing, packing, sharding
+from . import language, mixing, nearcopies, packing, sharding
 from .common import stored, table
 
 LLM_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -87,3 +87,13 @@ SELECT doc_id, size, source_size, target,
        CAST(floor(expected * place + offset_) - floor(expected * (place - 1) + offset_) AS BIGINT) * size AS taken
 FROM taken
 """
+
+
+@query
+def op6_language(spark, sf_dir):
+    return language.identify(table(spark, sf_dir, "documents"))
+
+
+@query
+def op9_near_copies(spark, sf_dir):
+    return nearcopies.near_copies(table(spark, sf_dir, "documents"))
