@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import language, mixing, nearcopies, packing, sharding
+from . import language, mixing, nearcopies, packing, repeats, sharding
 from .common import stored, table
 
 LLM_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -97,3 +97,9 @@ def op6_language(spark, sf_dir):
 @query
 def op9_near_copies(spark, sf_dir):
     return nearcopies.near_copies(table(spark, sf_dir, "documents"))
+
+
+@query
+def op3_repeats(spark, sf_dir):
+    left = repeats.remove_repeats(table(spark, sf_dir, "documents"), whole=False)
+    return left.withColumn("kept_sha256", F.lower(F.hex("kept"))).drop("kept")
