@@ -24,7 +24,8 @@ def source_targets(sizes: DataFrame, weights: Sequence[int], share: float, most:
     Sources in code point order, null last, take the weights in turn. All targets together are
     ``share`` of all sizes. A target stops at ``most`` times its source's size, and the excess goes
     to the others by weight until none is above. With sources in order of the level at which they
-    stop, one pass of running sums finds the level at which all is given out.
+    stop, one pass of running sums gives for each the level if all before it are full; the first that is
+    not above where its source stops is right, and later ones are smaller.
     """
     everything = Window.orderBy(F.col("source").asc_nulls_last())
     turns = F.array(*[F.lit(int(w)).cast("long") for w in weights])
@@ -39,7 +40,7 @@ def source_targets(sizes: DataFrame, weights: Sequence[int], share: float, most:
     full = F.coalesce(F.sum("room").over(before), F.lit(0))
     left = F.sum("weight").over(whole) - F.coalesce(F.sum("weight").over(before), F.lit(0))
     levels = ranked.withColumn("level", (budget - full) / left)
-    levels = levels.withColumn("level", F.min(F.when(F.col("level") <= F.col("stops_at"), F.col("level"))).over(whole))
+    levels = levels.withColumn("level", F.max(F.when(F.col("level") <= F.col("stops_at"), F.col("level"))).over(whole))
     target = F.least(F.col("room").cast("double"), F.coalesce(F.col("level"), F.lit(float("inf"))) * F.col("weight"))
     return levels.select("source", F.col("size").alias("source_size"), target.alias("target"))
 
