@@ -11,8 +11,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
-from .common import pick
+from .common import named, pick
 
 UNKNOWN = "und"
 BITS = 13  # of the feature hash
@@ -165,7 +166,8 @@ def fit(rows: DataFrame, key: str, text: str, language: str, per_language: int =
 
 
 def identify(
-    rows: DataFrame, key: str = "doc_id", text: str = "text", language: str = "lang", model: Model | None = None, per_language: int = PER_LANGUAGE
+    rows: DataFrame, key: str = "doc_id", text: str = "text", language: str = "lang", model: Model | None = None,
+    per_language: int = PER_LANGUAGE, carry: bool = False,
 ) -> DataFrame:
     """The language of each whole text: ``key, held_out, lang_pred, score``.
 
@@ -174,7 +176,8 @@ def identify(
     n-grams. ``score`` is the product of how sure the closest duels of both levels are. A null text or one
     without a letter is ``und`` with score 0, as is any text if there is nothing to learn from. With one
     language known, all texts are of it. The size of the model depends on the languages only. Each row
-    is judged alone: repeated rows, null keys and further columns change nothing.
+    is judged alone: repeated rows, null keys and further columns change nothing. ``carry`` adds ``row``, the whole
+    input row, so that rows can be chosen without a join.
     """
     model = model or fit(rows, key, text, language, per_language)
 
@@ -186,11 +189,15 @@ def identify(
                 for t in piece.column("text").to_pylist():
                     counts = features(t) if model else None
                     found.append((UNKNOWN, 0.0) if counts is None else model.predict(counts))
-                yield pa.RecordBatch.from_arrays(
-                    [piece.column("key"), piece.column("held_out"), pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.float64())],
-                    names=["key", "held_out", "lang_pred", "score"],
-                )
-
-    one = pick(rows, key=key, text=text).select("key", held_out(F.col("key")).alias("held_out"), "text")
-    kind = one.schema["key"].dataType.simpleString()
-    return one.mapInArrow(run, f"key {kind}, held_out boolean, lang_pred string, score double").withColumnRenamed("key", key)
+                columns = [piece.column("key"), piece.column("held_out"), pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.float64())]
+                names = ["key", "held_out", "lang_pred", "score"]
+                if carry:
+                    columns, names = [*columns, piece.column("row")], [*names, "row"]
+                yield pa.RecordBatch.from_arrays(columns, names=names)
+
+    pick(rows, key=key, text=text)
+    whole = [F.struct(*[named(c) for c in rows.columns]).alias("row")] if carry else []
+    one = rows.select(named(key).alias("key"), held_out(named(key)).alias("held_out"), named(text).alias("text"), *whole)
+    schema = StructType([one.schema["key"], one.schema["held_out"], StructField("lang_pred", StringType()), StructField("score", DoubleType())])
+    schema = StructType([*schema, one.schema["row"]]) if carry else schema
+    return one.mapInArrow(run, schema).withColumnRenamed("key", key)

@@ -68,7 +68,7 @@ WITH sized AS (
      targets AS (
        SELECT source, source_size,
               least(CAST(source_size * 2 AS DOUBLE),
-                    coalesce(min(level) FILTER (level <= stops_at) OVER (), 'inf'::DOUBLE) * weight) AS target,
+                    coalesce(max(level) FILTER (level <= stops_at) OVER (), 'inf'::DOUBLE) * weight) AS target,
               CAST(('0x' || substr(md5('mix:' || coalesce('=' || source, 'null')), 1, 13))::BIGINT AS DOUBLE)
               / 4503599627370496.0::DOUBLE AS offset_
        FROM levels),
@@ -101,5 +101,5 @@ def op9_near_copies(spark, sf_dir):
 
 @query
 def op3_repeats(spark, sf_dir):
-    left = repeats.remove_repeats(table(spark, sf_dir, "documents"), whole=False)
+    left = repeats.remove_repeats(table(spark, sf_dir, "documents"), form="sha256")
     return left.withColumn("kept_sha256", F.lower(F.hex("kept"))).drop("kept")

@@ -3,14 +3,15 @@
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType, LongType, StructField, StructType
 
-from .common import pick
+from .common import named, pick
 
 LENGTH = 50
 GRAM = 20
@@ -91,6 +92,7 @@ class Batch:
         self.keys = np.array([keys[i] for i in order], np.int64)
         self.given = [None if keys[i] == NO_KEY else keys[i] for i in order]
         self.texts = [texts[i] for i in order]
+        self.order = order
 
     def anchors(self) -> Iterator[tuple[np.ndarray, ...]]:
         """``row, at, gram hash, surroundings' hash, left, right`` per chunk of bytes, places counted in the document."""
@@ -367,47 +369,65 @@ def _compare(rows: pa.Table) -> pa.Table:
     return pa.Table.from_pylist(out, _ANSWER_SCHEMA)
 
 
-_RESULT = "id long, n_bytes long, n_removed long, n_spans long, kept binary"
-_RESULT_SCHEMA = pa.schema([("id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept", pa.binary())])
+_RESULT = [("id", LongType()), ("n_bytes", LongType()), ("n_removed", LongType()), ("n_spans", LongType()), ("kept", BinaryType())]
 
 
-def _remove(whole: bool):
-    """Per batch: what is left of each document; ``whole``: the bytes, else their SHA-256."""
+def _whole_characters(text: bytes, begin: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Runs made smaller until they begin and end between UTF-8 characters; none is left empty."""
+    begin, end = begin.copy(), end.copy()
+    inside = lambda at: np.array([0 <= x < len(text) and text[x] & 0xC0 == 0x80 for x in at.tolist()], bool)
+    while (move := inside(begin)).any():
+        begin[move] += 1
+    while (move := inside(end)).any():
+        end[move] -= 1
+    return begin[begin < end], end[begin < end]
+
+
+def _remove(form: str, rest: bool):
+    """Per batch: what is left of each document, as ``bytes``, ``text`` or ``sha256``."""
+    names = [n for n, _ in _RESULT] + ["rest"] * rest
 
     def run(rows: pa.Table, answers: pa.Table) -> pa.Table:
-        if not rows.num_rows:
-            return pa.Table.from_pylist([], _RESULT_SCHEMA)
         batch = Batch(rows)
         spans = [(row[late], left[late], right[late]) for row, _, _, left, right, least, _ in _matched(batch, answers) if len(late := np.flatnonzero(batch.keys[row] > least))]
         spans += [tuple(_unplanes(r[c]) for c in "abc") for r in answers.to_pylist() if r["kind"] == 1]
         of, low, high = (np.concatenate(x) for x in zip(*spans, strict=True)) if spans else [np.zeros(0, np.int64)] * 3
         order = np.lexsort((low, of))
         of, low, high = of[order], low[order], high[order]
-        out = []
         cuts = np.searchsorted(of, np.arange(len(batch.texts) + 1))
+        out: list[list] = [[], [], [], []]
+        left_over = []
         for i, text in enumerate(batch.texts):
-            removed = runs = 0
+            size, removed, runs = len(text), 0, 0
             if cuts[i + 1] > cuts[i]:
                 a, b = low[cuts[i] : cuts[i + 1]], np.maximum.accumulate(high[cuts[i] : cuts[i + 1]])
                 first = np.flatnonzero(np.r_[True, a[1:] > b[:-1]])
                 begin, end = a[first], b[np.r_[first[1:], len(b)] - 1]
-                removed, runs = int((end - begin).sum()), len(first)
+                if form == "text":
+                    begin, end = _whole_characters(text, begin, end)
+                removed, runs = int((end - begin).sum()), len(begin)
                 edges = [0, *np.stack([begin, end], 1).ravel().tolist(), len(text)]
-                size = len(text)
                 text = b"".join(text[x:y] for x, y in zip(edges[::2], edges[1::2], strict=True))
-            else:
-                size = len(text)
-            out.append((batch.given[i], size, removed, runs, text if whole else hashlib.sha256(text).digest()))
-        return pa.Table.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), _RESULT_SCHEMA, strict=True)], schema=_RESULT_SCHEMA)
+            for column, value in zip(out, (batch.given[i], size, removed, runs), strict=True):
+                column.append(value)
+            left_over.append(hashlib.sha256(text).digest() if form == "sha256" else text)
+        kept = pa.array(left_over, pa.binary())
+        columns = [*(pa.array(c, pa.int64()) for c in out), kept]
+        if rest:
+            columns.append(rows.column("rest").take(pa.array(batch.order, pa.int64())))
+        return pa.table(columns, names=names)
 
     return run
 
 
-def remove_repeats(rows: DataFrame, key: str = "doc_id", text: str = "text", whole: bool = True) -> DataFrame:
+def remove_repeats(
+    rows: DataFrame, key: str = "doc_id", text: str = "text", form: str = "bytes", carry: Sequence[str] = ()
+) -> DataFrame:
     """Each document without the strings of 50 bytes that also start in a document with a smaller key.
 
-    Returns ``key, n_bytes, n_removed, n_spans`` and ``kept``, the remaining UTF-8 bytes (their SHA-256 if not ``whole``; the
-    cut can fall inside a character). Strings overlap, are judged on the input and don't cross documents.
+    Returns ``key, n_bytes, n_removed, n_spans`` and ``kept``: the remaining UTF-8 ``bytes``, where a cut can fall inside a
+    character; their ``sha256``; or the remaining ``text``, for which runs end at whole characters. Columns named in
+    ``carry`` follow as the struct ``rest``. Strings overlap, are judged on the input and don't cross documents.
 
     Documents form batches by a hash of the key. Every string of 50 bytes holds an anchor, the 20 bytes in it with the smallest
     hash; batches tell buckets each anchor with a hash of its surroundings once, and learn the smallest key that has these
@@ -420,17 +440,22 @@ def remove_repeats(rows: DataFrame, key: str = "doc_id", text: str = "text", who
     Texts under 50 bytes are left as they are, and rows with one key don't shorten each other. Documents longer than
     ``CHUNK`` are worked on in parts. Further columns are not looked at. An empty table gives an empty result.
     """
-    base = pick(rows, id=key, text=text).select(
-        F.col("id").cast("long").alias("id"), F.coalesce(F.col("text"), F.lit("")).cast("binary").alias("data")
+    if form not in ("bytes", "text", "sha256"):
+        raise ValueError(f"no form {form}")
+    pick(rows, id=key, text=text)
+    rest = [F.struct(*[named(c) for c in carry]).alias("rest")] if carry else []
+    base = rows.select(
+        named(key).cast("long").alias("id"), F.coalesce(named(text), F.lit("")).cast("binary").alias("data"), *rest
     )
     total = base.agg(F.sum(F.octet_length("data"))).first()[0] or 0
     batches, buckets = int(total // BATCH_BYTES) + 1, int(total // BUCKET_BYTES) + 1
     spread = F.coalesce(F.xxhash64("id"), F.lit(0))
-    filed = base.withColumn("batch", F.pmod(spread, F.lit(batches)).cast("int")).select("batch", "id", "data")
+    filed = base.withColumn("batch", F.pmod(spread, F.lit(batches)).cast("int")).select("batch", *base.columns)
     found = filed.groupBy("batch").applyInArrow(_find(buckets), _FOUND)
     answers = found.groupBy("bucket").applyInArrow(_answer, _ANSWER)
     around = filed.groupBy("batch").cogroup(answers.groupBy("batch")).applyInArrow(_surround(buckets), _AROUND)
     marks = around.groupBy("bucket").applyInArrow(_compare, _ANSWER)
     told = answers.union(marks)
-    out = filed.groupBy("batch").cogroup(told.groupBy("batch")).applyInArrow(_remove(whole), _RESULT)
-    return out.withColumnRenamed("id", key)
+    result = StructType([StructField(n, t) for n, t in _RESULT] + [f for f in base.schema if f.name == "rest"])
+    out = filed.groupBy("batch").cogroup(told.groupBy("batch")).applyInArrow(_remove(form, bool(carry)), result)
+    return out.withColumn("kept", F.decode("kept", "UTF-8") if form == "text" else F.col("kept")).withColumnRenamed("id", key)
