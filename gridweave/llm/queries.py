@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import language, mixing, nearcopies, packing, repeats, sharding
+from . import language, mixing, nearcopies, nearvectors, packing, repeats, sharding, topk
 from .common import stored, table
 
 LLM_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -103,3 +103,50 @@ def op9_near_copies(spark, sf_dir):
 def op3_repeats(spark, sf_dir):
     left = repeats.remove_repeats(table(spark, sf_dir, "documents"), form="sha256")
     return left.withColumn("kept_sha256", F.lower(F.hex("kept"))).drop("kept")
+
+
+@query
+def op4_top_scores(spark, sf_dir):
+    embeddings = table(spark, sf_dir, "embeddings")
+    return topk.top_scores(embeddings, F.col("vec_id") % 100 == 0)
+
+
+LLM_ORACLES["op4_top_scores"] = """
+WITH whole AS (
+       SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT)) AS v
+       FROM embeddings
+       WHERE vec_id IS NOT NULL AND len(embedding) > 0
+         AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0),
+     scored AS (
+       SELECT q.vec_id AS query_id, c.vec_id,
+              CAST(list_sum(list_transform(list_zip(q.v, c.v), lambda p: p[1] * p[2])) AS BIGINT) AS score
+       FROM whole q JOIN whole c ON q.vec_id <> c.vec_id AND len(q.v) = len(c.v)
+       WHERE q.vec_id % 100 = 0),
+     ranked AS (
+       SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM scored)
+SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 10
+"""
+
+
+@query
+def op8_near_vectors(spark, sf_dir):
+    return nearvectors.near_vectors(table(spark, sf_dir, "embeddings"))
+
+
+LLM_ORACLES["op8_near_vectors"] = """
+WITH RECURSIVE fit AS (
+       SELECT row_number() OVER () AS r, vec_id, label, embedding, CAST(embedding AS DOUBLE[]) AS v
+       FROM embeddings
+       WHERE vec_id IS NOT NULL AND label IS NOT NULL AND len(embedding) > 0
+         AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0),
+     sized AS (SELECT *, sqrt(list_dot_product(v, v)) AS length FROM fit WHERE list_dot_product(v, v) > 0),
+     links AS (
+       SELECT a.vec_id AS a, b.vec_id AS b FROM sized a JOIN sized b ON a.label = b.label AND a.r <> b.r AND len(a.v) = len(b.v)
+       WHERE list_dot_product(a.v, b.v) / (a.length * b.length) >= 0.93),
+     reach AS (SELECT DISTINCT a AS node, a AS seen FROM links UNION SELECT r.node, l.b FROM reach r JOIN links l ON l.a = r.seen),
+     least AS (SELECT node, min(seen) AS component FROM reach GROUP BY node),
+     counts AS (SELECT a, count(*) AS n FROM links GROUP BY a)
+SELECT e.vec_id, CAST(coalesce(n, 0) AS BIGINT) AS n_links, coalesce(component, e.vec_id) AS component_id,
+       coalesce(component, e.vec_id) = e.vec_id AS kept
+FROM embeddings e LEFT JOIN counts ON counts.a = e.vec_id LEFT JOIN least ON least.node = e.vec_id
+"""
