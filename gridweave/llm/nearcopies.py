@@ -188,8 +188,8 @@ def near_copies(rows: DataFrame, key: str = "doc_id", text: str = "text", thresh
     ``SKETCHES`` order MinHash sketches of ``PICKED`` k-mers of five words, so they agree in words and their order. Two
     texts with a Jaccard similarity of k-mers of 0.8 share a sketch with probability above 0.999999.
 
-    Equal texts are one member from the start and never paired. In a bucket, all are compared with the smallest key;
-    a text within the threshold of it is done there. A text that isn't is compared with the others like it, and with
+    Equal texts are one member from the start and never paired. In a bucket, all are compared with the smallest key.
+    A text that links connect with it is done there. Another is compared with the others like it, and with
     those that the triangle inequality leaves possible. Where more than ``SMALL`` are unlike the smallest key, they
     only meet where they share a second sketch, and are compared with the smallest key there: pairs stay in
     proportion to rows. Aligning needs memory for one band row, however long the texts are.
@@ -210,10 +210,11 @@ def near_copies(rows: DataFrame, key: str = "doc_id", text: str = "text", thresh
     pairs = filed.where("id > hub").select(F.col("hub").alias("a"), F.col("id").alias("b")).distinct()
     first = stored(_verified(pairs, texts, threshold), "gaps")
     judged = filed.join(first.select(F.col("a").alias("hub"), F.col("b").alias("id"), "gap"), ["hub", "id"])
-    second = stored(_verified(_second_pairs(judged, members, first, threshold), texts, threshold), "gaps")
-
-    links = first.union(second).where(F.col("gap") <= 1 - threshold + 1e-12).select("a", "b")
-    found = components(links)
+    links = first.where(F.col("gap") <= 1 - threshold + 1e-12).select("a", "b")
+    found = stored(components(links), "components")
+    open_pairs = stored(_second_pairs(judged, members, first, found, threshold), "pairs")
+    second = stored(_verified(open_pairs, texts, threshold), "gaps")
+    found = components(links.union(second.where(F.col("gap") <= 1 - threshold + 1e-12).select("a", "b")))
     classes = members.join(found, F.col("member") == F.col("node"), "left")
     classes = classes.select("digest", "copies", F.coalesce("component", "member").alias("class_id"))
     sizes = classes.groupBy("class_id").agg(F.sum("copies").alias("class_size"))
@@ -231,22 +232,27 @@ def near_copies(rows: DataFrame, key: str = "doc_id", text: str = "text", thresh
     )
 
 
-def _second_pairs(judged: DataFrame, members: DataFrame, done: DataFrame, threshold: float) -> DataFrame:
-    """Pairs that a bucket's comparisons with its hub leave open."""
+def _second_pairs(judged: DataFrame, members: DataFrame, done: DataFrame, found: DataFrame, threshold: float) -> DataFrame:
+    """Pairs that a bucket's comparisons with its hub leave open, of texts that no links connect so far."""
     most = 1 - threshold
-    unlike = judged.where(F.col("gap") > most + 1e-12)
+    part = lambda of, name: found.select(F.col("node").alias(of), F.col("component").alias(name))
+    placed = judged.join(part("id", "own"), "id", "left").withColumn("own", F.coalesce("own", "id"))
+    placed = placed.join(part("hub", "theirs"), "hub", "left").withColumn("theirs", F.coalesce("theirs", "hub"))
+    placed = stored(placed, "judged")
+    unlike = placed.where("own <> theirs")
     crowd = unlike.groupBy("bucket").agg(F.count("*").alias("crowd"))
     sized = unlike.join(crowd, "bucket")
-    few = sized.where(F.col("crowd") <= SMALL).select("bucket", "id", "gap")
-    among = few.select("bucket", F.col("id").alias("a")).join(few.select("bucket", F.col("id").alias("b")), "bucket").where("a < b")
+    few = sized.where(F.col("crowd") <= SMALL)
+    one, other = (few.select("bucket", F.col("id").alias(n), F.col("own").alias(f"own_{n}")) for n in "ab")
+    among = one.join(other, "bucket").where("a < b AND own_a <> own_b")
     # a linked text can be near one that its hub isn't near, if both are at the rim
     rim = unlike.where(F.col("gap") <= 2 * most).select("bucket", F.col("id").alias("b"), F.col("gap").alias("outer"))
-    near = judged.where(F.col("gap") <= most + 1e-12).select("bucket", F.col("id").alias("a"), "gap")
+    near = placed.where("own = theirs").select("bucket", F.col("id").alias("a"), "gap")
     rims = near.join(rim, "bucket").where(F.col("gap") >= F.col("outer") * threshold - most)
     # many unlike texts in one bucket: a second sketch in common as well
-    many = sized.where(F.col("crowd") > SMALL).select("bucket", "id")
+    many = sized.where(F.col("crowd") > SMALL).select("bucket", "id", "own")
     again = many.join(members.select(F.col("member").alias("id"), F.explode("keys").alias("other")), "id").where("other <> bucket")
-    hubs = again.groupBy("bucket", "other").agg(F.min("id").alias("hub"), F.max("id").alias("last")).where("hub < last").drop("last")
-    stars = again.join(hubs, ["bucket", "other"]).where("id > hub").select(F.col("hub").alias("a"), F.col("id").alias("b"))
+    hubs = again.groupBy("bucket", "other").agg(F.min(F.struct("id", "own")).alias("hub"), F.max("id").alias("last")).where("hub.id < last").drop("last")
+    stars = again.join(hubs, ["bucket", "other"]).where("id > hub.id AND own <> hub.own").select(F.col("hub.id").alias("a"), F.col("id").alias("b"))
     pairs = among.select("a", "b").union(rims.select(F.least("a", "b"), F.greatest("a", "b"))).union(stars).distinct()
     return pairs.join(done.select("a", "b"), ["a", "b"], "left_anti")

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import language, mixing, nearcopies, nearvectors, packing, repeats, sharding, topk
+from . import language, licenses, mixing, nearcopies, nearvectors, packing, pages, repeats, sharding, topk
 from .common import stored, table
 
 LLM_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -150,3 +150,13 @@ SELECT e.vec_id, CAST(coalesce(n, 0) AS BIGINT) AS n_links, coalesce(component,
        coalesce(component, e.vec_id) = e.vec_id AS kept
 FROM embeddings e LEFT JOIN counts ON counts.a = e.vec_id LEFT JOIN least ON least.node = e.vec_id
 """
+
+
+@query
+def op5_pages(spark, sf_dir):
+    return pages.extract_pages(table(spark, sf_dir, "pages"))
+
+
+@query
+def op10_licenses(spark, sf_dir):
+    return licenses.scan_licenses(table(spark, sf_dir, "documents"))
