@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -21,6 +22,7 @@ TOGETHER = 64  # pairs aligned at once
 CELLS = 1 << 21  # of a band matrix row for all pairs aligned at once, at most
 FAR = np.int32(1 << 29)
 
+_WORD = re.compile(r"[^ \t\n\x0b\f\r]+")
 _MIX = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
 
@@ -69,8 +71,9 @@ def _sketched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             words = batch.column("words")
             flat, ends = words.values.to_numpy(zero_copy_only=False), words.offsets.to_numpy()
             keys = [sketch(flat[a:b].view(np.uint64)).tolist() if b > a else [] for a, b in zip(ends, ends[1:], strict=False)]
+            sizes = pa.array(np.diff(ends).astype(np.int64))
             yield pa.RecordBatch.from_arrays(
-                [batch.column("id"), batch.column("digest"), pa.array(keys, pa.list_(pa.int64()))], names=["id", "digest", "keys"]
+                [batch.column("id"), batch.column("digest"), sizes, pa.array(keys, pa.list_(pa.int64()))], names=["id", "digest", "n", "keys"]
             )
 
 
@@ -111,14 +114,14 @@ def distances(pairs: list[tuple[np.ndarray, np.ndarray]], band: int) -> np.ndarr
 
 
 def align(pairs: list[tuple[np.ndarray, np.ndarray]], threshold: float = THRESHOLD) -> np.ndarray:
-    """Edit distance over the longer length, exact up to twice what the threshold lets pass; else 1.
+    """Edit distance over the longer length, exact as far as the threshold lets pass; else 1.
 
     Words that the two don't share bound the distance from below and settle most unlike pairs. The band starts
     narrow and widens for the pairs that need it.
     """
     out = np.ones(len(pairs))
     longest = np.array([max(len(a), len(b), 1) for a, b in pairs])
-    most = np.floor(longest * 2 * (1 - threshold) + 1e-9).astype(int)
+    most = np.floor(longest * (1 - threshold) + 1e-9).astype(int)
     least = np.array([longest[p] - _shared(a, b) for p, (a, b) in enumerate(pairs)])
     left = np.flatnonzero(least <= most)
     left = left[np.argsort(longest[left], kind="stable")]
@@ -153,7 +156,7 @@ def _aligned(threshold: float):
     def numbered(first: str, second: str) -> tuple[np.ndarray, np.ndarray]:
         number: dict[str, int] = {}
         return tuple(
-            np.array([number.setdefault(w, len(number)) for w in (t or "").lower().split()], np.int32) for t in (first, second)
+            np.array([number.setdefault(w, len(number)) for w in _WORD.findall((t or "").lower())], np.int32) for t in (first, second)
         )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -188,11 +191,13 @@ def near_copies(rows: DataFrame, key: str = "doc_id", text: str = "text", thresh
     ``SKETCHES`` order MinHash sketches of ``PICKED`` k-mers of five words, so they agree in words and their order. Two
     texts with a Jaccard similarity of k-mers of 0.8 share a sketch with probability above 0.999999.
 
-    Equal texts are one member from the start and never paired. In a bucket, all are compared with the smallest key.
-    A text that links connect with it is done there. Another is compared with the others like it, and with
-    those that the triangle inequality leaves possible. Where more than ``SMALL`` are unlike the smallest key, they
-    only meet where they share a second sketch, and are compared with the smallest key there: pairs stay in
-    proportion to rows. Aligning needs memory for one band row, however long the texts are.
+    Equal texts are one member from the start and never paired. A bucket draws a leader by a hash of bucket and key, and all in it
+    are compared with the leader, so a text meets up to ``SKETCHES`` leaders and pairs stay in proportion to rows however many texts
+    share a sketch. What no links connect with its leader is compared once more: with a second text of the
+    leader's class, and with the others like it in the bucket. Where these are more than ``SMALL``, they meet by leaders again where
+    they share a second sketch. Classes are the components of all links found. Two texts that link only with each other are
+    both unlike the leader, so they are compared in each bucket; a link is missed only if in every bucket it joins a text in the
+    leader's class to one outside, and neither leads. Aligning needs memory for one band row, however long the texts are.
 
     Keys are whole numbers. Rows with a null key or a text without words are kept and in no class with others (class_id:
     the key). Repeated rows with one key get equal results. Further columns are not looked at. An empty table gives an empty result.
@@ -200,19 +205,17 @@ def near_copies(rows: DataFrame, key: str = "doc_id", text: str = "text", thresh
     base = pick(rows, id=key, text=text).select(F.col("id").cast("long").alias("id"), "text")
     texts = base.where(F.col("id").isNotNull() & F.coalesce(F.col("text").rlike(r"\S"), F.lit(False)))
     seen = texts.select("id", F.sha2("text", 256).alias("digest"), _words(F.col("text")).alias("words"))
-    seen = stored(seen.mapInArrow(_sketched, "id long, digest string, keys array<long>"), "sketches")
-    members = seen.groupBy("digest").agg(F.min("id").alias("member"), F.count("*").alias("copies"), F.min_by("keys", "id").alias("keys"))
+    seen = stored(seen.mapInArrow(_sketched, "id long, digest string, n long, keys array<long>"), "sketches")
+    members = seen.groupBy("digest").agg(
+        F.min("id").alias("member"), F.count("*").alias("copies"), F.min("n").alias("n"), F.min_by("keys", "id").alias("keys")
+    )
     members = stored(members, "members")
-    buckets = members.select(F.col("member").alias("id"), F.explode("keys").alias("bucket"))
-    hubs = buckets.groupBy("bucket").agg(F.min("id").alias("hub"), F.max("id").alias("last")).where("hub < last").select("bucket", "hub")
-    filed = stored(buckets.join(hubs, "bucket").where("id >= hub").distinct(), "buckets")
-
-    pairs = filed.where("id > hub").select(F.col("hub").alias("a"), F.col("id").alias("b")).distinct()
-    first = stored(_verified(pairs, texts, threshold), "gaps")
-    judged = filed.join(first.select(F.col("a").alias("hub"), F.col("b").alias("id"), "gap"), ["hub", "id"])
+    buckets = members.select(F.col("member").alias("id"), "n", F.explode("keys").alias("bucket"))
+    filed = stored(_led(buckets, ["bucket"]), "buckets")
+    first = stored(_verified(_with_leader(filed, threshold), texts, threshold), "gaps")
     links = first.where(F.col("gap") <= 1 - threshold + 1e-12).select("a", "b")
     found = stored(components(links), "components")
-    open_pairs = stored(_second_pairs(judged, members, first, found, threshold), "pairs")
+    open_pairs = stored(_open_pairs(filed, members, first, found, threshold), "pairs")
     second = stored(_verified(open_pairs, texts, threshold), "gaps")
     found = components(links.union(second.where(F.col("gap") <= 1 - threshold + 1e-12).select("a", "b")))
     classes = members.join(found, F.col("member") == F.col("node"), "left")
@@ -232,27 +235,41 @@ def near_copies(rows: DataFrame, key: str = "doc_id", text: str = "text", thresh
     )
 
 
-def _second_pairs(judged: DataFrame, members: DataFrame, done: DataFrame, found: DataFrame, threshold: float) -> DataFrame:
-    """Pairs that a bucket's comparisons with its hub leave open, of texts that no links connect so far."""
-    most = 1 - threshold
+def _draw(*key: str) -> Column:
+    """A member's draw for the lead of a bucket: another one in each bucket."""
+    return F.struct(F.xxhash64("id", *key).alias("draw"), "id", "n")
+
+
+def _led(rows: DataFrame, key: list[str]) -> DataFrame:
+    """Members of buckets (``id, n`` and the bucket's key) with ``leader`` and ``n_leader``; members alone in a bucket are left out."""
+    leaders = rows.groupBy(*key).agg(F.min(_draw(*key)).alias("l"), F.min("id").alias("least"), F.max("id").alias("last")).where("least < last")
+    return rows.join(leaders.select(*key, F.col("l.id").alias("leader"), F.col("l.n").alias("n_leader")), key)
+
+
+def _alike_in_length(a: str, b: str, threshold: float) -> Column:
+    return F.least(a, b) >= F.greatest(a, b) * threshold - 1e-9
+
+
+def _with_leader(led: DataFrame, threshold: float) -> DataFrame:
+    pairs = led.where((F.col("id") != F.col("leader")) & _alike_in_length("n", "n_leader", threshold))
+    return pairs.select(F.least("id", "leader").alias("a"), F.greatest("id", "leader").alias("b")).distinct()
+
+
+def _open_pairs(filed: DataFrame, members: DataFrame, done: DataFrame, found: DataFrame, threshold: float) -> DataFrame:
+    """Pairs of texts in one bucket that comparisons with leaders leave open: no links connect them so far."""
     part = lambda of, name: found.select(F.col("node").alias(of), F.col("component").alias(name))
-    placed = judged.join(part("id", "own"), "id", "left").withColumn("own", F.coalesce("own", "id"))
-    placed = placed.join(part("hub", "theirs"), "hub", "left").withColumn("theirs", F.coalesce("theirs", "hub"))
-    placed = stored(placed, "judged")
-    unlike = placed.where("own <> theirs")
-    crowd = unlike.groupBy("bucket").agg(F.count("*").alias("crowd"))
-    sized = unlike.join(crowd, "bucket")
+    placed = filed.join(part("id", "own"), "id", "left").withColumn("own", F.coalesce("own", "id"))
+    placed = placed.join(part("leader", "theirs"), "leader", "left").withColumn("theirs", F.coalesce("theirs", "leader"))
+    placed = stored(placed, "placed")
+    unlike = placed.where("own <> theirs").select("bucket", "id", "n", "own")
+    seconds = placed.where("own = theirs AND id <> leader").groupBy("bucket").agg(F.min(_draw("own", "bucket")).alias("s"))
+    second = unlike.join(seconds, "bucket").withColumn("n_s", F.col("s.n")).where(_alike_in_length("n", "n_s", threshold))
+    sized = unlike.join(unlike.groupBy("bucket").agg(F.count("*").alias("crowd")), "bucket")
     few = sized.where(F.col("crowd") <= SMALL)
-    one, other = (few.select("bucket", F.col("id").alias(n), F.col("own").alias(f"own_{n}")) for n in "ab")
-    among = one.join(other, "bucket").where("a < b AND own_a <> own_b")
-    # a linked text can be near one that its hub isn't near, if both are at the rim
-    rim = unlike.where(F.col("gap") <= 2 * most).select("bucket", F.col("id").alias("b"), F.col("gap").alias("outer"))
-    near = placed.where("own = theirs").select("bucket", F.col("id").alias("a"), "gap")
-    rims = near.join(rim, "bucket").where(F.col("gap") >= F.col("outer") * threshold - most)
-    # many unlike texts in one bucket: a second sketch in common as well
-    many = sized.where(F.col("crowd") > SMALL).select("bucket", "id", "own")
+    side = lambda n: few.select("bucket", *[F.col(c).alias(f"{c}_{n}") for c in ("id", "n", "own")])
+    among = side("a").join(side("b"), "bucket").where("id_a < id_b AND own_a <> own_b").where(_alike_in_length("n_a", "n_b", threshold))
+    many = sized.where(F.col("crowd") > SMALL).select("bucket", "id", "n")
     again = many.join(members.select(F.col("member").alias("id"), F.explode("keys").alias("other")), "id").where("other <> bucket")
-    hubs = again.groupBy("bucket", "other").agg(F.min(F.struct("id", "own")).alias("hub"), F.max("id").alias("last")).where("hub.id < last").drop("last")
-    stars = again.join(hubs, ["bucket", "other"]).where("id > hub.id AND own <> hub.own").select(F.col("hub.id").alias("a"), F.col("id").alias("b"))
-    pairs = among.select("a", "b").union(rims.select(F.least("a", "b"), F.greatest("a", "b"))).union(stars).distinct()
-    return pairs.join(done.select("a", "b"), ["a", "b"], "left_anti")
+    stars = _with_leader(_led(again, ["bucket", "other"]), threshold)
+    pairs = second.select(F.least("id", "s.id").alias("a"), F.greatest("id", "s.id").alias("b")).union(among.select("id_a", "id_b")).union(stars)
+    return pairs.distinct().join(done.select("a", "b"), ["a", "b"], "left_anti")
