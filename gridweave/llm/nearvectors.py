@@ -70,7 +70,7 @@ def linked(a: _Side, b: _Side, threshold: float) -> tuple[np.ndarray, np.ndarray
     With u = s q + e for either side, the product of codes is off by |e_v| (1 + |e_u|) + |e_u| at most; float32
     adds up whole numbers under 2 ** 24 without rounding for up to 1,040 components, and longer vectors are summed in parts.
     """
-    left, right = [], []
+    left, right = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
     for at in range(0, len(a.ids), ROWS):
         rows = slice(at, at + ROWS)
         product = np.zeros((len(a.ids[rows]), len(b.ids)))
