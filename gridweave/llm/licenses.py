@@ -137,7 +137,7 @@ def _scan(library: Library):
                 fits = hits + SHINGLE <= ends[of]
                 hits, of = hits[fits], of[fits]
                 cuts = np.flatnonzero(np.diff(of, prepend=-1))
-                for a, b in zip(cuts, np.append(cuts[1:], len(of)), strict=True):
+                for a, b in zip(cuts, np.append(cuts, len(of))[1:], strict=True):
                     doc = int(of[a])
                     begin, end = int(starts[doc]), int(ends[doc])
                     for name, share, first, last in library.scan(grams[begin : end - SHINGLE + 1], hits[a:b] - begin):
