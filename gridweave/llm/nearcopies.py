@@ -14,9 +14,10 @@ from .common import pick, stored
 from .components import components
 
 WORDS = 5  # of a k-mer
-PICKED = 3  # k-mers of a sketch
-SKETCHES = 20
+PICKED = 2  # k-mers of a sketch
+SKETCHES = 16
 THRESHOLD = 0.8
+FIRST = 5  # one bucket in so many is compared first
 SMALL = 16  # members of a bucket that are compared with each other at once
 TOGETHER = 64  # pairs aligned at once
 CELLS = 1 << 21  # of a band matrix row for all pairs aligned at once, at most
@@ -55,13 +56,18 @@ def sketch(words: np.ndarray, size: int = WORDS, picked: int = PICKED, sketches:
     occurrence[order] = (np.arange(n) - run).astype(np.uint64)
     labelled = _mixed(grams + occurrence * np.uint64(0x9E3779B97F4A7C15))
     out = np.empty(sketches, np.uint64)
-    for s in range(sketches):
-        drawn = _mixed(labelled ^ _SEEDS[s])
-        at = np.sort(np.argpartition(drawn, picked - 1)[:picked]) if n > picked else np.arange(n)
-        key = _SEEDS[s]
-        for g in grams[at]:
-            key = key * np.uint64(0x100000001B3) ^ g
-        out[s] = key
+    at_once = max(1, min(sketches, CELLS // n))
+    for s in range(0, sketches, at_once):
+        seeds = _SEEDS[s : min(s + at_once, sketches)]
+        drawn = labelled[None, :] * (seeds[:, None] | np.uint64(1)) + seeds[:, None]
+        if n > picked:
+            at = np.sort(np.argpartition(drawn, picked - 1, axis=1)[:, :picked], axis=1)
+        else:
+            at = np.tile(np.arange(n), (len(seeds), 1))
+        key = seeds.copy()
+        for i in range(at.shape[1]):
+            key = key * np.uint64(0x100000001B3) ^ grams[at[:, i]]
+        out[s : s + len(seeds)] = key
     return _mixed(out).view(np.int64)
 
 
@@ -193,7 +199,8 @@ def near_copies(rows: DataFrame, key: str = "doc_id", text: str = "text", thresh
 
     Equal texts are one member from the start and never paired. A bucket draws a leader by a hash of bucket and key, and all in it
     are compared with the leader, so a text meets up to ``SKETCHES`` leaders and pairs stay in proportion to rows however many texts
-    share a sketch. What no links connect with its leader is compared once more: with a second text of the
+    share a sketch. One bucket in ``FIRST`` comes first, and later ones only compare what no links connect by then. What no links
+    connect with its leader in the end is compared once more: with a second text of the
     leader's class, and with the others like it in the bucket. Where these are more than ``SMALL``, they meet by leaders again where
     they share a second sketch. Classes are the components of all links found. Two texts that link only with each other are
     both unlike the leader, so they are compared in each bucket; a link is missed only if in every bucket it joins a text in the
@@ -212,12 +219,13 @@ def near_copies(rows: DataFrame, key: str = "doc_id", text: str = "text", thresh
     members = stored(members, "members")
     buckets = members.select(F.col("member").alias("id"), "n", F.explode("keys").alias("bucket"))
     filed = stored(_led(buckets, ["bucket"]), "buckets")
-    first = stored(_verified(_with_leader(filed, threshold), texts, threshold), "gaps")
-    links = first.where(F.col("gap") <= 1 - threshold + 1e-12).select("a", "b")
-    found = stored(components(links), "components")
-    open_pairs = stored(_open_pairs(filed, members, first, found, threshold), "pairs")
-    second = stored(_verified(open_pairs, texts, threshold), "gaps")
-    found = components(links.union(second.where(F.col("gap") <= 1 - threshold + 1e-12).select("a", "b")))
+    part = filed.where(F.pmod("bucket", F.lit(FIRST)) == 0)
+    gaps = stored(_verified(_with_leader(part, threshold), texts, threshold), "gaps")
+    found = _found(gaps, threshold)
+    for later in (_unconnected, _open_pairs):
+        pairs = stored(later(filed, members, found, threshold).join(gaps.select("a", "b"), ["a", "b"], "left_anti"), "pairs")
+        gaps = gaps.union(stored(_verified(pairs, texts, threshold), "gaps"))
+        found = _found(gaps, threshold)
     classes = members.join(found, F.col("member") == F.col("node"), "left")
     classes = classes.select("digest", "copies", F.coalesce("component", "member").alias("class_id"))
     sizes = classes.groupBy("class_id").agg(F.sum("copies").alias("class_size"))
@@ -255,12 +263,25 @@ def _with_leader(led: DataFrame, threshold: float) -> DataFrame:
     return pairs.select(F.least("id", "leader").alias("a"), F.greatest("id", "leader").alias("b")).distinct()
 
 
-def _open_pairs(filed: DataFrame, members: DataFrame, done: DataFrame, found: DataFrame, threshold: float) -> DataFrame:
-    """Pairs of texts in one bucket that comparisons with leaders leave open: no links connect them so far."""
+def _found(gaps: DataFrame, threshold: float) -> DataFrame:
+    return stored(components(gaps.where(F.col("gap") <= 1 - threshold + 1e-12).select("a", "b")), "found")
+
+
+def _placed(filed: DataFrame, found: DataFrame) -> DataFrame:
+    """Members of buckets with the component of their own and of their leader."""
     part = lambda of, name: found.select(F.col("node").alias(of), F.col("component").alias(name))
     placed = filed.join(part("id", "own"), "id", "left").withColumn("own", F.coalesce("own", "id"))
-    placed = placed.join(part("leader", "theirs"), "leader", "left").withColumn("theirs", F.coalesce("theirs", "leader"))
-    placed = stored(placed, "placed")
+    return placed.join(part("leader", "theirs"), "leader", "left").withColumn("theirs", F.coalesce("theirs", "leader"))
+
+
+def _unconnected(filed: DataFrame, members: DataFrame, found: DataFrame, threshold: float) -> DataFrame:
+    """Pairs of a text and a leader that no links connect so far."""
+    return _with_leader(_placed(filed, found).where("own <> theirs"), threshold)
+
+
+def _open_pairs(filed: DataFrame, members: DataFrame, found: DataFrame, threshold: float) -> DataFrame:
+    """Pairs of texts in one bucket that comparisons with leaders leave open: no links connect them so far."""
+    placed = stored(_placed(filed, found), "placed")
     unlike = placed.where("own <> theirs").select("bucket", "id", "n", "own")
     seconds = placed.where("own = theirs AND id <> leader").groupBy("bucket").agg(F.min(_draw("own", "bucket")).alias("s"))
     second = unlike.join(seconds, "bucket").withColumn("n_s", F.col("s.n")).where(_alike_in_length("n", "n_s", threshold))
@@ -272,4 +293,4 @@ def _open_pairs(filed: DataFrame, members: DataFrame, done: DataFrame, found: Da
     again = many.join(members.select(F.col("member").alias("id"), F.explode("keys").alias("other")), "id").where("other <> bucket")
     stars = _with_leader(_led(again, ["bucket", "other"]), threshold)
     pairs = second.select(F.least("id", "s.id").alias("a"), F.greatest("id", "s.id").alias("b")).union(among.select("id_a", "id_b")).union(stars)
-    return pairs.distinct().join(done.select("a", "b"), ["a", "b"], "left_anti")
+    return pairs.distinct()
