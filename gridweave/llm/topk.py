@@ -181,8 +181,6 @@ def _route(queries: pa.Table, pages: pa.Table) -> pa.Table:
         homes = np.array(queries.column("page").to_pylist(), object)
         for page in pages.to_pylist():
             centre = np.frombuffer(page["centre"])
-            if len(centre) != q.shape[1]:
-                continue
             square = (q * q).sum(1)
             near = np.maximum(0, np.sqrt(((q - centre) ** 2).sum(1)) - page["radius"])
             limit = (square + page["norm"] ** 2 - near**2) / 2 + 1e-9 * (1 + square + page["norm"] ** 2)
@@ -241,9 +239,9 @@ def top_scores(
     page_blocks, query_blocks = n_pages // 1024 + 1, n_queries // QUERIES + 1
     spread = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n))
     every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)).cast("array<long>"))
-    asked = queries.withColumn("qb", spread("query", query_blocks)).withColumn("pb", every(page_blocks))
-    shown = heads.withColumn("pb", spread("page", page_blocks)).withColumn("qb", every(query_blocks))
-    visits = asked.groupBy("qb", "pb").cogroup(shown.groupBy("qb", "pb")).applyInArrow(
+    asked = queries.withColumn("dim", F.length("q")).withColumn("qb", spread("query", query_blocks)).withColumn("pb", every(page_blocks))
+    shown = heads.withColumn("dim", F.length("centre")).withColumn("pb", spread("page", page_blocks)).withColumn("qb", every(query_blocks))
+    visits = asked.groupBy("dim", "qb", "pb").cogroup(shown.groupBy("dim", "qb", "pb")).applyInArrow(
         _route, "page string, query long, q binary, rank_score long"
     )
     visits = stored(visits.withColumn("part", F.pmod(F.xxhash64("query"), F.lit(query_blocks))), "visits")

@@ -7,7 +7,8 @@ def test_stages_take_effect(spark, docs):
     base = " ".join(f"word{i}" for i in range(120))
     near = base.replace("word7 ", "other ")
     passage = " ".join(f"shared{i}" for i in range(30))
-    rows = [(1, base, "en", "a"), (2, near, None, "a"), (3, f"{passage} und so weiter", "de", "b"), (4, f"own text {passage}", "en", None)]
+    own = " ".join(f"own{i}" for i in range(20))
+    rows = [(1, base, "en", "a"), (2, near, None, "a"), (3, f"{passage} und so weiter", "de", "b"), (4, f"{own} {passage}", "en", None)]
     rows += [(5, None, "en", "a"), (6, "123 456", "en", "a"), (7, base, "en", "a"), (None, "no id but text", "en", "a"), (3, f"{passage} und so weiter", "de", "b")]
     frame = docs(rows)
     out, seen = frame, {}
@@ -20,7 +21,7 @@ def test_stages_take_effect(spark, docs):
     assert all(r.lang for r in seen["language"])
     assert sorted(str(r.doc_id) for r in seen["near_copies"]) == ["1", "3", "4", "None"]
     texts = {r.doc_id: r.text for r in seen["repeats"]}
-    assert texts[1] == base and texts[4].strip() == "own text" and all(r.n_chars == len(r.text) for r in seen["repeats"])
+    assert texts[1] == base and texts[4].strip() == own and all(r.n_chars == len(r.text) for r in seen["repeats"])
     taken = sum(len(r.text.split()) for r in seen["mixing"])
     whole = sum(len(t.split()) for t in texts.values())
     assert abs(taken - 1.5 * whole) <= 0.5 * whole

@@ -19,8 +19,8 @@ def rows():
         out.append([i * 10 if i % 9 else i * 100, np.asarray(centre, np.float32), int(i // 4 % 3)])
     out = [(int(k) + (n % 2), v.tolist(), c) for n, (k, v, c) in enumerate(out)]
     out += [(k + 70_000, v, c) for k, v, c in out[:30]]
-    odd = [(90_000, None, 1), (90_100, [], 1), (90_200, [0.0] * 6, 1), (90_300, [1.0, None, 1, 1, 1, 1], 1), (90_400, [NAN] * 6, 1), (90_500, [INF] * 6, 1)]
-    odd += [(90_600, [1.0] * 6, None), (90_700, [1.0, 2.0], 1), (90_800, [2.0, 1.0], 1), (90_900, [-0.0, 1, 0, 0, 0, 0], 2), (91_000, [0.0, 1, 0, 0, 0, 0], 2)]
+    odd = [(90_000, None, 1), (90_100, [], 1), (90_200, [0.0] * 6, 1), (90_300, [1.0, None, 1.0, 1.0, 1.0, 1.0], 1), (90_400, [NAN] * 6, 1), (90_500, [INF] * 6, 1)]
+    odd += [(90_600, [1.0] * 6, None), (90_700, [1.0, 2.0], 1), (90_800, [2.0, 1.0], 1), (90_900, [-0.0, 1.0, 0.0, 0.0, 0.0, 0.0], 2), (91_000, [0.0, 1.0, 0.0, 0.0, 0.0, 0.0], 2)]
     seen = {}
     return [r for r in out + odd if seen.setdefault(r[0], r) is r]
 
