@@ -96,6 +96,18 @@ ORACLES["row_index"] = """
     SELECT row_number() OVER (ORDER BY user_id, ts, event_id) - 1 AS idx, event_id, user_id FROM events"""
 ORACLES["skip_rows"] = f"""
     SELECT o_orderkey, o_custkey, o_orderpriority FROM {_ORDERS_AT} WHERE idx NOT IN (0, 1, 3, 17)"""
+ORACLES["row_index_many_ranges"] = ORACLES["row_index"]
+ORACLES["skip_rows_named_idx"] = """
+    SELECT o_orderkey, o_custkey AS idx FROM (SELECT *, row_number() OVER (ORDER BY o_orderkey) - 1 AS p FROM orders)
+    WHERE p <> 0 AND p NOT BETWEEN 3 AND 5"""
+ORACLES["preview_named_idx"] = """
+    SELECT CAST(o_orderkey AS VARCHAR) AS o_orderkey, CAST(o_custkey AS VARCHAR) AS idx FROM orders ORDER BY orders.o_orderkey LIMIT 5"""
+ORACLES["dedupe_concat_key_named_value"] = """
+    WITH firsts AS (SELECT CAST(floor(value) AS BIGINT) AS value, event_type, min(event_id) AS first FROM events GROUP BY 1, 2)
+    SELECT value, string_agg(event_type, '; ' ORDER BY first) AS event_type FROM firsts GROUP BY value"""
+ORACLES["append_csv"] = """
+    SELECT CAST(c_custkey AS VARCHAR) AS c_custkey, c_name, c_mktsegment FROM customer
+    UNION ALL SELECT CAST(s_suppkey AS VARCHAR), s_name, NULL FROM supplier"""
 ORACLES["skip_prefix"] = f"SELECT o_orderkey, o_custkey FROM {_ORDERS_AT} WHERE idx >= 250"
 ORACLES["skip_rows_expr"] = """
     SELECT o_orderkey, o_custkey, o_orderdate
@@ -280,9 +292,15 @@ ORACLES["check_custom"] = _check(
 ORACLES["check_list_function"] = " UNION ALL ".join(
     f"SELECT '{c}' AS column_name, 'repeats' AS check_name, "
     f"round(1 - count(DISTINCT {c}) / CAST(count(*) AS DOUBLE), 6) AS score "
-    "FROM (SELECT * FROM customer ORDER BY c_custkey LIMIT 100)"
+    "FROM customer"
     for c in ("c_nationkey", "c_mktsegment")
 )
+ORACLES["check_folded_function"] = " UNION ALL ".join(
+    f"SELECT '{c}' AS column_name, 'shortest' AS check_name, "
+    f"round(count_if(n = least) / CAST(count(*) AS DOUBLE), 6) AS score "
+    f"FROM (SELECT length(CAST({c} AS VARCHAR)) AS n, min(length(CAST({c} AS VARCHAR))) OVER () AS least FROM orders)"
+    for c in ("o_orderpriority", "o_orderkey")
+)
 
 # Classification. Each type: parent, gate, keywords and its checks as (score, applies).
 

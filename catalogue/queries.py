@@ -155,6 +155,12 @@ def dedupe_concat_rows(spark, sf_dir):
     return op.distinct_values(orders, "o_custkey", ["o_orderstatus", "o_orderpriority"], "o_orderkey")
 
 
+@query
+def dedupe_concat_key_named_value(spark, sf_dir):
+    events = table(spark, sf_dir, "events").select(F.floor("value").cast("long").alias("value"), "event_type", "event_id")
+    return op.merge_values(events, "value", ["event_type"], "event_id")
+
+
 @query
 def dedupe_concat_key_only(spark, sf_dir):
     dedupe = op.Dedupe(key="l_suppkey", strategy="concat")
@@ -247,10 +253,31 @@ def stream_dedupe_keys(spark, sf_dir):
 @query
 def row_index(spark, sf_dir):
     events = table(spark, sf_dir, "events").select("event_id", "user_id", "ts")
-    indexed = op.with_row_index(events, ["user_id", "ts", "event_id"], rows_per_range=20_000)
+    indexed = op.with_row_index(events, ["user_id", "ts", "event_id"], rows_per_range=2_500)
     return indexed.select("idx", "event_id", "user_id")
 
 
+@query
+def row_index_many_ranges(spark, sf_dir):
+    """Ranges of few rows, so that their bounds become a searched array."""
+    events = table(spark, sf_dir, "events").select("event_id", "user_id", "ts")
+    indexed = op.with_row_index(events, ["user_id", "ts", "event_id"], rows_per_range=200, index="place")
+    return indexed.select(F.col("place").alias("idx"), "event_id", "user_id")
+
+
+@query
+def skip_rows_named_idx(spark, sf_dir):
+    """A column called like a position keeps its values and its place."""
+    orders = table(spark, sf_dir, "orders").select("o_orderkey", F.col("o_custkey").alias("idx"))
+    return op.skip_rows(orders, "0, 3-5", "o_orderkey")
+
+
+@query
+def preview_named_idx(spark, sf_dir):
+    orders = table(spark, sf_dir, "orders").select("o_orderkey", F.col("o_custkey").alias("idx"))
+    return op.preview(orders, [["o_orderkey"], ["idx"]], "o_orderkey")
+
+
 @query
 def skip_rows(spark, sf_dir):
     orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderpriority")
@@ -283,7 +310,7 @@ def column_sample(spark, sf_dir):
 
 @query
 def column_sample_chunked(spark, sf_dir):
-    return op.column_sample(table(spark, sf_dir, "orders"), 3, "o_orderkey", columns=ORDER_TEXTS, chunk=1000)
+    return op.column_sample(table(spark, sf_dir, "orders"), 3, "o_orderkey", columns=ORDER_TEXTS, chunk=1000, rows_per_range=400)
 
 
 # Tables
@@ -300,6 +327,16 @@ def append_rows(spark, sf_dir):
     return op.append_rows(customer, supplier)
 
 
+@query
+def append_csv(spark, sf_dir):
+    """Rows added to a table on disk, with the columns in another order and one missing."""
+    path = fresh_path(spark, "appended") + ".csv"
+    customer = table(spark, sf_dir, "customer")
+    sources.write_table(customer.select("c_custkey", "c_name", "c_mktsegment"), path)
+    sources.append_to(table(spark, sf_dir, "supplier").select(F.col("s_name").alias("c_name"), F.col("s_suppkey").alias("c_custkey")), path)
+    return spark.read.option("header", True).csv(path)
+
+
 @query
 def row_count(spark, sf_dir):
     return op.row_count(table(spark, sf_dir, "lineitem"))
@@ -560,6 +597,29 @@ def check_list_function(spark, sf_dir):
     )
 
 
+@query
+def check_folded_function(spark, sf_dir):
+    """A rule of one's own in states that merge: the share of orders with the least text length."""
+    orders = table(spark, sf_dir, "orders").select("o_orderpriority", "o_orderkey")
+
+    def fold(state, values):
+        lengths = [len(v) for v in values]
+        least = min(lengths)
+        return merge(state, b"%d %d %d" % (least, lengths.count(least), len(lengths))) if state else b"%d %d %d" % (least, lengths.count(least), len(lengths))
+
+    def merge(a, b):
+        (x, n, t), (y, m, u) = (map(int, s.split()) for s in (a, b))
+        least = min(x, y)
+        return b"%d %d %d" % (least, n * (x == least) + m * (y == least), t + u)
+
+    def score(state):
+        _, n, total = map(int, state.split())
+        return n / total
+
+    found = op.run_folded_check(orders, ["o_orderpriority", "o_orderkey"], "shortest", fold, merge, score, weight=1.0)
+    return _rounded(found)
+
+
 # Classification
 
 
@@ -583,7 +643,7 @@ def column_root_types(spark, sf_dir):
 @query
 def column_types_sampled(spark, sf_dir):
     """Judged by the first 100 rows, as an interactive user would."""
-    best = op.best_types(op.classify(table(spark, sf_dir, "customer"), order_by="c_custkey"))
+    best = op.best_types(op.classify(table(spark, sf_dir, "customer"), sample=100, order_by="c_custkey"))
     return best.withColumn("score", F.round("score", 6))
 
 

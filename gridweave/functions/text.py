@@ -17,6 +17,14 @@ def quoted(name: str) -> Column:
     return F.col("`" + name.replace("`", "``") + "`")
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """A name like ``name`` that no column has, whatever its case."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def column_type(df: DataFrame, name: str) -> T.DataType:
     return df.schema[name].dataType
 
@@ -29,13 +37,19 @@ def fold_nan(col: Column, dtype: T.DataType) -> Column:
 
 
 def _float_text(col: Column) -> Column:
-    # Within these bounds the JVM and Python write a number alike. The rare rest stands
-    # in a lambda, which stays out of the generated code: with it inlined, a handful of
+    # Below 1e7 the JVM and Python write a number alike; up to 1e16 the JVM's exponent is
+    # written out. The rare rest stands in a lambda, which stays out of the generated code: with it inlined, a handful of
     # columns make a method too large for the JVM to compile.
     size = F.abs(col)
     rest = F.transform(F.array(col), _rare_float_text)
     alike = ((size >= 1e-3) & (size < 1e7)) | (size == 0)
-    return F.when(alike, col.cast("string")).otherwise(F.get(rest, F.lit(0)))
+    digits = F.rtrim(col.cast("string").cast("decimal(38,20)").cast("string"), F.lit("0"))
+    large = F.when(F.endswith(digits, F.lit(".")), F.concat(digits, F.lit("0"))).otherwise(digits)
+    return (
+        F.when(alike, col.cast("string"))
+        .when((size >= 1e7) & (size < 1e16), large)
+        .otherwise(F.get(rest, F.lit(0)))
+    )
 
 
 def _rare_float_text(x: Column) -> Column:

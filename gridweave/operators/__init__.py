@@ -12,6 +12,7 @@ from .checks import (
     pattern_check,
     predicate_check,
     run_checks,
+    run_folded_check,
     run_list_check,
     string_check,
     uniqueness_check,

@@ -7,8 +7,9 @@ value with its count; the same check runs on both.
 
 from __future__ import annotations
 
+import functools
 import math
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass, field
 
 import pandas as pd
@@ -17,8 +18,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from gridweave.functions.dates import parse_date_text
-from gridweave.functions.text import PY_FLAGS, PY_SPACE, column_type, fold_nan, quoted
-from gridweave.operators.positions import HEAD_LIMIT, INDEX, head
+from gridweave.functions.text import PY_FLAGS, PY_SPACE, column_type, fold_nan, free_name, quoted
+from gridweave.operators.positions import head, with_row_index
 from gridweave.operators.sampling import unpivot_text
 
 # Texts that read as a truth value.
@@ -311,21 +312,55 @@ def run_list_check(
     order_by: str | Sequence[str],
     *,
     weight: float = 0.5,
-    sample: int = 100,
+    sample: int | None = None,
 ) -> DataFrame:
     """``(column_name, check_name, score)`` of a Python function over a list of values.
 
     The way out for a rule that no expression can state. The function sees the texts of
-    the first ``sample`` rows, so a list is never longer than that; each column is
-    scored in its own group.
+    all rows in order, so a column's values have to fit one task; ``sample`` names a number of leading
+    rows to see instead, and :func:`run_folded_check` needs no list.
     """
-    if not 0 < sample <= HEAD_LIMIT:
-        raise ValueError(f"a list check takes a sample of 1 to {HEAD_LIMIT} rows")
+    place = free_name(df, "__position")
 
     def judge(cells: pd.DataFrame) -> pd.DataFrame:
-        ordered = cells.sort_values(INDEX)
+        ordered = cells.sort_values("place", kind="stable")
         values = [None if pd.isna(v) else v for v in ordered["value"]]
         return pd.DataFrame([(ordered["column_name"].iloc[0], name, float(score(values)) * weight)])
 
-    cells = unpivot_text(head(df, sample, order_by), columns, [INDEX])
+    if sample is None:
+        rows = with_row_index(df, order_by, index=place)
+    else:
+        rows = head(df, sample, order_by, place)
+    cells = unpivot_text(rows, columns, [place]).select("column_name", quoted(place).alias("place"), "value")
     return cells.groupBy("column_name").applyInPandas(judge, "column_name string, check_name string, score double")
+
+
+def run_folded_check(
+    df: DataFrame,
+    columns: Sequence[str],
+    name: str,
+    fold: Callable[[bytes | None, list[str | None]], bytes],
+    merge: Callable[[bytes, bytes], bytes],
+    score: Callable[[bytes], float],
+    *,
+    weight: float = 0.5,
+) -> DataFrame:
+    """``(column_name, check_name, score)`` of a rule that goes through the values once, in no order.
+
+    ``fold`` takes some values into a state, a task at a time; ``merge`` joins two states. A state
+    per column and task is all that meets, whatever the number of rows.
+    """
+
+    def folded(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        states: dict[str, bytes] = {}
+        for cells in batches:
+            for column, values in cells.groupby("column_name")["value"]:
+                states[column] = fold(states.get(column), [None if pd.isna(v) else v for v in values])
+        yield pd.DataFrame({"column_name": list(states), "state": list(states.values())})
+
+    def judge(states: pd.DataFrame) -> pd.DataFrame:
+        whole = functools.reduce(merge, states["state"])
+        return pd.DataFrame([(states["column_name"].iloc[0], name, float(score(whole)) * weight)])
+
+    states = unpivot_text(df, columns).mapInPandas(folded, "column_name string, state binary")
+    return states.groupBy("column_name").applyInPandas(judge, "column_name string, check_name string, score double")

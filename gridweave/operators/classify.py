@@ -10,18 +10,18 @@ from __future__ import annotations
 from collections.abc import Sequence
 from difflib import SequenceMatcher
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gridweave.functions.numbers import normalize_number
-from gridweave.functions.text import PY_FLAGS, quoted
+from gridweave.functions.text import PY_FLAGS, free_name, quoted
 from gridweave.operators.checks import Check, CountedCells, Kinds, column_cells, measured_columns
+from gridweave.operators.dedupe import order_value
 from gridweave.operators.detectors import DETECTORS, Detector, lineage
 from gridweave.operators.positions import head
 from gridweave.operators.sampling import unpivot_text
 
 # Fixed values of the scoring rule.
-SAMPLE_ROWS = 100
 KEYWORD_BOOST = 0.1
 NAME_LIKENESS_WEIGHT = 0.05
 LOW_SCORE = 0.3
@@ -43,7 +43,7 @@ def _sampled(df: DataFrame, sample: int | None, order_by: str | Sequence[str] |
         return df
     if order_by is None:
         raise ValueError("a sample needs order_by; sample=None reads all rows")
-    return head(df, sample, order_by)
+    return head(df, sample, order_by, free_name(df, "__position"))
 
 
 def _spec(detectors: Sequence[Detector], checks: Sequence[Check]) -> Column:
@@ -77,13 +77,13 @@ def classify(
     columns: Sequence[str] | None = None,
     *,
     detectors: Sequence[Detector] = DETECTORS,
-    sample: int | None = SAMPLE_ROWS,
+    sample: int | None = None,
     order_by: str | Sequence[str] | None = None,
 ) -> DataFrame:
     """``(column_name, candidates)``: per column the candidate types, best first.
 
-    A candidate is ``(type, score, depth, rank)``. ``sample`` is the number of leading
-    rows to judge by (under ``order_by``); ``None`` judges by all rows.
+    A candidate is ``(type, score, depth, rank)``. All rows are judged; ``sample`` names a
+    number of leading rows to judge by instead (under ``order_by``).
     """
     chosen = list(columns or df.columns)
     rows = _sampled(df, sample, order_by).select(*[quoted(c) for c in chosen])
@@ -181,12 +181,17 @@ def column_examples(
     df: DataFrame,
     order_by: str | Sequence[str],
     columns: Sequence[str] | None = None,
-    sample: int = SAMPLE_ROWS,
 ) -> DataFrame:
-    """``(column_name, examples)``: the first non-blank values of each column within the sample."""
+    """``(column_name, examples)``: the first non-blank values of each column, over all rows.
+
+    The rank limit is applied in each task first, so a few rows per task and column meet.
+    """
     chosen = list(columns or df.columns)
-    cells = unpivot_text(head(df, sample, order_by), chosen, ["idx"])
+    place = free_name(df, "__order")
+    cells = unpivot_text(df.withColumn(place, order_value(order_by)), chosen, [place])
+    cells = cells.select("column_name", quoted(place).alias("place"), "value")
     shown = cells.where(F.col("value").rlike(f"{PY_FLAGS}[^\\s\\x1c-\\x1f]"))
-    found = shown.groupBy("column_name").agg(F.sort_array(F.collect_list(F.struct("idx", "value"))).alias("cells"))
-    first = F.transform(F.slice("cells", 1, EXAMPLES), lambda c: c["value"])
-    return found.select("column_name", first.alias("examples"))
+    order = Window.partitionBy("column_name").orderBy("place", "value")
+    first = shown.withColumn("n", F.row_number().over(order)).where(F.col("n") <= EXAMPLES)
+    found = first.groupBy("column_name").agg(F.sort_array(F.collect_list(F.struct("n", "value"))).alias("cells"))
+    return found.select("column_name", F.transform("cells", lambda c: c["value"]).alias("examples"))

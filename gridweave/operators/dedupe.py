@@ -16,8 +16,7 @@ from gridweave.operators.mapping import SlotLike, apply_mapping, as_slots, used_
 
 STRATEGIES = ("drop", "concat")
 DEFAULT_CONCAT_SEPARATOR = "; "
-# A merged cell is one value of one row, so it has to fit a Spark string (2 GiB).
-MAX_CELL_BYTES = 1 << 30
+_LONG_NAMES = ("column_name", "value", "first_seen")
 
 
 @dataclass(frozen=True)
@@ -73,14 +72,25 @@ def keep_first(df: DataFrame, key: str, columns: Sequence[str], order_by: str |
     return grouped.select(quoted(key), *[F.col("__first").getField(c).alias(c) for c in others])
 
 
-def distinct_values(df: DataFrame, key: str, columns: Sequence[str], order_by: str | Sequence[str]) -> DataFrame:
+def distinct_values(
+    df: DataFrame, key: str, columns: Sequence[str], order_by: str | Sequence[str], key_as: str | None = None
+) -> DataFrame:
     """Long form of the merge: ``(key, column_name, value, first_seen)``.
 
+    The key column keeps its name; one called like another column of the result needs ``key_as``.
+
     One row per distinct non-blank text per key and column, with the order value at
     which it first appears, plus one null-value row per key and column that has a
     blank. Grouping by the value as well spreads a hot key over all tasks, so this
     form is whole at any group size.
     """
+    name = key_as or key
+    if name.lower() in _LONG_NAMES:
+        raise ValueError(f"the result has a column {name!r} of its own; name the key by key_as=")
+    return _distinct(df, key, columns, order_by).withColumnRenamed("__key", name)
+
+
+def _distinct(df: DataFrame, key: str, columns: Sequence[str], order_by: str | Sequence[str]) -> DataFrame:
     others = [c for c in dict.fromkeys(columns) if c != key]
     blanked = with_key(df, key).select(
         quoted(key).alias("__key"),
@@ -88,8 +98,7 @@ def distinct_values(df: DataFrame, key: str, columns: Sequence[str], order_by: s
         *[F.nullif(column_text(df, c), F.lit("")).alias(c) for c in others],
     )
     values = blanked.unpivot(["__key", "__order"], [quoted(c) for c in others], "column_name", "value")
-    grouped = values.groupBy("__key", "column_name", "value").agg(F.min("__order").alias("first_seen"))
-    return grouped.withColumnRenamed("__key", key)
+    return values.groupBy("__key", "column_name", "value").agg(F.min("__order").alias("first_seen"))
 
 
 def merge_values(
@@ -98,21 +107,21 @@ def merge_values(
     columns: Sequence[str],
     order_by: str | Sequence[str],
     separator: str = DEFAULT_CONCAT_SEPARATOR,
-    max_cell_bytes: int | None = MAX_CELL_BYTES,
+    max_cell_bytes: int | None = None,
 ) -> DataFrame:
     """One row per key; every other column holds its distinct texts in first-seen order.
 
     Duplicates are gone before anything is collected. What remains for a key is the
-    content of its output cells; a key whose cells would pass ``max_cell_bytes``
-    raises, before its values meet in one task, and :func:`distinct_values` gives the
-    same content as rows.
+    content of its output cells, and one cell is one value of one row. With
+    ``max_cell_bytes`` a larger cell raises before its values meet in one task;
+    :func:`distinct_values` gives the same content as rows.
     """
     others = [c for c in dict.fromkeys(columns) if c != key]
     if not others:
         return with_key(df, key).select(quoted(key)).distinct()
-    values = distinct_values(df, key, others, order_by)
+    values = _distinct(df, key, others, order_by)
     if max_cell_bytes is not None:
-        values = _bounded(values, key, len(separator.encode()), max_cell_bytes)
+        values = _bounded(values, len(separator.encode()), max_cell_bytes)
     lists = [
         F.array_join(
             F.transform(
@@ -130,20 +139,20 @@ def merge_values(
         ).alias(c)
         for c in others
     ]
-    return values.groupBy(quoted(key)).agg(*lists)
+    return values.groupBy("__key").agg(*lists).withColumnRenamed("__key", key)
 
 
-def _bounded(values: DataFrame, key: str, gap: int, limit: int) -> DataFrame:
-    # The size of the largest key is one value: a scalar subquery over the same grouped
+def _bounded(values: DataFrame, gap: int, limit: int) -> DataFrame:
+    # The size of the largest cell is one value: a scalar subquery over the same grouped
     # rows (it shares their exchange), built from sums that combine on the map side.
-    sizes = values.groupBy(quoted(key).alias("key")).agg(
+    sizes = values.groupBy(F.col("__key").alias("key"), "column_name").agg(
         F.sum(F.octet_length("value") + F.lit(gap)).alias("bytes"),
         F.min("first_seen").alias("first_seen"),
     )
-    largest = sizes.agg(F.max_by(F.struct("bytes", "key", "first_seen"), "bytes")).scalar()
+    largest = sizes.agg(F.max_by(F.struct("bytes", "key", "column_name", "first_seen"), "bytes")).scalar()
     error = F.raise_error(
         F.concat(
-            F.lit(f"a merged cell may pass {limit} bytes, key and first row: "),
+            F.lit(f"a merged cell may pass {limit} bytes, key, column and first row: "),
             F.to_json(largest),
             F.lit("; distinct_values holds keys of any size"),
         )
@@ -153,8 +162,11 @@ def _bounded(values: DataFrame, key: str, gap: int, limit: int) -> DataFrame:
 
 
 def exclude_seen(df: DataFrame, key: str, seen: DataFrame, seen_key: str | None = None) -> DataFrame:
-    """Rows whose key is not among the keys already seen."""
-    old = seen.select(quoted(seen_key or key).alias("__seen"))
+    """Rows whose key is not among the keys already seen.
+
+    Each seen key meets the rows once: a key seen very often is reduced in the tasks that read it.
+    """
+    old = seen.select(quoted(seen_key or key).alias("__seen")).distinct()
     return df.join(old, quoted(key) == F.col("__seen"), "left_anti")
 
 

@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from gridweave.functions.text import quoted
+from gridweave.functions.text import free_name, quoted
 
 Range = tuple[int, int]
 
@@ -101,14 +101,21 @@ def _names(order_by: str | Sequence[str]) -> list[str]:
     return names
 
 
-def head(df: DataFrame, n: int, order_by: str | Sequence[str]) -> DataFrame:
-    """First ``n`` rows in order, with their positions: each task keeps its own first
-    ``n``, and only those meet."""
+def _unused(df: DataFrame, index: str) -> str:
+    if index.lower() in {c.lower() for c in df.columns}:
+        raise ValueError(f"the table has a column {index!r}; name the position otherwise by index=")
+    return index
+
+
+def head(df: DataFrame, n: int, order_by: str | Sequence[str], index: str = INDEX) -> DataFrame:
+    """First ``n`` rows in order, with their positions as ``index``: each task keeps its
+    own first ``n``, and only those meet. A name that the table has is refused."""
+    index = _unused(df, index)
     if n > HEAD_LIMIT:
-        return with_row_index(df, order_by).where(F.col(INDEX) < n)
+        return with_row_index(df, order_by, index=index).where(quoted(index) < n)
     order = [quoted(c) for c in _names(order_by)]
     top = df.orderBy(*order).limit(n)
-    return top.withColumn(INDEX, (F.row_number().over(Window.orderBy(*order)) - 1).cast("long"))
+    return top.withColumn(index, (F.row_number().over(Window.orderBy(*order)) - 1).cast("long"))
 
 
 def skip_rows(df: DataFrame, skip: str | int | Iterable[int] | None, order_by: str | Sequence[str]) -> DataFrame:
@@ -124,9 +131,11 @@ def skip_rows(df: DataFrame, skip: str | int | Iterable[int] | None, order_by: s
     names = _names(order_by)
     last = ranges[-1][1]
     if last >= HEAD_LIMIT:
-        return with_row_index(df, names).where(~in_ranges(F.col(INDEX), ranges)).drop(INDEX)
-    first_rows = head(df.select(*[quoted(c) for c in names]), last + 1, names)
-    dropped = first_rows.where(in_ranges(F.col(INDEX), ranges))
+        place = free_name(df, "__position")
+        return with_row_index(df, names, index=place).where(~in_ranges(quoted(place), ranges)).drop(place)
+    keys = df.select(*[quoted(c) for c in names])
+    place = free_name(keys, "__position")
+    dropped = head(keys, last + 1, names, place).where(in_ranges(quoted(place), ranges))
     dropped = dropped.select(*[quoted(c).alias(f"__skip{i}") for i, c in enumerate(names)])
     same = [quoted(c).eqNullSafe(F.col(f"__skip{i}")) for i, c in enumerate(names)]
     return df.join(F.broadcast(dropped), fold(lambda x, y: x & y, same), "left_anti")
@@ -136,21 +145,23 @@ def with_row_index(
     df: DataFrame,
     order_by: str | Sequence[str],
     rows_per_range: int = ROWS_PER_RANGE,
+    index: str = INDEX,
 ) -> DataFrame:
-    """Add ``idx``: the 0-based position of each row under a total order.
+    """Add ``index``: the 0-based position of each row under a total order. A name that
+    the table has is refused.
 
     Two small passes over the order columns alone come first: a sample for the range
     bounds and a count per range. The bounds and the running counts go into the plan
     as literals, so the table moves once, to sort within its ranges.
     """
-    names = _names(order_by)
+    names, index = _names(order_by), _unused(df, index)
     order = [quoted(c) for c in names]
     keys = df.select(*order)
     rows = keys.count()
     ranges = max(1, min(MAX_RANGES, math.ceil(rows / rows_per_range)))
     if ranges == 1:
         place = F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(*order)) - 1
-        return df.withColumn(INDEX, place.cast("long"))
+        return df.withColumn(index, place.cast("long"))
     bounds = _range_bounds(keys, names, rows, ranges)
     number = _range_number(F.struct(*order), bounds, keys.schema)
     counts = dict(keys.groupBy(number.alias("r")).count().collect())
@@ -158,16 +169,18 @@ def with_row_index(
     for r in range(len(bounds) + 1):
         offsets.append(total)
         total += counts.get(r, 0)
-    numbered = df.withColumn("__range", number)
-    place = F.row_number().over(Window.partitionBy("__range").orderBy(*order)) - 1
-    base = F.get(F.lit(offsets).cast("array<bigint>"), F.col("__range"))
-    return numbered.withColumn(INDEX, base + place).drop("__range")
+    part = free_name(df, "__range")
+    numbered = df.withColumn(part, number)
+    place = F.row_number().over(Window.partitionBy(part).orderBy(*order)) - 1
+    base = F.get(F.lit(offsets).cast("array<bigint>"), F.col(part))
+    return numbered.withColumn(index, base + place).drop(part)
 
 
 def _range_bounds(keys: DataFrame, names: list[str], rows: int, ranges: int) -> list[tuple]:
     # At most ranges * 2 * SAMPLES_PER_RANGE order tuples reach the driver, whatever the table size.
     fraction = min(1.0, ranges * SAMPLES_PER_RANGE / rows)
-    sample = keys.sample(fraction=fraction, seed=11).limit(2 * ranges * SAMPLES_PER_RANGE)
+    sample = keys.sample(fraction=fraction, seed=11)
+    sample = sample.orderBy(F.xxhash64(*sample.columns)).limit(2 * ranges * SAMPLES_PER_RANGE)
     ordered = sample.orderBy(*[quoted(c) for c in names]).collect()
     picks = sorted({len(ordered) * i // ranges for i in range(1, ranges)}) if ordered else []
     return list(dict.fromkeys(tuple(ordered[p]) for p in picks))

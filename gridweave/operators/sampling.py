@@ -7,9 +7,9 @@ from collections.abc import Iterable, Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridweave.functions.text import column_text, quoted
+from gridweave.functions.text import column_text, free_name, quoted
 from gridweave.operators.mapping import SlotLike, apply_mapping
-from gridweave.operators.positions import INDEX, head, with_row_index
+from gridweave.operators.positions import INDEX, ROWS_PER_RANGE, head, with_row_index
 
 PREVIEW_ROWS = 5
 SAMPLE_CHUNK = 1_000
@@ -32,17 +32,19 @@ def column_sample(
     order_by: str | Sequence[str],
     columns: Sequence[str] | None = None,
     chunk: int | None = None,
+    rows_per_range: int = ROWS_PER_RANGE,
 ) -> DataFrame:
     """First ``n`` values of each column as ``(column_name, idx, value)``.
 
     With ``chunk`` set: the first ``n`` values of every run of ``chunk`` rows.
     """
     chosen = list(columns or df.columns)
+    place = free_name(df, "__position")
     if chunk:
-        rows = with_row_index(df, order_by).where(F.col(INDEX) % chunk < n)
+        rows = with_row_index(df, order_by, rows_per_range, place).where(quoted(place) % chunk < n)
     else:
-        rows = head(df, n, order_by)
-    return unpivot_text(rows, chosen, [INDEX]).select("column_name", INDEX, "value")
+        rows = head(df, n, order_by, place)
+    return unpivot_text(rows, chosen, [place]).select("column_name", quoted(place).alias(INDEX), "value")
 
 
 def preview(
@@ -52,4 +54,4 @@ def preview(
     n: int = PREVIEW_ROWS,
 ) -> DataFrame:
     """The first ``n`` rows, mapped."""
-    return apply_mapping(head(df, n, order_by), mapping)
+    return apply_mapping(head(df, n, order_by, free_name(df, "__position")), mapping)

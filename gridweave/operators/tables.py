@@ -22,6 +22,8 @@ _TRUTH_WORDS = ["True", "TRUE", "true", "False", "FALSE", "false"]
 def append_rows(df: DataFrame, more: DataFrame | Sequence[Mapping]) -> DataFrame:
     """Rows of both, columns matched by name, gaps null."""
     if not isinstance(more, DataFrame):
+        if not more:
+            return df
         more = df.sparkSession.createDataFrame([dict(row) for row in more])
     return df.unionByName(more, allowMissingColumns=True)
 

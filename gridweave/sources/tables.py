@@ -7,9 +7,11 @@ import time
 from collections.abc import Callable
 from dataclasses import dataclass
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
+from gridweave.functions.text import quoted
 from gridweave.sources.csv import read_csv
 from gridweave.sources.workbook import WORKBOOK_SUFFIXES, read_workbook
 
@@ -145,6 +147,25 @@ def copy_table(spark: SparkSession, source: str, target: str, **options) -> RunM
 
 
 def append_to(df: DataFrame, path: str, *, sep: str = ",") -> RunMetrics:
-    """Add rows to a table on disk."""
-    return write_table(df, path, mode="append", sep=sep)
+    """Add rows to a table on disk, columns matched by name.
+
+    Columns of the table that the rows lack become null; a column the table lacks is refused, since
+    files written before could not be read with it.
+    """
+    spark, suffix = df.sparkSession, _suffix(path)
+    reader = spark.read.format(suffix[1:]) if suffix in (".parquet", ".orc") else spark.read.format("csv").options(header=True, sep=sep)
+    try:
+        there = reader.load(path).schema
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return write_table(df, path, mode="append", sep=sep)
+    if more := sorted(set(df.columns) - set(there.names)):
+        raise ValueError(f"the table at {path} has no column {', '.join(more)}")
+    typed = suffix in (".parquet", ".orc")
+    columns = [
+        (quoted(f.name) if f.name in df.columns else F.lit(None).cast(f.dataType)) for f in there
+    ]
+    columns = [(c.cast(f.dataType) if typed else c).alias(f.name) for c, f in zip(columns, there, strict=True)]
+    return write_table(df.select(*columns), path, mode="append", sep=sep)
 

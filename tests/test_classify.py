@@ -163,10 +163,10 @@ def test_sample_takes_the_head(spark):
     df = spark.range(300).select(
         "id", F.when(F.col("id") < 100, "SE").otherwise("not a code").alias("country")
     )
-    best = best_types(classify(df.repartition(5), ["country"], order_by="id")).head()
+    best = best_types(classify(df.repartition(5), ["country"], sample=100, order_by="id")).head()
     assert best.type == "countrycode"
     with pytest.raises(ValueError, match="order_by"):
-        classify(df)
+        classify(df, sample=100)
 
 
 def test_examples(spark, rows):

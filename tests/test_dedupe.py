@@ -123,3 +123,24 @@ def test_increment(spark, rows):
     new = spark.createDataFrame([(0, "a", 1), (1, "b", 2), (2, "b", 3)], "idx int, K string, V int")
     seen = spark.createDataFrame([("a",), ("z",)], "old string")
     assert rows(dedupe_increment(new, "K", ["V"], "idx", seen, "old")) == [("b", 2)]
+
+
+def test_key_called_like_a_column_of_the_long_form(spark, rows):
+    df = spark.createDataFrame([(0, "a", "x"), (1, "a", "y"), (2, "b", "x")], "n int, value string, v string")
+    assert rows(merge_values(df, "value", ["v"], "n")) == [("a", "x; y"), ("b", "x")]
+    with pytest.raises(ValueError):
+        distinct_values(df, "value", ["v"], "n")
+    assert distinct_values(df, "value", ["v"], "n", key_as="k").columns == ["k", "column_name", "value", "first_seen"]
+
+
+def test_size_limit_is_per_cell(spark, rows):
+    df = spark.createDataFrame([(0, "a", "x" * 60, "y" * 60)], "n int, k string, p string, q string")
+    assert rows(merge_values(df, "k", ["p", "q"], "n", max_cell_bytes=100)) == [("a", "x" * 60, "y" * 60)]
+
+
+def test_seen_keys_are_reduced_before_the_join(spark):
+    seen = spark.createDataFrame([("a",)] * 9 + [("b",)], "old string")
+    new = spark.createDataFrame([(0, "a", 1), (1, "c", 2)], "n int, K string, V int")
+    out = dedupe_increment(new, "K", ["V"], "n", seen, "old")
+    assert [r.K for r in out.collect()] == ["c"]
+    assert "Aggregate" in out._jdf.queryExecution().optimizedPlan().toString().split("LeftAnti")[1]

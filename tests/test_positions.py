@@ -104,3 +104,17 @@ def test_column_sample(spark, rows):
     assert rows(column_sample(df, 2, "A")) == [("A", 0, "0"), ("A", 1, "1"), ("B", 0, "10"), ("B", 1, "11")]
     chunked = column_sample(df, 1, "A", columns=["B"], chunk=2)
     assert rows(chunked) == [("B", 0, "10"), ("B", 2, "12"), ("B", 4, "14")]
+
+
+def test_columns_named_like_a_position_stay(spark, rows):
+    df = spark.createDataFrame([(i, (i + 1) * 100) for i in range(20)], "id int, idx int").repartition(3)
+    assert rows(skip_rows(df, "0", "idx")) == [(i, (i + 1) * 100) for i in range(1, 20)]
+    far = spark.range(HEAD_LIMIT + 3).selectExpr("id", "id * 2 AS idx")
+    kept = skip_rows(far, f"1,{HEAD_LIMIT + 1}", "id")
+    assert kept.columns == ["id", "idx"] and kept.where("idx <> 2 * id").count() == 0 and kept.count() == HEAD_LIMIT + 1
+    assert rows(preview(df, [["idx"]], "id", n=2)) == [("100",), ("200",)]
+    assert rows(column_sample(df, 1, "id", columns=["idx"])) == [("idx", 0, "100")]
+    for add in (head, with_row_index):
+        with pytest.raises(ValueError):
+            add(df, *([3] if add is head else []), "id")
+    assert rows(with_row_index(df, "id", index="place").where("place <> id")) == []

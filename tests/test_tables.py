@@ -162,3 +162,30 @@ def test_stateful_stream(spark, tmp_path, rows):
         assert rows(spark.table(name).select("k")) == [(i,) for i in range(5)]
     with pytest.raises(ValueError):
         dedupe_stream(stream, "k", event_time="ts")
+
+
+def test_append_to_matches_by_name(spark, tmp_path, rows):
+    from gridweave.operators import append_rows
+    from gridweave.sources import append_to, write_table
+
+    path = str(tmp_path / "t.parquet")
+    one = spark.createDataFrame([(1, "x")], "a int, b string")
+    append_to(one, path)
+    append_to(spark.createDataFrame([("y", 2)], "b string, a int"), path)
+    append_to(spark.createDataFrame([("z",)], "b string"), path)
+    assert rows(spark.read.parquet(path).select("a", "b")) == sorted([(1, "x"), (2, "y"), (None, "z")], key=repr)
+    with pytest.raises(ValueError):
+        append_to(spark.createDataFrame([(1,)], "c int"), path)
+    write_table(one, str(tmp_path / "u.csv"))
+    append_to(spark.createDataFrame([("y", 2)], "b string, a int"), str(tmp_path / "u.csv"))
+    assert rows(spark.read.option("header", True).csv(str(tmp_path / "u.csv"))) == [("1", "x"), ("2", "y")]
+    assert append_rows(one, []).count() == 1
+
+
+def test_examples_and_list_checks_see_all_rows(spark, rows):
+    from gridweave.operators import column_examples, run_list_check
+
+    df = spark.range(400).selectExpr("id", "IF(id < 150, NULL, concat('v', id)) AS late")
+    assert rows(column_examples(df, "id", ["late"])) == [("late", ["v150", "v151", "v152"])]
+    found = run_list_check(df, ["late"], "n", lambda v: sum(x is not None for x in v), "id", weight=1.0).head()
+    assert found.score == 250
