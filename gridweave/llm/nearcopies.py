@@ -19,7 +19,8 @@ SKETCHES = 16
 THRESHOLD = 0.8
 FIRST = 5  # one bucket in so many is compared first
 SMALL = 16  # members of a bucket that are compared with each other at once
-TOGETHER = 64  # pairs aligned at once
+TOGETHER = 256  # pairs aligned at once
+NARROW = 8  # band that is tried first
 CELLS = 1 << 21  # of a band matrix row for all pairs aligned at once, at most
 FAR = np.int32(1 << 29)
 
@@ -84,72 +85,86 @@ def _sketched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def distances(pairs: list[tuple[np.ndarray, np.ndarray]], band: int) -> np.ndarray:
-    """Edit distances of word sequences, exact up to ``band``; what is larger comes out larger than ``band``.
+    """Edit distances of word sequences by paths inside a band: exact up to ``band``, else an upper bound of the distance.
 
-    One row of the band of all pairs at a time. What comes from the left in a row is a running minimum.
+    One row of the band of all pairs at a time; pairs that have ended leave. Cells hold the distance less their place in the band,
+    so what comes from the left in a row is a running minimum.
     """
-    n = np.array([len(a) for a, _ in pairs])
-    m = np.array([len(b) for _, b in pairs])
-    width, high = 2 * band + 1, int(n.max(initial=0))
-    a = np.full((len(pairs), high + 1), -1, np.int32)
-    b = np.full((len(pairs), high + width + 1), -2, np.int32)
-    for p, (x, y) in enumerate(pairs):
+    result = np.full(len(pairs), FAR, np.int64)
+    n = np.array([len(a) for a, _ in pairs], np.int64)
+    end = np.array([len(b) for _, b in pairs], np.int64) - n + band
+    width = 2 * band + 1
+    live = np.flatnonzero((end >= 0) & (end < width))
+    live = live[np.argsort(n[live], kind="stable")]
+    n, end = n[live], end[live]
+    high = int(n.max(initial=0))
+    a = np.full((len(live), high + 1), -1, np.int32)
+    b = np.full((len(live), high + width + 1), -2, np.int32)
+    for p, number in enumerate(live):
+        x, y = pairs[number]
         a[p, : len(x)] = x
         y = y[: high + band + 1]
         b[p, band : band + len(y)] = y
     steps = np.arange(width, dtype=np.int32)
-    row = np.tile(np.where(steps >= band, steps - band, FAR).astype(np.int32), (len(pairs), 1))
-    result = np.full(len(pairs), FAR, np.int64)
-    end = m - n + band
-    inside = (end >= 0) & (end < width)
-
-    def note(i: int) -> None:
-        done = np.flatnonzero((n == i) & inside)
-        result[done] = row[done, end[done]]
-
-    note(0)
-    for i in range(1, high + 1):
-        new = row + (a[:, i - 1 : i] != b[:, i - 1 : i - 1 + width])
-        np.minimum(new[:, :-1], row[:, 1:] + 1, out=new[:, :-1])
-        new -= steps
-        np.minimum.accumulate(new, axis=1, out=new)
-        new += steps
-        row = np.minimum(new, FAR)
-        note(i)
-    return np.where(result <= band, result, FAR)
+    row = np.tile(np.where(steps >= band, np.int32(-band), FAR), (len(live), 1))
+    first = 0  # pairs before it have ended
+    for i in range(high + 1):
+        if i:
+            new = row + (a[first:, i - 1 : i] != b[first:, i - 1 : i - 1 + width])
+            np.minimum(new[:, :-1], row[:, 1:] + 2, out=new[:, :-1])
+            row = np.minimum.accumulate(new, axis=1, out=new)
+        ended = first
+        while ended < len(n) and n[ended] == i:
+            ended += 1
+        if ended > first:
+            here = end[first:ended]
+            result[live[first:ended]] = row[np.arange(ended - first), here] + here
+            row, first = row[ended - first :], ended
+    return result
 
 
 def align(pairs: list[tuple[np.ndarray, np.ndarray]], threshold: float = THRESHOLD) -> np.ndarray:
-    """Edit distance over the longer length, exact as far as the threshold lets pass; else 1.
+    """How far pairs are apart: a share of the longer length that bounds their edit distance, or 1 if it is above the threshold.
 
-    Words that the two don't share bound the distance from below and settle most unlike pairs. The band starts
-    narrow and widens for the pairs that need it.
+    Words, and pairs of words, that the two don't share bound the distance from below and settle most unlike pairs. The band
+    starts narrow: any path in it within the threshold is proof enough. It widens to the threshold for pairs that need it.
     """
     out = np.ones(len(pairs))
     longest = np.array([max(len(a), len(b), 1) for a, b in pairs])
     most = np.floor(longest * (1 - threshold) + 1e-9).astype(int)
-    least = np.array([longest[p] - _shared(a, b) for p, (a, b) in enumerate(pairs)])
-    left = np.flatnonzero(least <= most)
+    left = np.array([p for p, (a, b) in enumerate(pairs) if _may_reach(a, b, int(most[p]))], np.int64)
     left = left[np.argsort(longest[left], kind="stable")]
-    share = 1 / 64
+    width = NARROW
     while len(left):
-        unsettled = []
+        unsettled = [np.zeros(0, np.int64)]
         at = 0
         while at < len(left):
             group = left[at : at + TOGETHER]
-            band = np.minimum(most[group], np.maximum(8, (longest[group] * share).astype(int)))
-            while len(group) > 1 and len(group) * (2 * band.max() + 1) > CELLS:
-                group, band = group[: len(group) // 2], band[: len(group) // 2]
-            d = distances([pairs[p] for p in group], int(band.max()))
-            fine = d <= band.max()
+            while len(group) > 1 and len(group) * max(2 * min(width, most[group].max()) + 1, longest[group[-1]] // 8) > CELLS:
+                group = group[: len(group) // 2]
+            band = int(min(width, most[group].max()))
+            d = distances([pairs[p] for p in group], band)
+            fine = d <= most[group]
             out[group[fine]] = d[fine] / longest[group[fine]]
             unsettled.append(group[~fine & (band < most[group])])
             at += len(group)
         left = np.concatenate(unsettled)
-        share *= 4
+        width *= 4
     return out
 
 
+def _may_reach(a: np.ndarray, b: np.ndarray, most: int) -> bool:
+    """Whether the words and pairs of words in common allow a distance of ``most``; an edit changes two pairs at most."""
+    longest = max(len(a), len(b))
+    if longest - _shared(a, b) > most:
+        return False
+    if longest < 2:
+        return True
+    joined = np.unique(np.concatenate([x[:-1].astype(np.int64) << 32 | x[1:] for x in (a, b)]), return_inverse=True)[1]
+    cut = max(0, len(a) - 1)
+    return longest - 1 - _shared(joined[:cut], joined[cut:]) <= 2 * most
+
+
 def _shared(a: np.ndarray, b: np.ndarray) -> int:
     """Words that both have, counted as often as both have them."""
     n = int(max(a.max(initial=0), b.max(initial=0))) + 1
