@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from .common import pick, stored
 
 SLICE = 256  # texts encoded at once
+MOST_BROADCAST = 1_000_000  # partitions whose first places are broadcast, 24 bytes each
 #: Characters for which the two tokeniser libraries surely split words alike.
 _PLAIN = re.compile("[^\\x20-\\x7e\\n\\tÀ-ɏ]")
 
@@ -131,8 +132,8 @@ def pack(
 
     Pass one encodes each text once, numbers the ids within its partition and stores them in the shared folder.
     Totals per partition, a row each, give every partition's first place by a prefix sum. Pass two adds it
-    and cuts at fixed places; a document that crosses a boundary gives a piece on either side. No text and no ids
-    are shuffled, so no key can be hot, and a document of any length takes one row and one pass over its ids.
+    and cuts at fixed places; a document that crosses a boundary gives a piece on either side. First places are broadcast up to
+    ``MOST_BROADCAST`` partitions and joined beyond; no text is shuffled, and no key can be hot, and a document of any length takes one row and one pass over its ids.
 
     The key must be a whole number or null and is passed on. A null text is empty: one piece with ``end_id``.
     Repeated rows are packed one by one. Further columns are not looked at. An empty table gives no pieces.
@@ -144,7 +145,8 @@ def pack(
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     whole = Window.orderBy(F.lit(0)).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     firsts = totals.select("part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"), F.sum("n").over(whole).alias("total"))
-    placed = tokens.join(firsts, "part")
+    small = totals.count() <= MOST_BROADCAST
+    placed = tokens.join(F.broadcast(firsts) if small else firsts, "part")
     pieces = placed.select("key", "n", "ids", (F.col("before") + F.col("start")).alias("first"), "total").mapInArrow(
         _cut(length),
         "key long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long, padded_length long",
