@@ -105,6 +105,7 @@ ORACLES["preview_named_idx"] = """
 ORACLES["dedupe_concat_key_named_value"] = """
     WITH firsts AS (SELECT CAST(floor(value) AS BIGINT) AS value, event_type, min(event_id) AS first FROM events GROUP BY 1, 2)
     SELECT value, string_agg(event_type, '; ' ORDER BY first) AS event_type FROM firsts GROUP BY value"""
+ORACLES["scan_csv_headers_differ"] = "SELECT CAST(c_custkey AS VARCHAR) AS c_custkey, c_name, c_mktsegment FROM customer"
 ORACLES["append_csv"] = """
     SELECT CAST(c_custkey AS VARCHAR) AS c_custkey, c_name, c_mktsegment FROM customer
     UNION ALL SELECT CAST(s_suppkey AS VARCHAR), s_name, NULL FROM supplier"""

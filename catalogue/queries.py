@@ -327,6 +327,19 @@ def append_rows(spark, sf_dir):
     return op.append_rows(customer, supplier)
 
 
+@query
+def scan_csv_headers_differ(spark, sf_dir):
+    """Two files of one folder: columns in another order, and lines before one header."""
+    path = fresh_path(spark, "headers")
+    customer = table(spark, sf_dir, "customer").select("c_custkey", "c_name", "c_mktsegment")
+    customer.where("c_custkey % 2 = 0").coalesce(1).write.option("header", True).csv(path)
+    turned = customer.where("c_custkey % 2 = 1").select("c_name", F.col("c_custkey").cast("string"), "c_mktsegment")
+    lines = turned.select(F.concat_ws(",", *turned.columns).alias("value"))
+    head = spark.sql("SELECT explode(array('', ' ', 'c_name,c_custkey,c_mktsegment')) AS value")
+    head.coalesce(1).unionAll(lines.coalesce(1)).coalesce(1).write.mode("append").option("compression", "none").text(path)
+    return sources.read_csv(spark, path, headers="each").select("c_custkey", "c_name", "c_mktsegment")
+
+
 @query
 def append_csv(spark, sf_dir):
     """Rows added to a table on disk, with the columns in another order and one missing."""

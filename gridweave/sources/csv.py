@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import csv as csv_text
 from collections.abc import Iterable, Sequence
+from functools import reduce
+from urllib.parse import unquote
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -43,6 +45,7 @@ def read_csv(
     file_pattern: str | None = None,
     glob: str | None = None,
     multi_line: bool = False,
+    headers: str = "same",
 ) -> DataFrame:
     """Rows of one or more CSV files; the first row not skipped is each file's header.
 
@@ -50,9 +53,14 @@ def read_csv(
     more fields than the header raise, are left out (``bad_rows="skip"``), or lose the
     extra fields (``"keep"``). ``with_order`` adds the ``FILE_ORDER`` columns.
     ``file_pattern`` keeps files whose name matches a regex anywhere. ``multi_line`` reads
-    quoted line breaks, at the price of one task per file. The files of one scan share
-    one layout, read off the first of them.
+    quoted line breaks, at the price of one task per file.
+
+    The files of one scan have one header, read off the first of them; another header in a
+    file raises. ``headers="each"`` looks at every file, in a pass of its own, and matches columns by
+    name: the order of columns and the lines before a header may then differ, not the names.
     """
+    if headers not in ("same", "each"):
+        raise ValueError(f"headers are 'same' or 'each', not {headers!r}")
     if bad_rows not in BAD_ROWS:
         raise ValueError(f"bad_rows is one of {BAD_ROWS}, not {bad_rows!r}")
     if len(sep) != 1:
@@ -61,7 +69,19 @@ def read_csv(
     if multi_line and ranges:
         raise ValueError("rows are skipped by line, so not in files whose rows span lines")
     lines = _lines(spark, path, glob, file_pattern)
-    header, header_index = _header(lines, sep, ranges)
+    if headers == "each":
+        layouts = _layouts(lines, ranges)
+        names = {frozenset(header_names(text, sep)) for text, _ in layouts}
+        if len(names) > 1:
+            raise ValueError(f"files have different columns: {sorted(map(sorted, names))}")
+        if len(layouts) > 1:
+            rest = {
+                "sep": sep, "skip": skip, "bad_rows": bad_rows, "na_tokens": na_tokens, "with_order": with_order, "multi_line": multi_line
+            }
+            parts = [read_csv(spark, files, **rest) for files in layouts.values()]
+            rows = reduce(DataFrame.unionByName, parts)
+            return cast_inferred(rows) if infer_types else rows
+    header, header_index, header_line = _header(lines, sep, ranges)
     schema = T.StructType([T.StructField(c, T.StringType()) for c in header])
     if bad_rows != "keep":
         schema = schema.add(_UNEVEN, T.StringType())
@@ -75,6 +95,9 @@ def read_csv(
         # A pruned parse cannot tell how many fields a row has.
         whole = bad_rows != "keep"
         reader = spark.read.schema(schema).options(header=True, columnPruning=not whole, multiLine=multi_line, **options)
+        # With names as they stand in the file, Spark compares every file's header with them.
+        if header == next(csv_text.reader([header_line], delimiter=sep)):
+            reader = reader.option("enforceSchema", False)
         if glob:
             reader = reader.option("pathGlobFilter", glob)
         rows = _named(reader.csv(path), file_pattern)
@@ -82,7 +105,14 @@ def read_csv(
         rows = rows.select(*fields, *order) if with_order else rows.select(*fields)
     else:
         numbered = _with_line_index(lines)
-        wanted = ~in_ranges(F.col("line"), ranges) & (F.col("line") > header_index) & (F.trim("value") != "")
+        line = F.col("line")
+        other = F.raise_error(F.lit("files have different headers; headers='each' looks at every file")).cast("boolean")
+        wanted = (
+            F.when(in_ranges(line, ranges), False)
+            .when(line > header_index, F.trim("value") != "")
+            .when(line == header_index, F.when(F.col("value") == header_line, False).otherwise(other))
+            .otherwise(F.when(F.trim("value") == "", False).otherwise(other))
+        )
         # As a generator the parse runs once per kept line, and no later filter can
         # move in front of the line filter and see skipped lines.
         parsed = F.inline(F.array(F.from_csv(F.col("value"), _ddl(schema), options)))
@@ -136,7 +166,18 @@ def _lines(spark: SparkSession, path: str | Sequence[str], glob: str | None, fil
     return _named(reader.text(path), file_pattern)
 
 
-def _header(lines: DataFrame, sep: str, ranges: Sequence[Range]) -> tuple[list[str], int]:
+def _layouts(lines: DataFrame, ranges: Sequence[Range]) -> dict[tuple[str, int], list[str]]:
+    """The files of each header text and line. File names are what the driver lists for any scan."""
+    numbered = _with_line_index(lines)
+    wanted = numbered.where(~in_ranges(F.col("line"), ranges) & (F.trim("value") != ""))
+    first = wanted.groupBy("_file").agg(F.min(F.struct("line", "value")).alias("h"))
+    found: dict[tuple[str, int], list[str]] = {}
+    for row in first.orderBy("_file").toLocalIterator():
+        found.setdefault((row["h"]["value"], row["h"]["line"]), []).append(unquote(row["_file"]))
+    return found
+
+
+def _header(lines: DataFrame, sep: str, ranges: Sequence[Range]) -> tuple[list[str], int, str]:
     # One file's first block lies in one task in line order, and a limit reads no
     # further than it needs: this look-up touches the head of one file.
     first_file = lines.select(F.col("_metadata.file_path")).limit(1).collect()
@@ -148,7 +189,7 @@ def _header(lines: DataFrame, sep: str, ranges: Sequence[Range]) -> tuple[list[s
     found = numbered.where(~in_ranges(F.col("line"), ranges) & (F.trim("value") != "")).limit(1).collect()
     if not found:
         raise ValueError("there is no header: every row is skipped or blank")
-    return header_names(found[0]["value"], sep), found[0]["line"]
+    return header_names(found[0]["value"], sep), found[0]["line"], found[0]["value"]
 
 
 def _with_line_index(lines: DataFrame) -> DataFrame:

@@ -125,7 +125,7 @@ def test_directory(spark, tmp_path, rows):
     assert rows(scan_directory(spark, str(tmp_path))) == [("a1.csv",), ("a2.CSV",), ("b.csv",)]
     assert rows(scan_directory(spark, str(tmp_path), "^a")) == [("a1.csv",), ("a2.CSV",)]
     assert len(rows(scan_directory(spark, str(tmp_path), "(("))) == 3
-    assert rows(scan_directory(spark, str(tmp_path), "[0-9]", skip="0")) == []
+    assert rows(scan_directory(spark, str(tmp_path), "a1", skip="0")) == []
 
 
 def test_dispatch(spark, file):
@@ -229,3 +229,23 @@ def test_workbooks(spark, tmp_path, rows):
         (0, "First"),
         (1, "Second"),
     ]
+
+
+@pytest.mark.parametrize("bad_rows", ["fail", "keep", "skip"])
+def test_headers_of_all_files(spark, tmp_path, rows, bad_rows):
+    def folder(name, *texts):
+        (tmp_path / name).mkdir()
+        for i, text in enumerate(texts):
+            (tmp_path / name / f"f {i}.csv").write_text(text)
+        return str(tmp_path / name)
+
+    turned = folder("turned", "a,b\n1,x\n", "b,a\ny,2\n")
+    with pytest.raises(Exception):
+        read_csv(spark, turned, bad_rows=bad_rows).collect()
+    assert rows(read_csv(spark, turned, bad_rows=bad_rows, headers="each").select("a", "b")) == [("1", "x"), ("2", "y")]
+    blank = folder("blank", "t\na,b\n1,x\n", "t\n\na,b\n2,y\n")
+    with pytest.raises(Exception):
+        read_csv(spark, blank, skip="0", bad_rows=bad_rows).collect()
+    assert rows(read_csv(spark, blank, skip="0", bad_rows=bad_rows, headers="each")) == [("1", "x"), ("2", "y")]
+    with pytest.raises(ValueError):
+        read_csv(spark, folder("more", "a,b\n1,x\n", "a,b,c\n2,y,3\n"), headers="each")
