@@ -17,6 +17,7 @@ WORDS = 5  # of a k-mer
 PICKED = 2  # k-mers of a sketch
 SKETCHES = 16
 THRESHOLD = 0.8
+MOST_BROADCAST = 2_000_000  # keys of candidates that are broadcast, 8 bytes each
 FIRST = 5  # one bucket in so many is compared first
 SMALL = 16  # members of a bucket that are compared with each other at once
 TOGETHER = 256  # pairs aligned at once
@@ -219,7 +220,7 @@ def near_copies(rows: DataFrame, key: str = "doc_id", text: str = "text", thresh
     leader's class, and with the others like it in the bucket. Where these are more than ``SMALL``, they meet by leaders again where
     they share a second sketch. Classes are the components of all links found. Two texts that link only with each other are
     both unlike the leader, so they are compared in each bucket; a link is missed only if in every bucket it joins a text in the
-    leader's class to one outside, and neither leads. Aligning needs memory for one band row, however long the texts are.
+    leader's class to one outside, and neither leads. Texts of candidates are set aside once; only these move. Aligning needs memory for one band row, however long the texts are.
 
     Keys are whole numbers. Rows with a null key or a text without words are kept and in no class with others (class_id:
     the key). Repeated rows with one key get equal results. Further columns are not looked at. An empty table gives an empty result.
@@ -234,6 +235,9 @@ def near_copies(rows: DataFrame, key: str = "doc_id", text: str = "text", thresh
     members = stored(members, "members")
     buckets = members.select(F.col("member").alias("id"), "n", F.explode("keys").alias("bucket"))
     filed = stored(_led(buckets, ["bucket"]), "buckets")
+    wanted = stored(filed.select("id").distinct(), "candidates")
+    small = wanted.count() <= MOST_BROADCAST
+    texts = stored(texts.join(F.broadcast(wanted) if small else wanted, "id", "left_semi"), "texts")
     part = filed.where(F.pmod("bucket", F.lit(FIRST)) == 0)
     gaps = stored(_verified(_with_leader(part, threshold), texts, threshold), "gaps")
     found = _found(gaps, threshold)
