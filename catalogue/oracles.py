@@ -86,6 +86,7 @@ ORACLES["stream_dedupe"] = """
     SELECT o_custkey, o_orderkey, o_orderstatus
     FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS n FROM orders)
     WHERE n = 1"""
+ORACLES["stream_dedupe_replay"] = ORACLES["stream_dedupe"]
 ORACLES["stream_dedupe_keys"] = "SELECT DISTINCT user_id FROM events"
 
 # Row positions and samples

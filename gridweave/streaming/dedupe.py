@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Sequence
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -11,7 +13,7 @@ from pyspark.sql.streaming import StreamingQuery
 from gridweave.functions.text import quoted
 from gridweave.operators.dedupe import dedupe_increment, keep_first, with_key
 
-_BATCH = "batch_id"
+_RUN, _BATCH = "run_id", "batch_id"
 
 
 def dedupe_stream(df: DataFrame, key: str, *, event_time: str | None = None, delay: str | None = None) -> DataFrame:
@@ -38,40 +40,43 @@ def write_first_rows(
     order_by: str | Sequence[str],
     target: str,
     checkpoint: str,
+    trigger: dict | None = None,
 ) -> StreamingQuery:
     """Write the first row per key of a stream to a parquet table, batch by batch.
 
     Each batch is reduced to its first row per key and joined against the keys of
     earlier batches, read back from the table itself; no state outlives a batch
-    elsewhere. A batch writes its own partition and only looks at partitions before it,
-    so a batch that runs again after a failure gives the same table.
+    elsewhere. A batch writes its own partition and looks at partitions before it, so a batch
+    that runs again after a failure gives the same table. Partitions carry the id of the checkpoint: one
+    that starts anew sees all that was written under others. ``trigger`` holds arguments of
+    Spark's ``trigger``; the default takes what is there and ends.
     """
 
     def write(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
+        run = json.loads(spark.read.text(f"{checkpoint}/metadata").first()[0])["id"]
         seen = _written(spark, target)
-        if seen is None or batch_id == 0:
+        if seen is None:
             fresh = keep_first(batch, key, columns, order_by)
         else:
-            earlier = seen.where(F.col(_BATCH) < batch_id)
+            earlier = seen.where((F.col(_RUN) != run) | (F.col(_BATCH) < batch_id))
             fresh = dedupe_increment(batch, key, columns, order_by, earlier)
-        fresh.write.mode("overwrite").parquet(f"{target}/{_BATCH}={batch_id}")
+        fresh.write.mode("overwrite").parquet(f"{target}/{_RUN}={run}/{_BATCH}={batch_id}")
 
-    return (
-        stream.writeStream.foreachBatch(write)
-        .option("checkpointLocation", checkpoint)
-        .trigger(availableNow=True)
-        .start()
-    )
+    started = stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
+    return started.trigger(**(trigger or {"availableNow": True})).start()
 
 
 def _written(spark: SparkSession, target: str) -> DataFrame | None:
-    path = spark._jvm.org.apache.hadoop.fs.Path(target)
-    files = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    return spark.read.parquet(target) if files.exists(path) else None
+    try:
+        return spark.read.parquet(target)
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return None
 
 
 def read_first_rows(spark: SparkSession, target: str) -> DataFrame:
     """The table that :func:`write_first_rows` has written so far."""
     df = spark.read.parquet(target)
-    return df.select(*[quoted(c) for c in df.columns if c != _BATCH])
+    return df.select(*[quoted(c) for c in df.columns if c not in (_RUN, _BATCH)])

@@ -151,6 +151,18 @@ def test_a_batch_that_runs_again_changes_nothing(spark, tmp_path, rows):
     assert rows(read_first_rows(spark, target)) == [("a", 0), ("b", 2)]
 
 
+def test_batches_of_a_lost_checkpoint_come_again(spark, tmp_path, rows):
+    landing, target = str(tmp_path / "in"), str(tmp_path / "out")
+    schema = "n int, K string"
+    for lot in ([(0, "a"), (1, "b")], [(2, "b"), (3, "c")]):
+        spark.createDataFrame(lot, schema).coalesce(1).write.mode("append").parquet(landing)
+    for state, files in (("one", 1), ("two", 2), ("three", 1)):
+        stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", files).parquet(landing)
+        query = write_first_rows(stream, "K", ["n"], "n", target, str(tmp_path / state), {"availableNow": True})
+        query.awaitTermination()
+    assert rows(read_first_rows(spark, target).select("K")) == [("a",), ("b",), ("c",)]
+
+
 def test_stateful_stream(spark, tmp_path, rows):
     landing = str(tmp_path / "in")
     spark.sql("SELECT id % 5 AS k, timestamp_seconds(id) AS ts FROM range(100)").repartition(4).write.parquet(landing)
