@@ -22,7 +22,7 @@ def components(edges: DataFrame) -> DataFrame:
         both = now.select(F.col("a").alias("u"), F.col("b").alias("v")).union(now.select("b", "a"))
         least = both.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("m"))
         large = both.where("v > u").join(least, "u").select(F.col("v").alias("a"), F.col("m").alias("b"))
-        down = _ordered(large).select(F.col("b").alias("u"), F.col("a").alias("v"))
+        down = large.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
         least = down.groupBy("u").agg(F.min("v").alias("m"))
         small = down.join(least, "u").select(F.col("v").alias("a"), F.col("m").alias("b"))
         small = small.union(least.select("u", "m"))

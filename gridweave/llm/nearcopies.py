@@ -215,10 +215,10 @@ def near_copies(rows: DataFrame, key: str = "doc_id", text: str = "text", thresh
 
     Equal texts are one member from the start and never paired. A bucket draws a leader by a hash of bucket and key, and all in it
     are compared with the leader, so a text meets up to ``SKETCHES`` leaders and pairs stay in proportion to rows however many texts
-    share a sketch. One bucket in ``FIRST`` comes first, and later ones only compare what no links connect by then. What no links
-    connect with its leader in the end is compared once more: with a second text of the
-    leader's class, and with the others like it in the bucket. Where these are more than ``SMALL``, they meet by leaders again where
-    they share a second sketch. Classes are the components of all links found. Two texts that link only with each other are
+    share a sketch. One bucket in ``FIRST`` comes first, and the others only compare what no links connect by then. In any bucket, what
+    they don't connect with the leader is compared with the leader, with a second text of the
+    leader's class, and with the others like it. Where these are more than ``SMALL``, they meet by leaders again where
+    they share a second such bucket. Classes are the components of all links found. Two texts that link only with each other are
     both unlike the leader, so they are compared in each bucket; a link is missed only if in every bucket it joins a text in the
     leader's class to one outside, and neither leads. Texts of candidates are set aside once; only these move. Aligning needs memory for one band row, however long the texts are.
 
@@ -241,10 +241,10 @@ def near_copies(rows: DataFrame, key: str = "doc_id", text: str = "text", thresh
     part = filed.where(F.pmod("bucket", F.lit(FIRST)) == 0)
     gaps = stored(_verified(_with_leader(part, threshold), texts, threshold), "gaps")
     found = _found(gaps, threshold)
-    for later in (_unconnected, _open_pairs):
-        pairs = stored(later(filed, members, found, threshold).join(gaps.select("a", "b"), ["a", "b"], "left_anti"), "pairs")
-        gaps = gaps.union(stored(_verified(pairs, texts, threshold), "gaps"))
-        found = _found(gaps, threshold)
+    pairs = _open_pairs(filed, found, threshold).join(gaps.select("a", "b"), ["a", "b"], "left_anti")
+    later = stored(_verified(stored(pairs, "pairs"), texts, threshold), "gaps")
+    near = later.where(F.col("gap") <= 1 - threshold + 1e-12).select("a", "b")
+    found = stored(components(found.select(F.col("component").alias("a"), F.col("node").alias("b")).union(near)), "found")
     classes = members.join(found, F.col("member") == F.col("node"), "left")
     classes = classes.select("digest", "copies", F.coalesce("component", "member").alias("class_id"))
     sizes = classes.groupBy("class_id").agg(F.sum("copies").alias("class_size"))
@@ -293,14 +293,10 @@ def _placed(filed: DataFrame, found: DataFrame) -> DataFrame:
     return placed.join(part("leader", "theirs"), "leader", "left").withColumn("theirs", F.coalesce("theirs", "leader"))
 
 
-def _unconnected(filed: DataFrame, members: DataFrame, found: DataFrame, threshold: float) -> DataFrame:
-    """Pairs of a text and a leader that no links connect so far."""
-    return _with_leader(_placed(filed, found).where("own <> theirs"), threshold)
-
-
-def _open_pairs(filed: DataFrame, members: DataFrame, found: DataFrame, threshold: float) -> DataFrame:
-    """Pairs of texts in one bucket that comparisons with leaders leave open: no links connect them so far."""
+def _open_pairs(filed: DataFrame, found: DataFrame, threshold: float) -> DataFrame:
+    """Pairs of texts in one bucket that no links connect so far: with the leader, with another of its class, among themselves."""
     placed = stored(_placed(filed, found), "placed")
+    apart = _with_leader(placed.where("own <> theirs"), threshold)
     unlike = placed.where("own <> theirs").select("bucket", "id", "n", "own")
     seconds = placed.where("own = theirs AND id <> leader").groupBy("bucket").agg(F.min(_draw("own", "bucket")).alias("s"))
     second = unlike.join(seconds, "bucket").withColumn("n_s", F.col("s.n")).where(_alike_in_length("n", "n_s", threshold))
@@ -309,7 +305,7 @@ def _open_pairs(filed: DataFrame, members: DataFrame, found: DataFrame, threshol
     side = lambda n: few.select("bucket", *[F.col(c).alias(f"{c}_{n}") for c in ("id", "n", "own")])
     among = side("a").join(side("b"), "bucket").where("id_a < id_b AND own_a <> own_b").where(_alike_in_length("n_a", "n_b", threshold))
     many = sized.where(F.col("crowd") > SMALL).select("bucket", "id", "n")
-    again = many.join(members.select(F.col("member").alias("id"), F.explode("keys").alias("other")), "id").where("other <> bucket")
+    again = many.join(many.select("id", F.col("bucket").alias("other")), "id").where("other > bucket")
     stars = _with_leader(_led(again, ["bucket", "other"]), threshold)
-    pairs = second.select(F.least("id", "s.id").alias("a"), F.greatest("id", "s.id").alias("b")).union(among.select("id_a", "id_b")).union(stars)
+    pairs = second.select(F.least("id", "s.id").alias("a"), F.greatest("id", "s.id").alias("b")).union(among.select("id_a", "id_b")).union(stars).union(apart)
     return pairs.distinct()
