@@ -27,11 +27,7 @@ class Encoder:
     """
 
     def __init__(self, json_file: str, ranks_file: str | None = None, pattern: str | None = None):
-        from tokenizers import Tokenizer
-
-        self._slow = Tokenizer.from_file(json_file)
-        self._slow.encode_special_tokens = True
-        self._fast = None
+        self._file, self._slow, self._fast = json_file, None, None
         if ranks_file:
             import base64
 
@@ -44,6 +40,11 @@ class Encoder:
     def __call__(self, text: str) -> list[int]:
         if self._fast and (text.isascii() or not _PLAIN.search(text)):
             return self._fast.encode_ordinary(text)
+        if not self._slow:  # most tasks never need it, and it holds its vocabulary a second time
+            from tokenizers import Tokenizer
+
+            self._slow = Tokenizer.from_file(self._file)
+            self._slow.encode_special_tokens = True
         return self._slow.encode(text, add_special_tokens=False).ids
 
 
