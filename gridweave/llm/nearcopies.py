@@ -18,8 +18,11 @@ PICKED = 2  # k-mers of a sketch
 SKETCHES = 16
 THRESHOLD = 0.8
 MOST_BROADCAST = 2_000_000  # keys of candidates that are broadcast, 8 bytes each
-FIRST = 5  # one bucket in so many is compared first
-SMALL = 16  # members of a bucket that are compared with each other at once
+FIRST = 4  # one bucket in so many is compared with its leader first
+SMALL = 16  # likeliest pairs of two components in a bucket, aligned before all others
+TILE = 1024  # members of a crowded bucket that are set against as many others at once
+PAIRS = 1 << 20  # of members looked at together
+BINS = 128  # of a bag of words
 TOGETHER = 256  # pairs aligned at once
 NARROW = 8  # band that is tried first
 CELLS = 1 << 21  # of a band matrix row for all pairs aligned at once, at most
@@ -79,12 +82,32 @@ def _sketched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             words = batch.column("words")
             flat, ends = words.values.to_numpy(zero_copy_only=False), words.offsets.to_numpy()
             keys = [sketch(flat[a:b].view(np.uint64)).tolist() if b > a else [] for a, b in zip(ends, ends[1:], strict=False)]
+            bags = [bag(flat[a:b].view(np.uint64)).tobytes() for a, b in zip(ends, ends[1:], strict=False)]
             sizes = pa.array(np.diff(ends).astype(np.int64))
             yield pa.RecordBatch.from_arrays(
-                [batch.column("id"), batch.column("digest"), sizes, pa.array(keys, pa.list_(pa.int64()))], names=["id", "digest", "n", "keys"]
+                [batch.column("id"), batch.column("digest"), sizes, pa.array(keys, pa.list_(pa.int64())), pa.array(bags, pa.binary())],
+                names=["id", "digest", "n", "keys", "bag"],
             )
 
 
+def bag(words: np.ndarray) -> np.ndarray:
+    """How many words of a text fall in each of ``BINS`` bins by their hash, up to 255."""
+    return np.minimum(np.bincount((words >> np.uint64(57)).astype(np.int64), minlength=BINS), 255).astype(np.uint8)
+
+
+def least_edits(bags: np.ndarray, others: np.ndarray, n: np.ndarray, n_others: np.ndarray) -> np.ndarray:
+    """Twice a lower bound of edit distances: the longer text less the words in common, which bins can only make more."""
+    out = np.abs(n - n_others)
+    for at in range(0, len(bags), 1 << 15):
+        part = slice(at, at + (1 << 15))
+        out[part] += np.abs(bags[part].astype(np.int16) - others[part]).sum(1, dtype=np.int64)
+    return out
+
+
+def _most_edits(n: np.ndarray, n_others: np.ndarray, threshold: float) -> np.ndarray:
+    return np.floor(np.maximum(n, n_others) * (1 - threshold) + 1e-9).astype(np.int64)
+
+
 def distances(pairs: list[tuple[np.ndarray, np.ndarray]], band: int) -> np.ndarray:
     """Edit distances of word sequences by paths inside a band: exact up to ``band``, else an upper bound of the distance.
 
@@ -193,11 +216,14 @@ def _aligned(threshold: float):
 
 
 def _verified(pairs: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
-    """``a, b, gap`` of pairs, from whole texts. A text in very many pairs is joined last, as a skewed join."""
+    """``a, b, gap`` of pairs, from whole texts; only texts in a pair move. A text in very many pairs is joined last, as a skewed join."""
+    wanted = stored(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "candidates")
+    small = wanted.count() <= MOST_BROADCAST
+    texts = stored(texts.join(F.broadcast(wanted) if small else wanted, "id", "left_semi"), "texts")
     right = pairs.join(texts.select(F.col("id").alias("b"), F.col("text").alias("right")), "b")
     both = right.join(texts.select(F.col("id").alias("a"), F.col("text").alias("left")), "a")
     gaps = both.select("a", "b", "left", "right").mapInArrow(_aligned(threshold), "a long, b long, gap double")
-    return gaps.groupBy("a", "b").agg(F.min("gap").alias("gap"))
+    return stored(gaps.groupBy("a", "b").agg(F.min("gap").alias("gap")), "gaps")
 
 
 def _words(text: Column) -> Column:
@@ -213,14 +239,14 @@ def near_copies(rows: DataFrame, key: str = "doc_id", text: str = "text", thresh
     ``SKETCHES`` order MinHash sketches of ``PICKED`` k-mers of five words, so they agree in words and their order. Two
     texts with a Jaccard similarity of k-mers of 0.8 share a sketch with probability above 0.999999.
 
-    Equal texts are one member from the start and never paired. A bucket draws a leader by a hash of bucket and key, and all in it
-    are compared with the leader, so a text meets up to ``SKETCHES`` leaders and pairs stay in proportion to rows however many texts
-    share a sketch. One bucket in ``FIRST`` comes first, and the others only compare what no links connect by then. In any bucket, what
-    they don't connect with the leader is compared with the leader, with a second text of the
-    leader's class, and with the others like it. Where these are more than ``SMALL``, they meet by leaders again where
-    they share a second such bucket. Classes are the components of all links found. Two texts that link only with each other are
-    both unlike the leader, so they are compared in each bucket; a link is missed only if in every bucket it joins a text in the
-    leader's class to one outside, and neither leads. Texts of candidates are set aside once; only these move. Aligning needs memory for one band row, however long the texts are.
+    All pairs in a bucket that no other links connect are settled, so classes are the components of all links between candidates, whatever
+    the order of the search. Equal texts are one member from the start and never paired. One bucket in ``FIRST`` first draws a leader by a
+    hash of bucket and key, and all in it are compared with the leader; so most of a class, however large, is one component after few
+    pairs. Then, in every bucket that holds several components, each pair of members of two components is judged by a bound that needs no
+    text: lengths, and words in common by ``BINS`` bins, allow for the threshold or not. The ``SMALL`` likeliest pairs of two components are aligned,
+    components are taken anew, and all pairs left between different ones are aligned. Crowded buckets are dealt in tiles of about ``TILE``, so
+    no task holds one whole; the pairs that the bound looks at grow with the square of what lies in a bucket and isn't connected.
+    Aligning needs memory for one band row, however long the texts are.
 
     Keys are whole numbers. Rows with a null key or a text without words are kept and in no class with others (class_id:
     the key). Repeated rows with one key get equal results. Further columns are not looked at. An empty table gives an empty result.
@@ -228,23 +254,21 @@ def near_copies(rows: DataFrame, key: str = "doc_id", text: str = "text", thresh
     base = pick(rows, id=key, text=text).select(F.col("id").cast("long").alias("id"), "text")
     texts = base.where(F.col("id").isNotNull() & F.coalesce(F.col("text").rlike(r"\S"), F.lit(False)))
     seen = texts.select("id", F.sha2("text", 256).alias("digest"), _words(F.col("text")).alias("words"))
-    seen = stored(seen.mapInArrow(_sketched, "id long, digest string, n long, keys array<long>"), "sketches")
+    seen = stored(seen.mapInArrow(_sketched, "id long, digest string, n long, keys array<long>, bag binary"), "sketches")
     members = seen.groupBy("digest").agg(
-        F.min("id").alias("member"), F.count("*").alias("copies"), F.min("n").alias("n"), F.min_by("keys", "id").alias("keys")
+        F.min("id").alias("member"), F.count("*").alias("copies"), F.min("n").alias("n"), F.min_by("keys", "id").alias("keys"), F.min("bag").alias("bag")
     )
     members = stored(members, "members")
+    bags = members.select(F.col("member").alias("id"), "n", "bag")
     buckets = members.select(F.col("member").alias("id"), "n", F.explode("keys").alias("bucket"))
     filed = stored(_led(buckets, ["bucket"]), "buckets")
-    wanted = stored(filed.select("id").distinct(), "candidates")
-    small = wanted.count() <= MOST_BROADCAST
-    texts = stored(texts.join(F.broadcast(wanted) if small else wanted, "id", "left_semi"), "texts")
     part = filed.where(F.pmod("bucket", F.lit(FIRST)) == 0)
-    gaps = stored(_verified(_with_leader(part, threshold), texts, threshold), "gaps")
+    gaps = _verified(stored(_allowed(_with_leader(part, threshold), bags, threshold), "pairs"), texts, threshold)
     found = _found(gaps, threshold)
-    pairs = _open_pairs(filed, found, threshold).join(gaps.select("a", "b"), ["a", "b"], "left_anti")
-    later = stored(_verified(stored(pairs, "pairs"), texts, threshold), "gaps")
-    near = later.where(F.col("gap") <= 1 - threshold + 1e-12).select("a", "b")
-    found = stored(components(found.select(F.col("component").alias("a"), F.col("node").alias("b")).union(near)), "found")
+    for most in (SMALL, None):
+        pairs = _open_pairs(filed, found, bags, most, threshold).join(gaps.select("a", "b"), ["a", "b"], "left_anti")
+        gaps = gaps.union(_verified(stored(pairs, "pairs"), texts, threshold))
+        found = _found(gaps, threshold)
     classes = members.join(found, F.col("member") == F.col("node"), "left")
     classes = classes.select("digest", "copies", F.coalesce("component", "member").alias("class_id"))
     sizes = classes.groupBy("class_id").agg(F.sum("copies").alias("class_size"))
@@ -286,26 +310,83 @@ def _found(gaps: DataFrame, threshold: float) -> DataFrame:
     return stored(components(gaps.where(F.col("gap") <= 1 - threshold + 1e-12).select("a", "b")), "found")
 
 
-def _placed(filed: DataFrame, found: DataFrame) -> DataFrame:
-    """Members of buckets with the component of their own and of their leader."""
-    part = lambda of, name: found.select(F.col("node").alias(of), F.col("component").alias(name))
-    placed = filed.join(part("id", "own"), "id", "left").withColumn("own", F.coalesce("own", "id"))
-    return placed.join(part("leader", "theirs"), "leader", "left").withColumn("theirs", F.coalesce("theirs", "leader"))
-
-
-def _open_pairs(filed: DataFrame, found: DataFrame, threshold: float) -> DataFrame:
-    """Pairs of texts in one bucket that no links connect so far: with the leader, with another of its class, among themselves."""
-    placed = stored(_placed(filed, found), "placed")
-    apart = _with_leader(placed.where("own <> theirs"), threshold)
-    unlike = placed.where("own <> theirs").select("bucket", "id", "n", "own")
-    seconds = placed.where("own = theirs AND id <> leader").groupBy("bucket").agg(F.min(_draw("own", "bucket")).alias("s"))
-    second = unlike.join(seconds, "bucket").withColumn("n_s", F.col("s.n")).where(_alike_in_length("n", "n_s", threshold))
-    sized = unlike.join(unlike.groupBy("bucket").agg(F.count("*").alias("crowd")), "bucket")
-    few = sized.where(F.col("crowd") <= SMALL)
-    side = lambda n: few.select("bucket", *[F.col(c).alias(f"{c}_{n}") for c in ("id", "n", "own")])
-    among = side("a").join(side("b"), "bucket").where("id_a < id_b AND own_a <> own_b").where(_alike_in_length("n_a", "n_b", threshold))
-    many = sized.where(F.col("crowd") > SMALL).select("bucket", "id", "n")
-    again = many.join(many.select("id", F.col("bucket").alias("other")), "id").where("other > bucket")
-    stars = _with_leader(_led(again, ["bucket", "other"]), threshold)
-    pairs = second.select(F.least("id", "s.id").alias("a"), F.greatest("id", "s.id").alias("b")).union(among.select("id_a", "id_b")).union(stars).union(apart)
-    return pairs.distinct()
+def _allowed(pairs: DataFrame, bags: DataFrame, threshold: float) -> DataFrame:
+    """The pairs ``a, b`` that lengths and bags of words allow."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            n, others = batch.column("n_a").to_numpy(), batch.column("n_b").to_numpy()
+            fine = least_edits(_matrix(batch.column("bag_a")), _matrix(batch.column("bag_b")), n, others) <= 2 * _most_edits(n, others, threshold)
+            yield batch.select(["a", "b"]).filter(pa.array(fine))
+
+    side = lambda s: bags.select(*[F.col(c).alias(f"{c}_{s}" if c != "id" else s) for c in ("id", "n", "bag")])
+    return pairs.join(side("a"), "a").join(side("b"), "b").mapInArrow(run, "a long, b long")
+
+
+def _matrix(bags: pa.Array) -> np.ndarray:
+    return np.frombuffer(b"".join(bags.to_pylist()), np.uint8).reshape(-1, BINS)
+
+
+def _open_pairs(filed: DataFrame, found: DataFrame, bags: DataFrame, most: int | None, threshold: float) -> DataFrame:
+    """Allowed pairs of texts in one bucket that no links connect so far: all, or about the ``most`` likeliest for two components."""
+    own = found.select(F.col("node").alias("id"), F.col("component").alias("own"))
+    placed = stored(filed.select("bucket", "id").join(own, "id", "left").withColumn("own", F.coalesce("own", "id")), "placed")
+    several = placed.groupBy("bucket").agg(F.count("*").alias("crowd"), F.min("own").alias("least"), F.max("own").alias("last")).where("least < last")
+    several = several.select("bucket", F.ceil(F.col("crowd") / TILE).cast("int").alias("tiles"))
+    dealt = placed.join(several, "bucket").join(bags, "id").withColumn("tile", F.pmod(F.xxhash64("id"), "tiles").cast("int"))
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
+    cell = ["bucket", "low", "high"]
+    dealt = dealt.select("bucket", F.least("tile", "other").alias("low"), F.greatest("tile", "other").alias("high"), "tile", "id", "n", "own", "bag")
+    return dealt.repartition(*cell).sortWithinPartitions(*cell).mapInArrow(_crossed(most, threshold), "a long, b long").distinct()
+
+
+def _crossed(most: int | None, threshold: float):
+    """Allowed pairs of different components in each cell of rows sorted by cells."""
+
+    def pairs_of(rows: pa.Table) -> Iterator[pa.RecordBatch]:
+        bucket, low, high, tile, ids, n, own = (rows.column(c).to_numpy() for c in ("bucket", "low", "high", "tile", "id", "n", "own"))
+        bags = _matrix(rows.column("bag"))
+        new = np.r_[True, (bucket[1:] != bucket[:-1]) | (low[1:] != low[:-1]) | (high[1:] != high[:-1])]
+        cell = np.cumsum(new) - 1
+        after = np.r_[np.flatnonzero(new)[1:], len(ids)][cell] - np.arange(len(ids)) - 1  # members of the cell that follow
+        steps = np.cumsum(after)
+        at = 0
+        while at < len(ids):
+            until = max(at + 1, int(np.searchsorted(steps, (steps[at - 1] if at else 0) + PAIRS, side="right")))
+            count = after[at:until]
+            i = np.repeat(np.arange(at, until), count)
+            j = i + 1 + np.arange(len(i)) - np.repeat(np.cumsum(count) - count, count)
+            at = until
+            keep = (own[i] != own[j]) & ((low[i] == high[i]) | (tile[i] != tile[j]))
+            keep &= np.abs(n[i] - n[j]) <= _most_edits(n[i], n[j], threshold)
+            i, j = i[keep], j[keep]
+            edits = np.zeros(len(i), np.int64)
+            for k in range(0, len(i), 1 << 15):
+                a, b = i[k : k + (1 << 15)], j[k : k + (1 << 15)]
+                edits[k : k + len(a)] = least_edits(bags[a], bags[b], n[a], n[b])
+            keep = edits <= 2 * _most_edits(n[i], n[j], threshold)
+            i, j, edits = i[keep], j[keep], edits[keep]
+            if most is not None and len(i) > most:
+                ends = np.minimum(own[i], own[j]), np.maximum(own[i], own[j])
+                order = np.lexsort((edits, *ends, cell[i]))
+                i, j, sorted_by = i[order], j[order], [x[order] for x in (*ends, cell[i])]
+                first = np.flatnonzero(np.r_[True, np.any([x[1:] != x[:-1] for x in sorted_by], axis=0)])
+                rank = np.arange(len(i)) - np.repeat(first, np.diff(np.r_[first, len(i)]))
+                i, j = i[rank < most], j[rank < most]
+            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(ids[i], ids[j])), pa.array(np.maximum(ids[i], ids[j]))], names=["a", "b"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rest: list[pa.RecordBatch] = []
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            rows = pa.Table.from_batches([*rest, batch])
+            keys = [rows.column(c).to_numpy() for c in ("bucket", "low", "high")]
+            whole = int(np.flatnonzero(np.any([k != k[-1] for k in keys], axis=0)).max(initial=-1)) + 1  # rows before the last cell
+            if whole:
+                yield from pairs_of(rows.slice(0, whole))
+            rest = rows.slice(whole).to_batches()
+        if rest:
+            yield from pairs_of(pa.Table.from_batches(rest))
+
+    return run

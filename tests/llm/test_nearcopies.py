@@ -1,6 +1,7 @@
 import random
 
 import numpy as np
+from pyspark.sql import functions as F
 
 from gridweave.llm import nearcopies
 from gridweave.llm.components import components
@@ -90,3 +91,43 @@ def test_odd_tables(docs):
     assert near_copies(docs([])).count() == 0
     one = near_copies(docs([(4, "a b c d e f g")])).collect()
     assert [(r.doc_id, r.class_id, r.class_size, r.kept) for r in one] == [(4, 4, 1, True)]
+
+
+def test_fringe_of_a_large_class(spark, docs):
+    r = random.Random(11)
+    change = lambda text, share: [x if r.random() > share else f"e{r.randrange(10**6)}" for x in text]
+    base = words(r, 150)
+    copies = [change(base, 0.06) for _ in range(2000)]
+    fringe = [change(copies[i], 0.1) for i in range(300)]
+    rows = docs([" ".join(t) for t in copies + fringe])
+    of = {r.doc_id: r.class_id for r in near_copies(rows).collect()}
+    seen = rows.selectExpr("doc_id AS id", "'' AS digest", "text").withColumn("words", nearcopies._words(F.col("text")))
+    sketched = seen.select("id", "digest", "words").mapInArrow(nearcopies._sketched, "id long, digest string, n long, keys array<long>, bag binary")
+    keys = {r.id: r.keys for r in sketched.collect()}
+    linked = 0
+    for i, text in enumerate(fringe):
+        near = levenshtein(copies[i], text) <= 0.2 * 150
+        if near and set(keys[i]) & set(keys[2000 + i]):
+            linked += 1
+            assert of[i] == of[2000 + i]
+    assert linked > 250 and len({of[i] for i in range(2000)}) == 1
+
+
+def test_open_pairs_are_all_in_a_bucket(spark, monkeypatch):
+    monkeypatch.setattr(nearcopies, "TILE", 7)
+    r = random.Random(3)
+    n, bags = 60, {}
+    for i in range(n):
+        drawn = np.array([r.getrandbits(64) for _ in range(10)], np.uint64)
+        bags[i] = nearcopies.bag(drawn if r.random() < 0.5 or not i else np.r_[last[:9], drawn[:1]])
+        last = drawn if i % 7 == 0 else last
+    rows = [(b, i) for b in range(4) for i in range(n) if b < 3 or i < 3]
+    filed = spark.createDataFrame(rows, "bucket long, id long")
+    found = spark.createDataFrame([(i, 0) for i in range(0, n, 5)], "node long, component long")
+    sized = spark.createDataFrame([(i, 10, bytearray(b.tobytes())) for i, b in bags.items()], "id long, n long, bag binary")
+    got = {(x.a, x.b) for x in nearcopies._open_pairs(filed, found, sized, None, 0.8).collect()}
+    want = {
+        (a, b) for a in range(n) for b in range(a + 1, n)
+        if (a % 5 or b % 5) and np.abs(bags[a].astype(int) - bags[b].astype(int)).sum() <= 4
+    }
+    assert got == want and len(want) > 20
