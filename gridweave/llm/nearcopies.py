@@ -13,9 +13,10 @@ from pyspark.sql import functions as F
 from .common import pick, stored
 from .components import components
 
-WORDS = 5  # of a k-mer
-PICKED = 2  # k-mers of a sketch
-SKETCHES = 16
+WORDS = 3  # of a k-mer
+PICKED = 1  # k-mers of a sketch
+SKETCHES = 48
+SHARED = 3  # sketches that candidates have in common at least
 THRESHOLD = 0.8
 MOST_BROADCAST = 2_000_000  # keys of candidates that are broadcast, 8 bytes each
 FIRST = 4  # one bucket in so many is compared with its leader first
@@ -46,10 +47,11 @@ def sketch(words: np.ndarray, size: int = WORDS, picked: int = PICKED, sketches:
 
     A sketch draws the ``picked`` k-mers with the smallest hashes and hashes them in text order. The hash that is
     drawn by also takes in which occurrence of the k-mer it is, so a repeated k-mer counts as often as it stands there.
-    Shorter texts are one k-mer, and texts with few k-mers are drawn whole.
+    Texts are padded at both ends, so each word is in ``size`` k-mers. Texts with few k-mers are drawn whole.
     """
-    words = words.astype(np.uint64)
-    n = max(1, len(words) - size + 1)
+    pad = np.ones(size - 1, np.uint64)
+    words = np.concatenate([pad, words.astype(np.uint64), pad])
+    n = len(words) - size + 1
     grams = np.zeros(n, np.uint64)
     for i in range(min(size, len(words))):
         grams = _mixed(grams * np.uint64(31) + words[i : i + n])
@@ -65,7 +67,9 @@ def sketch(words: np.ndarray, size: int = WORDS, picked: int = PICKED, sketches:
     for s in range(0, sketches, at_once):
         seeds = _SEEDS[s : min(s + at_once, sketches)]
         drawn = labelled[None, :] * (seeds[:, None] | np.uint64(1)) + seeds[:, None]
-        if n > picked:
+        if picked == 1:
+            at = drawn.argmin(axis=1)[:, None]
+        elif n > picked:
             at = np.sort(np.argpartition(drawn, picked - 1, axis=1)[:, :picked], axis=1)
         else:
             at = np.tile(np.arange(n), (len(seeds), 1))
@@ -82,7 +86,8 @@ def _sketched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             words = batch.column("words")
             flat, ends = words.values.to_numpy(zero_copy_only=False), words.offsets.to_numpy()
             keys = [sketch(flat[a:b].view(np.uint64)).tolist() if b > a else [] for a, b in zip(ends, ends[1:], strict=False)]
-            bags = [bag(flat[a:b].view(np.uint64)).tobytes() for a, b in zip(ends, ends[1:], strict=False)]
+            marks = [(np.array(k, np.int64) & 0xFFFF).astype("<u2").tobytes() for k in keys]
+            bags = [bag(flat[a:b].view(np.uint64)).tobytes() + m for a, b, m in zip(ends, ends[1:], marks, strict=False)]
             sizes = pa.array(np.diff(ends).astype(np.int64))
             yield pa.RecordBatch.from_arrays(
                 [batch.column("id"), batch.column("digest"), sizes, pa.array(keys, pa.list_(pa.int64())), pa.array(bags, pa.binary())],
@@ -235,11 +240,11 @@ def near_copies(rows: DataFrame, key: str = "doc_id", text: str = "text", thresh
     """The class of each document: ``key, class_id, class_size, kept``.
 
     Texts link if the edit distance of their words, over the longer length, is at most ``1 - threshold``. A class
-    is what links connect; its id is its smallest key, and that document is kept. Candidates share one of
-    ``SKETCHES`` order MinHash sketches of ``PICKED`` k-mers of five words, so they agree in words and their order. Two
-    texts with a Jaccard similarity of k-mers of 0.8 share a sketch with probability above 0.999999.
+    is what links connect; its id is its smallest key, and that document is kept. Candidates share ``SHARED`` of ``SKETCHES`` sketches,
+    each the three-word k-mer with the smallest hash, ends padded. An edit changes three k-mers, so at a fifth of words edited, wherever
+    and however, two texts have a Jaccard similarity of k-mers of a quarter at least, and are candidates with probability 0.9998.
 
-    All pairs in a bucket that no other links connect are settled, so classes are the components of all links between candidates, whatever
+    All candidates that no other links connect are settled, so classes are the components of all links between candidates, whatever
     the order of the search. Equal texts are one member from the start and never paired. One bucket in ``FIRST`` first draws a leader by a
     hash of bucket and key, and all in it are compared with the leader; so most of a class, however large, is one component after few
     pairs. Then, in every bucket that holds several components, each pair of members of two components is judged by a bound that needs no
@@ -311,20 +316,24 @@ def _found(gaps: DataFrame, threshold: float) -> DataFrame:
 
 
 def _allowed(pairs: DataFrame, bags: DataFrame, threshold: float) -> DataFrame:
-    """The pairs ``a, b`` that lengths and bags of words allow."""
+    """The pairs ``a, b`` that lengths, bags of words and sketches in common allow."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             n, others = batch.column("n_a").to_numpy(), batch.column("n_b").to_numpy()
-            fine = least_edits(_matrix(batch.column("bag_a")), _matrix(batch.column("bag_b")), n, others) <= 2 * _most_edits(n, others, threshold)
+            (bags, marks), (other_bags, other_marks) = _profiles(batch.column("bag_a")), _profiles(batch.column("bag_b"))
+            fine = least_edits(bags, other_bags, n, others) <= 2 * _most_edits(n, others, threshold)
+            fine &= (marks == other_marks).sum(1) >= SHARED
             yield batch.select(["a", "b"]).filter(pa.array(fine))
 
     side = lambda s: bags.select(*[F.col(c).alias(f"{c}_{s}" if c != "id" else s) for c in ("id", "n", "bag")])
     return pairs.join(side("a"), "a").join(side("b"), "b").mapInArrow(run, "a long, b long")
 
 
-def _matrix(bags: pa.Array) -> np.ndarray:
-    return np.frombuffer(b"".join(bags.to_pylist()), np.uint8).reshape(-1, BINS)
+def _profiles(bags: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Bags of words, and 16 bits of each sketch, so no sketch in common is overlooked."""
+    both = np.frombuffer(b"".join(bags.to_pylist()), np.uint8).reshape(-1, BINS + 2 * SKETCHES)
+    return both[:, :BINS], np.ascontiguousarray(both[:, BINS:]).view("<u2")
 
 
 def _open_pairs(filed: DataFrame, found: DataFrame, bags: DataFrame, most: int | None, threshold: float) -> DataFrame:
@@ -345,7 +354,7 @@ def _crossed(most: int | None, threshold: float):
 
     def pairs_of(rows: pa.Table) -> Iterator[pa.RecordBatch]:
         bucket, low, high, tile, ids, n, own = (rows.column(c).to_numpy() for c in ("bucket", "low", "high", "tile", "id", "n", "own"))
-        bags = _matrix(rows.column("bag"))
+        bags, marks = _profiles(rows.column("bag"))
         new = np.r_[True, (bucket[1:] != bucket[:-1]) | (low[1:] != low[:-1]) | (high[1:] != high[:-1])]
         cell = np.cumsum(new) - 1
         after = np.r_[np.flatnonzero(new)[1:], len(ids)][cell] - np.arange(len(ids)) - 1  # members of the cell that follow
@@ -360,6 +369,10 @@ def _crossed(most: int | None, threshold: float):
             keep = (own[i] != own[j]) & ((low[i] == high[i]) | (tile[i] != tile[j]))
             keep &= np.abs(n[i] - n[j]) <= _most_edits(n[i], n[j], threshold)
             i, j = i[keep], j[keep]
+            pieces = range(0, len(i), 1 << 15)
+            keep = [(marks[i[k : k + (1 << 15)]] == marks[j[k : k + (1 << 15)]]).sum(1) >= SHARED for k in pieces]
+            keep = np.concatenate([np.zeros(0, bool), *keep])
+            i, j = i[keep], j[keep]
             edits = np.zeros(len(i), np.int64)
             for k in range(0, len(i), 1 << 15):
                 a, b = i[k : k + (1 << 15)], j[k : k + (1 << 15)]

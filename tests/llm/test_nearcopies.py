@@ -107,7 +107,7 @@ def test_fringe_of_a_large_class(spark, docs):
     linked = 0
     for i, text in enumerate(fringe):
         near = levenshtein(copies[i], text) <= 0.2 * 150
-        if near and set(keys[i]) & set(keys[2000 + i]):
+        if near and len(set(keys[i]) & set(keys[2000 + i])) >= nearcopies.SHARED:
             linked += 1
             assert of[i] == of[2000 + i]
     assert linked > 250 and len({of[i] for i in range(2000)}) == 1
@@ -124,10 +124,25 @@ def test_open_pairs_are_all_in_a_bucket(spark, monkeypatch):
     rows = [(b, i) for b in range(4) for i in range(n) if b < 3 or i < 3]
     filed = spark.createDataFrame(rows, "bucket long, id long")
     found = spark.createDataFrame([(i, 0) for i in range(0, n, 5)], "node long, component long")
-    sized = spark.createDataFrame([(i, 10, bytearray(b.tobytes())) for i, b in bags.items()], "id long, n long, bag binary")
+    sized = spark.createDataFrame([(i, 10, bytearray(b.tobytes() + bytes(2 * nearcopies.SKETCHES))) for i, b in bags.items()], "id long, n long, bag binary")
     got = {(x.a, x.b) for x in nearcopies._open_pairs(filed, found, sized, None, 0.8).collect()}
     want = {
         (a, b) for a in range(n) for b in range(a + 1, n)
         if (a % 5 or b % 5) and np.abs(bags[a].astype(int) - bags[b].astype(int)).sum() <= 4
     }
     assert got == want and len(want) > 20
+
+
+def test_candidates_near_the_threshold():
+    r = np.random.default_rng(5)
+    for n in (6, 10, 20, 150):
+        missed = 0
+        for trial in range(300):
+            text = r.integers(0, 1 << 62, n).astype(np.uint64)
+            edits = max(1, n // 5)
+            at = r.choice(n, edits, replace=False) if trial % 2 else ((np.arange(edits) + 0.5) * n / edits).astype(int)
+            copy = text.copy()
+            copy[at] = r.integers(0, 1 << 62, edits).astype(np.uint64)
+            with np.errstate(over="ignore"):
+                missed += (nearcopies.sketch(text) == nearcopies.sketch(copy)).sum() < nearcopies.SHARED
+        assert missed <= 2
