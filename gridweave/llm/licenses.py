@@ -13,7 +13,7 @@ from .common import pick
 
 SHINGLE = 5  # words
 CONTAINED = 0.8
-BANDS = 16
+BANDS = 32
 BAND_ROWS = 2
 FILTER_BITS = 20
 
@@ -75,8 +75,8 @@ class Library:
     """Templates with their shingles and bands.
 
     A template of n shingles is looked for in windows of 1.5 n, half a template apart, so that one window holds all of an
-    occurrence. That window and the template then have a Jaccard similarity of 2/3, or 8/15 if a fifth is changed, and share one
-    of 16 bands of two rows with a probability of 0.9999, or 0.995.
+    occurrence. That window and the template then have a Jaccard similarity of 2/3, or 8/17 if a fifth is changed (0.8 n of
+    1.5 n + n - 0.8 n), and share one of 32 bands of two rows with a probability above 0.99999999, or of 0.9997.
     """
 
     def __init__(self, hashes: dict[str, list[int]]):

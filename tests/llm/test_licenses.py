@@ -48,3 +48,13 @@ def test_bands_follow_similarity():
     words = r.integers(0, 1 << 60, 200).astype(np.uint64)
     g = shingles(words)
     assert (bands(g) == bands(np.r_[g, g])).all() and not (bands(g) == bands(g + np.uint64(1))).any()
+
+
+def test_bands_find_a_fifth_changed():
+    r = np.random.default_rng(8)
+    missed = 0
+    for _ in range(2000):
+        template = r.integers(0, 1 << 63, 100).astype(np.uint64)
+        window = np.r_[template[:80], r.integers(0, 1 << 63, 70).astype(np.uint64)]
+        missed += not (bands(template) == bands(window)).any()
+    assert missed <= 5
