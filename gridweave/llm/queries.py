@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import language, licenses, mixing, nearcopies, nearvectors, packing, pages, repeats, sharding, topk
+from . import language, leaks, licenses, mixing, nearcopies, nearvectors, packing, pages, phrases, prefixes, repeats, sharding, topk
 from .common import stored, table
 
 LLM_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -160,3 +160,119 @@ def op5_pages(spark, sf_dir):
 @query
 def op10_licenses(spark, sf_dir):
     return licenses.scan_licenses(table(spark, sf_dir, "documents"))
+
+
+@query
+def op11_prefix_trie(spark, sf_dir):
+    turns = stored(prefixes.turns_of(table(spark, sf_dir, "conversations")), "turns")
+    key = F.col("key")
+    rebuilt = prefixes.branched(turns, key - key % 5, F.crc32(key.cast("string").cast("binary")) % 9, most=8)
+    return prefixes.prefix_trie(rebuilt)
+
+
+LLM_ORACLES["op11_prefix_trie"] = """
+WITH turns AS (
+       SELECT conv_id, list(struct_pack(r := coalesce(role, ''), t := coalesce(text, ''))
+                            ORDER BY turn NULLS FIRST, sha256(length(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, ''))) AS own
+       FROM conversations WHERE conv_id IS NOT NULL GROUP BY conv_id),
+     bits(i, c) AS (SELECT i, i FROM range(256) t(i)),
+     crc_table AS (
+       SELECT i, list_reduce(list_prepend(i, range(8)), lambda c, k: CASE WHEN c % 2 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) AS v FROM bits),
+     crc_list AS (SELECT list(v ORDER BY i) AS v FROM crc_table),
+     named AS (
+       SELECT conv_id, own, conv_id - conv_id % 5 AS base,
+              CAST(xor(list_reduce(list_prepend(4294967295, list_transform(range(1, length(CAST(conv_id AS VARCHAR)) + 1),
+                                                  lambda p: CAST(ascii(substr(CAST(conv_id AS VARCHAR), CAST(p AS INTEGER), 1)) AS BIGINT))),
+                                   lambda c, b: xor(v[1 + CAST(xor(c, b) & 255 AS INTEGER)], c >> 8)), 4294967295) % 9 AS INTEGER) AS h
+       FROM turns, crc_list),
+     rebuilt AS (
+       SELECT n.conv_id, list_concat(coalesce(b.own[1:n.h], []), n.own[n.h + 1:]) AS s
+       FROM named n LEFT JOIN turns b ON b.conv_id = n.base),
+     members AS (
+       SELECT conv_id, unnest(range(0, len(s) + 1)) AS depth, s FROM rebuilt),
+     placed AS (
+       SELECT conv_id, depth, md5(CAST(s[1:depth] AS JSON)) AS node,
+              CASE WHEN depth > 0 THEN md5(CAST(s[1:depth - 1] AS JSON)) END AS parent,
+              CASE WHEN depth > 0 THEN strlen(s[depth].t) ELSE 0 END AS bytes, len(s) = depth AS ended
+       FROM members),
+     nodes AS (
+       SELECT depth, node, any_value(parent) AS parent, min(conv_id) AS conv_id, count(*) AS n_convs, any_value(bytes) AS bytes,
+              sha256(coalesce(string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) FILTER (ended), '')) AS ends
+       FROM placed GROUP BY depth, node),
+     kids AS (SELECT parent, count(*) AS n FROM nodes WHERE parent IS NOT NULL GROUP BY parent),
+     lines AS (
+       SELECT DISTINCT a.node AS top, b.node AS below FROM placed a JOIN placed b ON a.conv_id = b.conv_id AND a.depth <= b.depth),
+     trees AS (
+       SELECT l.top, count(*) FILTER (k.n IS NULL) AS n_leaves, CAST(sum((n.n_convs - 1) * n.bytes) AS BIGINT) AS saved
+       FROM lines l JOIN nodes n ON n.node = l.below LEFT JOIN kids k ON k.parent = n.node GROUP BY l.top)
+SELECT n.conv_id, n.depth, p.conv_id AS parent_conv_id, n.n_convs, coalesce(k.n, 0) AS n_children, t.n_leaves, t.saved AS saved_tokens, n.ends AS ends_sha256
+FROM nodes n LEFT JOIN nodes p ON p.node = n.parent LEFT JOIN kids k ON k.parent = n.node JOIN trees t ON t.top = n.node
+"""
+
+
+@query
+def op12_collocations(spark, sf_dir):
+    return phrases.collocations(table(spark, sf_dir, "documents")).drop("first_doc", "first_byte")
+
+
+LLM_ORACLES["op12_collocations"] = r"""
+WITH pieces AS (
+       SELECT coalesce(lang, 'und') AS lang,
+              unnest(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece
+       FROM documents),
+     worded AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM pieces),
+     totals AS (SELECT lang, CAST(sum(len(w)) AS BIGINT) AS n FROM worded GROUP BY lang),
+     grams AS (
+       SELECT lang, size, array_to_string(w[p:p + size - 1], ' ') AS phrase
+       FROM (SELECT lang, w, size, unnest(range(1, len(w) - size + 2)) AS p FROM worded, range(1, 6) s(size))),
+     counts AS (SELECT lang, size, phrase, count(*) AS a FROM grams GROUP BY lang, size, phrase HAVING count(*) >= 100),
+     cuts AS (
+       SELECT *, string_split(phrase, ' ') AS w, unnest(range(1, size)) AS k FROM counts WHERE size > 1),
+     scored AS (
+       SELECT c.lang, c.size, c.phrase, c.a, c.k, l.a AS l, r.a AS r, t.n,
+              (CAST(1000 AS HUGEINT) * c.a * t.n) // (CAST(l.a AS HUGEINT) * r.a) AS score
+       FROM cuts c JOIN totals t USING (lang)
+       JOIN counts l ON l.lang = c.lang AND l.phrase = array_to_string(c.w[1:c.k], ' ')
+       JOIN counts r ON r.lang = c.lang AND r.phrase = array_to_string(c.w[c.k + 1:], ' ')),
+     best AS (SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1),
+     longer AS (
+       SELECT DISTINCT lang, array_to_string(w[p:p + part - 1], ' ') AS phrase, a
+       FROM (SELECT lang, size, a, string_split(phrase, ' ') AS w, part, unnest(range(1, size - part + 2)) AS p
+             FROM counts, range(2, 5) s(part) WHERE part < size)),
+     kept AS (
+       SELECT * FROM best b WHERE NOT EXISTS (SELECT 1 FROM longer o WHERE o.lang = b.lang AND o.phrase = b.phrase AND 100 * o.a >= 100 * b.a))
+SELECT * FROM (
+  SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n, CAST(score AS BIGINT) AS score FROM kept)
+WHERE rank <= 2000
+"""
+
+
+@query
+def op13_leaks(spark, sf_dir):
+    found = leaks.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), carry=["doc_id"])
+    items = F.sha2(F.concat_ws(",", "items"), 256).alias("items_sha256")
+    return found.select("row.doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), items, (F.col("n_hit") > 0).alias("contaminated"))
+
+
+LLM_ORACLES["op13_leaks"] = r"""
+WITH docs AS (
+       SELECT row_number() OVER () AS r, doc_id,
+              regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
+       FROM documents),
+     items AS (
+       SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
+       FROM benchmark),
+     windows AS (
+       SELECT DISTINCT item_id, k, array_to_string(w[p:p + k - 1], ' ') AS g
+       FROM (SELECT item_id, w, least(len(w), 10) AS k, unnest(range(1, len(w) - least(len(w), 10) + 2)) AS p FROM items WHERE len(w) > 0)),
+     sizes AS (SELECT DISTINCT k FROM windows),
+     places AS (
+       SELECT r, p, k, array_to_string(w[p:p + k - 1], ' ') AS g FROM (SELECT r, w, k, unnest(range(1, len(w) - k + 2)) AS p FROM docs, sizes)),
+     hits AS (SELECT r, p, k, item_id FROM places JOIN windows USING (k, g)),
+     words AS (SELECT r, count(DISTINCT q) AS n FROM (SELECT r, unnest(range(p, p + k)) AS q FROM hits) GROUP BY r),
+     named AS (
+       SELECT r, count(DISTINCT item_id) AS n, string_agg(DISTINCT CAST(item_id AS VARCHAR), ',' ORDER BY CAST(item_id AS VARCHAR)) AS ids FROM hits GROUP BY r)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(words.n, 0) AS n_hit, coalesce(named.n, 0) AS n_items,
+       sha256(coalesce(ids, '')) AS items_sha256, coalesce(words.n, 0) > 0 AS contaminated
+FROM docs LEFT JOIN words USING (r) LEFT JOIN named USING (r)
+"""
