@@ -212,7 +212,7 @@ FROM nodes n LEFT JOIN nodes p ON p.node = n.parent LEFT JOIN kids k ON k.parent
 
 @query
 def op12_collocations(spark, sf_dir):
-    return phrases.collocations(table(spark, sf_dir, "documents")).drop("first_doc", "first_byte")
+    return phrases.collocations(table(spark, sf_dir, "documents")).drop("seen_doc", "seen_byte")
 
 
 LLM_ORACLES["op12_collocations"] = r"""
