@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from .common import pick, stored
 
-SLICE = 1 << 22  # bytes of text hashed at once
+SLICE = 1 << 21  # bytes of text hashed at once
 PENDING = 1 << 21  # fingerprints that a task gathers before it merges equal ones
 ROWS = 1 << 16  # of an Arrow batch that leaves a task
 BITS = 28  # of the largest bitmap: 32 MB, however many phrases are frequent
