@@ -178,6 +178,15 @@ ORACLES["scan_csv_missing_values"] = """
     SELECT CAST(o_orderkey AS VARCHAR) AS o_orderkey, CASE WHEN o_orderstatus = 'F' THEN 'none' END AS word,
            ',"quoted"' AS marks FROM orders"""
 ORACLES["scan_csv_multi_line"] = "SELECT CAST(doc_id AS VARCHAR) AS doc_id, lang, text FROM documents"
+ORACLES["scan_csv_records_skip"] = """
+    SELECT CAST(doc_id AS VARCHAR) AS doc_id, 'a "b", ' || chr(13) || chr(10) || coalesce(text, '') AS text FROM (
+        SELECT *, row_number() OVER (PARTITION BY lang ORDER BY doc_id) AS n FROM documents WHERE doc_id IS NOT NULL AND lang IS NOT NULL)
+    WHERE n > 2"""
+ORACLES["scan_csv_case_names"] = """
+    SELECT CAST(n_nationkey AS VARCHAR) AS "Key", n_name AS name, CAST(n_regionkey AS VARCHAR) AS key_1, n_name AS name_1 FROM nation"""
+ORACLES["scan_csv_other_headers"] = """
+    SELECT f AS first, s AS second, CASE WHEN f = s THEN (SELECT count(*) FROM nation) END AS n_rows
+    FROM (VALUES ('a,b', 'a,b'), ('a,b', 'b,a'), ('a,a', 'a,a'), ('a,a', 'x,y'), ('a,', 'a,x'), ('A,a', 'a,A')) AS t(f, s)"""
 ORACLES["scan_directory"] = ORACLES["scan_csv"]
 ORACLES["roundtrip_csv"] = ORACLES["scan_csv"]
 ORACLES["reshape_job"] = """

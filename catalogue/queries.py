@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from py4j.protocol import Py4JJavaError
+from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -488,6 +490,59 @@ def scan_csv_multi_line(spark, sf_dir):
     return sources.read_csv(spark, path, multi_line=True, na_tokens=[])
 
 
+def _quoted_field(text):
+    return F.concat(F.lit('"'), F.replace(text, F.lit('"'), F.lit('""')), F.lit('"'))
+
+
+@query
+def scan_csv_records_skip(spark, sf_dir):
+    """Documents with their line breaks, a file for each language; a title and the first two documents, all over several
+    lines, are skipped by number, and the header spans two lines."""
+    documents = table(spark, sf_dir, "documents").where("doc_id IS NOT NULL AND lang IS NOT NULL")
+    marked = F.concat(F.lit('a "b", \r\n'), F.coalesce("text", F.lit("")))
+    body = documents.select("lang", F.col("doc_id").alias("at"), F.concat(F.col("doc_id"), F.lit(","), _quoted_field(marked)).alias("value"))
+    titles = F.posexplode(F.array(F.lit('"Documents, a\nlist"'), F.lit('"doc\nid",text'))).alias("at", "value")
+    first = documents.select("lang").distinct().select("lang", titles)
+    first = first.withColumn("at", (F.col("at") - (1 << 40)).cast("bigint"))
+    path = fresh_path(spark, "records") + ".csv"
+    body.unionByName(first).repartition("lang").sortWithinPartitions("lang", "at").drop("at").write.partitionBy("lang").text(path)
+    return sources.read_csv(spark, path, multi_line=True, skip="0, 2-3", na_tokens=[]).toDF("doc_id", "text")
+
+
+@query
+def scan_csv_case_names(spark, sf_dir):
+    """Names that differ in case only, and a repeated one."""
+    nation = table(spark, sf_dir, "nation")
+    path = fresh_path(spark, "nations") + ".csv"
+    lines = nation.select(F.col("n_nationkey").alias("at"), F.concat_ws(",", "n_nationkey", "n_name", "n_regionkey", "n_name").alias("value"))
+    header = nation.limit(1).select(F.lit(-1).cast(lines.schema["at"].dataType).alias("at"), F.lit("Key,name,KEY,Name").alias("value"))
+    lines.union(header).coalesce(1).sortWithinPartitions("at").select("value").write.text(path)
+    return sources.read_csv(spark, path).select("Key", "name", F.col("`KEY.1`").alias("key_1"), F.col("`Name.1`").alias("name_1"))
+
+
+@query
+def scan_csv_other_headers(spark, sf_dir):
+    """Pairs of files by the first letters of nations, the second with another header: which of them a scan refuses."""
+    nation = table(spark, sf_dir, "nation").select("n_name", "n_nationkey")
+    found = None
+    for first, second in (("a,b", "a,b"), ("a,b", "b,a"), ("a,a", "a,a"), ("a,a", "x,y"), ("a,", "a,x"), ("A,a", "a,A")):
+        path = fresh_path(spark, "pair") + ".csv"
+        for name, early in ((first, True), (second, False)):
+            part = nation.where((F.col("n_name") < "J") if early else (F.col("n_name") >= "J"))
+            lines = part.select(F.concat_ws(",", "n_name", "n_nationkey").alias("value"), F.lit(1).alias("at"))
+            head = nation.limit(1).select(F.lit(name).alias("value"), F.lit(0).alias("at"))
+            lines.union(head).coalesce(1).sortWithinPartitions("at").select("value").write.mode("append").text(path)
+        try:
+            rows = sources.read_csv(spark, path).toDF("x", "y").groupBy().agg(F.count("*").alias("n_rows"))
+            rows.write.parquet(at := fresh_path(spark, "counted"))
+            rows = spark.read.parquet(at)
+        except (PySparkException, Py4JJavaError):  # the native reader's refusal comes as the latter
+            rows = nation.limit(1).select(F.lit(None).cast("long").alias("n_rows"))
+        rows = rows.select(F.lit(first).alias("first"), F.lit(second).alias("second"), "n_rows")
+        found = rows if found is None else found.union(rows)
+    return found
+
+
 @query
 def scan_directory(spark, sf_dir):
     """A folder that holds other files as well."""

@@ -26,20 +26,25 @@ def local_session(cores: int | str = 8, shuffle_partitions: int | None = None, a
     )
 
 
+#: Folders of sessions on one machine that name none, by application.
+_OWN: dict[str, str] = {}
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder all executors share, as the session names it.
 
     Only a session on one machine may go without the setting; it gets a temporary
-    folder, kept in the session for later calls.
+    folder of its own.
     """
     folder = spark.conf.get(CHECKPOINT_SETTING, None)
     if folder:
         return folder.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
+    if not spark.sparkContext.master.startswith("local["):
         raise RuntimeError(f"set {CHECKPOINT_SETTING} to a folder that all executors share")
-    folder = tempfile.mkdtemp(prefix="gridweave-")
-    spark.conf.set(CHECKPOINT_SETTING, folder)
-    return folder
+    application = spark.sparkContext.applicationId
+    if application not in _OWN:
+        _OWN[application] = tempfile.mkdtemp(prefix="gridweave-")
+    return _OWN[application]
 
 
 def fresh_path(spark: SparkSession, name: str) -> str:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import csv as csv_text
+import io
 from collections.abc import Iterable, Sequence
 from functools import reduce
 from urllib.parse import unquote
@@ -14,6 +15,7 @@ from pyspark.sql import types as T
 from gridweave.functions.text import quoted
 from gridweave.operators.positions import Range, as_ranges, in_ranges
 from gridweave.operators.tables import infer_types as cast_inferred
+from gridweave.sources.records import block_columns, quoted_records, with_block, written
 
 # Texts that stand for a missing value.
 NA_TOKENS = [
@@ -28,8 +30,6 @@ FILE_ORDER = ["_file", "_block", "_row"]
 
 # Holds the line of a row whose number of fields is not the header's.
 _UNEVEN = "__uneven"
-# Blocks are rows of five numbers; above this many they are joined by shuffle.
-_BROADCAST_BLOCKS = 200_000
 
 
 def read_csv(
@@ -52,12 +52,14 @@ def read_csv(
     Columns are text unless ``infer_types``. Short rows are padded with nulls; rows with
     more fields than the header raise, are left out (``bad_rows="skip"``), or lose the
     extra fields (``"keep"``). ``with_order`` adds the ``FILE_ORDER`` columns.
-    ``file_pattern`` keeps files whose name matches a regex anywhere. ``multi_line`` reads
-    quoted line breaks, at the price of one task per file.
+    ``file_pattern`` keeps files whose name matches a regex anywhere. With ``multi_line`` quoted
+    fields may hold line breaks, the header's too, and ``skip`` counts records; a file is
+    still cut by as many tasks as it has splits.
 
     The files of one scan have one header, read off the first of them; another header in a
     file raises. ``headers="each"`` looks at every file, in a pass of its own, and matches columns by
-    name: the order of columns and the lines before a header may then differ, not the names.
+    name: the order of columns and the lines before a header may then differ, not the names. Where the session
+    doesn't tell upper from lower case, names that differ in case only count as repeated.
     """
     if headers not in ("same", "each"):
         raise ValueError(f"headers are 'same' or 'each', not {headers!r}")
@@ -66,12 +68,13 @@ def read_csv(
     if len(sep) != 1:
         raise ValueError("the separator is one character")
     ranges = as_ranges(skip)
-    if multi_line and ranges:
-        raise ValueError("rows are skipped by line, so not in files whose rows span lines")
-    lines = _lines(spark, path, glob, file_pattern)
+    numbered = _numbered(spark, path, glob, file_pattern, sep) if multi_line else None
+    lines = None if multi_line else _lines(spark, path, glob, file_pattern)
+    fold = _folds_case(spark)
     if headers == "each":
-        layouts = _layouts(lines, ranges)
-        names = {frozenset(header_names(text, sep)) for text, _ in layouts}
+        numbered = numbered or _with_line_index(lines)
+        layouts = _layouts(numbered, ranges)
+        names = {frozenset(header_names(text, sep, fold)) for text, _ in layouts}
         if len(names) > 1:
             raise ValueError(f"files have different columns: {sorted(map(sorted, names))}")
         if len(layouts) > 1:
@@ -81,7 +84,8 @@ def read_csv(
             parts = [read_csv(spark, files, **rest) for files in layouts.values()]
             rows = reduce(DataFrame.unionByName, parts)
             return cast_inferred(rows) if infer_types else rows
-    header, header_index, header_line = _header(lines, sep, ranges)
+    header_line, header_index = _first_record(numbered, ranges) if multi_line else _header(lines, ranges)
+    header = header_names(header_line, sep, fold)
     schema = T.StructType([T.StructField(c, T.StringType()) for c in header])
     if bad_rows != "keep":
         schema = schema.add(_UNEVEN, T.StringType())
@@ -91,20 +95,18 @@ def read_csv(
         F.col("_metadata.file_block_start").alias("_block"),
         F.monotonically_increasing_id().alias("_row"),
     ]
-    if header_index == 0 and not ranges:
+    # Spark compares every file's header with names that stand in the file as they are.
+    if header_index == 0 and not ranges and not multi_line and header == _cells(header_line, sep):
         # A pruned parse cannot tell how many fields a row has.
         whole = bad_rows != "keep"
-        reader = spark.read.schema(schema).options(header=True, columnPruning=not whole, multiLine=multi_line, **options)
-        # With names as they stand in the file, Spark compares every file's header with them.
-        if header == next(csv_text.reader([header_line], delimiter=sep)):
-            reader = reader.option("enforceSchema", False)
+        reader = spark.read.schema(schema).options(header=True, columnPruning=not whole, enforceSchema=False, **options)
         if glob:
             reader = reader.option("pathGlobFilter", glob)
         rows = _named(reader.csv(path), file_pattern)
         fields = [quoted(c) for c in schema.names]
         rows = rows.select(*fields, *order) if with_order else rows.select(*fields)
     else:
-        numbered = _with_line_index(lines)
+        numbered = numbered or _with_line_index(lines)
         line = F.col("line")
         other = F.raise_error(F.lit("files have different headers; headers='each' looks at every file")).cast("boolean")
         wanted = (
@@ -114,9 +116,13 @@ def read_csv(
             .otherwise(F.when(F.trim("value") == "", False).otherwise(other))
         )
         # As a generator the parse runs once per kept line, and no later filter can
-        # move in front of the line filter and see skipped lines.
-        parsed = F.inline(F.array(F.from_csv(F.col("value"), _ddl(schema), options)))
+        # move in front of the line filter and see skipped lines. Fields are parsed under
+        # numbers, since names may be told apart by more than the parser does.
+        numbers = T.StructType([T.StructField(f"c{i}", T.StringType()) for i in range(len(header))])
+        numbers = numbers.add(_UNEVEN, T.StringType()) if bad_rows != "keep" else numbers
+        parsed = F.inline(F.array(F.from_csv(F.col("value"), _ddl(numbers), options)))
         rows = numbered.where(wanted).select(parsed, *(FILE_ORDER if with_order else []))
+        rows = rows.toDF(*schema.names, *(FILE_ORDER if with_order else []))
     rows = _judge(rows, bad_rows, header, sep)
     values = [_without_na(quoted(c), na_tokens).alias(c) for c in header]
     rows = rows.select(*values, *(FILE_ORDER if with_order else []))
@@ -129,29 +135,46 @@ def csv_header(
     *,
     sep: str = ",",
     skip: str | int | Iterable[int] | None = None,
+    multi_line: bool = False,
 ) -> list[str]:
     """Column names of a CSV, after skipped rows."""
-    return _header(_lines(spark, path, None, None), sep, as_ranges(skip))[0]
+    if multi_line:
+        line, _ = _first_record(_numbered(spark, path, None, None, sep), as_ranges(skip))
+    else:
+        line, _ = _header(_lines(spark, path, None, None), as_ranges(skip))
+    return header_names(line, sep, _folds_case(spark))
+
+
+def header_names(line: str, sep: str = ",", fold: bool = False) -> list[str]:
+    """Column names off a header; with ``fold``, names that differ in case only are repeated ones."""
+    return unique_names(_cells(line, sep), fold)
 
 
-def header_names(line: str, sep: str = ",") -> list[str]:
-    """Column names off a header line."""
-    return unique_names(next(csv_text.reader([line.lstrip("\ufeff")], delimiter=sep)))
+def _cells(line: str, sep: str) -> list[str]:
+    return next(csv_text.reader(io.StringIO(line.lstrip("\ufeff"), newline=""), delimiter=sep))
 
 
-def unique_names(cells: Sequence[str | None]) -> list[str]:
+def unique_names(cells: Sequence[str | None], fold: bool = False) -> list[str]:
     """Header cells as names: empty ones become ``Unnamed: i``, repeats ``a.1``, ``a.2``."""
+    alike = str.lower if fold else str
+    given = {alike(c) for c in cells if c}
     names: list[str] = []
+    taken: set[str] = set()
     for i, cell in enumerate(cells):
         name = base = cell or f"Unnamed: {i}"
         count = 0
-        while name in names or (count and name in cells):
+        while alike(name) in taken or (count and alike(name) in given):
             count += 1
             name = f"{base}.{count}"
         names.append(name)
+        taken.add(alike(name))
     return names
 
 
+def _folds_case(spark: SparkSession) -> bool:
+    return spark.conf.get("spark.sql.caseSensitive", "false").lower() != "true"
+
+
 def _ddl(schema: T.StructType) -> str:
     return ", ".join(f"`{c.replace('`', '``')}` STRING" for c in schema.names)
 
@@ -161,14 +184,18 @@ def _named(rows: DataFrame, file_pattern: str | None) -> DataFrame:
     return rows.where(F.col("_metadata.file_name").rlike(file_pattern)) if file_pattern else rows
 
 
-def _lines(spark: SparkSession, path: str | Sequence[str], glob: str | None, file_pattern: str | None) -> DataFrame:
-    reader = spark.read.option("pathGlobFilter", glob) if glob else spark.read
+def _lines(spark: SparkSession, path: str | Sequence[str], glob: str | None, file_pattern: str | None, **options: str) -> DataFrame:
+    reader = spark.read.options(**options)
+    reader = reader.option("pathGlobFilter", glob) if glob else reader
     return _named(reader.text(path), file_pattern)
 
 
-def _layouts(lines: DataFrame, ranges: Sequence[Range]) -> dict[tuple[str, int], list[str]]:
+def _numbered(spark: SparkSession, path: str | Sequence[str], glob: str | None, file_pattern: str | None, sep: str) -> DataFrame:
+    return quoted_records(_lines(spark, path, glob, file_pattern, lineSep="\n"), sep)
+
+
+def _layouts(numbered: DataFrame, ranges: Sequence[Range]) -> dict[tuple[str, int], list[str]]:
     """The files of each header text and line. File names are what the driver lists for any scan."""
-    numbered = _with_line_index(lines)
     wanted = numbered.where(~in_ranges(F.col("line"), ranges) & (F.trim("value") != ""))
     first = wanted.groupBy("_file").agg(F.min(F.struct("line", "value")).alias("h"))
     found: dict[tuple[str, int], list[str]] = {}
@@ -177,7 +204,16 @@ def _layouts(lines: DataFrame, ranges: Sequence[Range]) -> dict[tuple[str, int],
     return found
 
 
-def _header(lines: DataFrame, sep: str, ranges: Sequence[Range]) -> tuple[list[str], int, str]:
+def _first_record(numbered: DataFrame, ranges: Sequence[Range]) -> tuple[str, int]:
+    """The header and its number, off the file whose name comes first."""
+    wanted = numbered.where(~in_ranges(F.col("line"), ranges) & (F.trim("value") != ""))
+    found = wanted.agg(F.min(F.struct("_file", "line", "value")).alias("h")).first()["h"]
+    if found is None:
+        raise ValueError("there is no header: no file, or every row is skipped or blank")
+    return found["value"], found["line"]
+
+
+def _header(lines: DataFrame, ranges: Sequence[Range]) -> tuple[str, int]:
     # One file's first block lies in one task in line order, and a limit reads no
     # further than it needs: this look-up touches the head of one file.
     first_file = lines.select(F.col("_metadata.file_path")).limit(1).collect()
@@ -189,7 +225,7 @@ def _header(lines: DataFrame, sep: str, ranges: Sequence[Range]) -> tuple[list[s
     found = numbered.where(~in_ranges(F.col("line"), ranges) & (F.trim("value") != "")).limit(1).collect()
     if not found:
         raise ValueError("there is no header: every row is skipped or blank")
-    return header_names(found[0]["value"], sep), found[0]["line"], found[0]["value"]
+    return found[0]["value"], found[0]["line"]
 
 
 def _with_line_index(lines: DataFrame) -> DataFrame:
@@ -201,30 +237,13 @@ def _with_line_index(lines: DataFrame) -> DataFrame:
     must see the same splits: they are joined on task, file, block start and block
     length, and a line whose block is unknown raises.
     """
-    block = [
-        F.spark_partition_id().alias("_task"),
-        F.col("_metadata.file_path").alias("_file"),
-        F.col("_metadata.file_block_start").alias("_block"),
-        F.col("_metadata.file_block_length").alias("_length"),
-    ]
-    row = F.monotonically_increasing_id().alias("_row")
+    scanned = lines.select(*block_columns(), "value")
     ids = ["_task", "_file", "_block", "_length"]
-    counted = lines.select(*block, row).groupBy(*ids).agg(F.min("_row").alias("__first"), F.count(F.lit(1)).alias("n"))
+    counted = lines.select(*block_columns()).groupBy(*ids).agg(F.min("_row").alias("first"), F.count(F.lit(1)).alias("n"))
     before = Window.partitionBy("_file").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
-    starts = counted.select(
-        *[F.col(c).alias(f"b{c}") for c in ids],
-        F.col("__first"),
-        F.coalesce(F.sum("n").over(before), F.lit(0)).alias("__base"),
-    )
-    blocks = lines.rdd.getNumPartitions() + len(lines.inputFiles())
-    if blocks <= _BROADCAST_BLOCKS:
-        starts = F.broadcast(starts)
-    numbered = lines.select(*block, row, "value").join(
-        starts, [F.col(c) == F.col(f"b{c}") for c in ids], "left"
-    )
-    lost = F.raise_error(F.lit("input splits changed between two passes over the files; run the scan again"))
-    line = F.coalesce(F.col("__base") + F.col("_row") - F.col("__first"), lost.cast("bigint"))
-    return numbered.select("_file", "_block", "_row", line.alias("line"), "value")
+    starts = counted.select(*ids, "first", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
+    numbered = with_block(scanned, written(starts))
+    return numbered.select("_file", "_block", "_row", (F.col("base") + F.col("_row") - F.col("first")).alias("line"), "value")
 
 
 def _judge(rows: DataFrame, bad_rows: str, header: Sequence[str], sep: str) -> DataFrame:

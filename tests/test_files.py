@@ -1,8 +1,11 @@
+import csv
 import io
+import random
 import zipfile
 from datetime import datetime
 
 import pytest
+from py4j.protocol import Py4JJavaError
 from pyspark.errors import PySparkException
 
 from gridweave.__main__ import main
@@ -25,6 +28,7 @@ from gridweave.sources import (
     split_source,
     write_table,
 )
+from gridweave.sources import records
 from gridweave.sources.csv import header_names
 
 
@@ -152,6 +156,76 @@ def test_write_append_and_copy(spark, tmp_path, rows):
     assert open_table(spark, str(tmp_path / "copy.parquet")).count() == 4
 
 
+def plain_records(text):
+    """Rows as a reader of the whole text sees them, with the texts of records."""
+    return [r for r in csv.reader(io.StringIO(text, newline="")) if r]
+
+
+def wild_csv(seed, lines):
+    """Fields with quotes, doubled quotes and all kinds of line breaks; long ones lie in several splits."""
+    rng = random.Random(seed)
+    pieces = ["a", "b,", "\n", "\r\n", '""', "", "cd e", ",", "x\n\ny"]
+    out = ['"k\n1",two']
+    for i in range(lines):
+        length = rng.choice([0, 1, 2, 4, 8, 30, 1500])
+        out.append(f'{i},"{"".join(rng.choice(pieces) for _ in range(length))}"' if rng.random() < 0.7 else f'{i},p"la"in')
+    return "\n".join(out) + "\n"
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_records_over_lines_and_splits(spark, file, small_splits, seed):
+    text = wild_csv(seed, 60)
+    path = file(text)
+    header, *plain = plain_records(text)
+    df = read_csv(spark, path, multi_line=True, na_tokens=[], with_order=True)
+    assert df.columns[:2] == header == ["k\n1", "two"] == csv_header(spark, path, multi_line=True)
+    found = df.orderBy("_block", "_row").collect()
+    assert [(r[0], r[1] or "") for r in found] == [tuple(r) for r in plain]
+    assert len({r["_block"] for r in found}) > 5
+
+
+def test_records_are_skipped_by_number(spark, file, small_splits):
+    text = '"title\nof, it",x,y\n\n' + wild_csv(9, 50)
+    skipped = read_csv(spark, file(text), multi_line=True, skip="0, 3-5, 20", na_tokens=[])
+    plain = plain_records(text)
+    wanted = [tuple(r) for i, r in enumerate(plain[2:]) if i + 3 not in (3, 4, 5, 20)]
+    assert sorted((r[0], r[1] or "") for r in skipped.collect()) == sorted(wanted)
+
+
+def test_a_record_over_many_splits(spark, file, small_splits, rows):
+    path = file('a,b\n1,"' + "line\n" * 5000 + '"\n2,z\n')
+    assert rows(read_csv(spark, path, multi_line=True)) == [("1", "line\n" * 5000), ("2", "z")]
+
+
+def test_an_open_quote_takes_the_rest(spark, file, rows):
+    path = file('a,b\n1,x\n2,"y\n3,z\n')
+    assert len(rows(read_csv(spark, path, multi_line=True, bad_rows="keep"))) == 2
+
+
+def test_names_that_differ_in_case(spark, file, rows):
+    df = read_csv(spark, file("Name,name,NAME.1,x\n1,2,3,4\n"))
+    assert df.columns == ["Name", "name.2", "NAME.1", "x"] and rows(df) == [("1", "2", "3", "4")]
+
+
+def test_other_headers_raise(spark, tmp_path):
+    for i, (first, second) in enumerate([("a,a", "x,y"), ("a,", "a,b"), ("a,b", "x,y"), ("A,a", "a,A")]):
+        (tmp_path / str(i)).mkdir()
+        (tmp_path / str(i) / "a.csv").write_text(f"{first}\n1,2\n")
+        (tmp_path / str(i) / "b.csv").write_text(f"{second}\n3,4\n")
+        with pytest.raises((PySparkException, Py4JJavaError)):
+            read_csv(spark, str(tmp_path / str(i))).collect()
+        if first != "a,b":
+            with pytest.raises(PySparkException, match="different headers"):
+                read_csv(spark, str(tmp_path / str(i)), multi_line=True).collect()
+
+
+def test_blocks_joined_by_shuffle(spark, file, small_splits, monkeypatch):
+    monkeypatch.setattr(records, "BROADCAST_BLOCKS", 1)
+    text = wild_csv(2, 60)
+    found = read_csv(spark, file(text), multi_line=True, na_tokens=[]).collect()
+    assert sorted((r[0], r[1] or "") for r in found) == sorted(tuple(r) for r in plain_records(text)[1:])
+
+
 def test_empty_table_still_has_a_header(spark, tmp_path):
     path = str(tmp_path / "none.csv")
     write_table(spark.createDataFrame([], "a string, b string"), path)

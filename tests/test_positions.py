@@ -108,7 +108,7 @@ def test_column_sample(spark, rows):
 
 def test_columns_named_like_a_position_stay(spark, rows):
     df = spark.createDataFrame([(i, (i + 1) * 100) for i in range(20)], "id int, idx int").repartition(3)
-    assert rows(skip_rows(df, "0", "idx")) == [(i, (i + 1) * 100) for i in range(1, 20)]
+    assert rows(skip_rows(df, "0", "idx")) == sorted([(i, (i + 1) * 100) for i in range(1, 20)], key=repr)
     far = spark.range(HEAD_LIMIT + 3).selectExpr("id", "id * 2 AS idx")
     kept = skip_rows(far, f"1,{HEAD_LIMIT + 1}", "id")
     assert kept.columns == ["id", "idx"] and kept.where("idx <> 2 * id").count() == 0 and kept.count() == HEAD_LIMIT + 1
