@@ -87,6 +87,9 @@ ORACLES["stream_dedupe"] = """
     FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS n FROM orders)
     WHERE n = 1"""
 ORACLES["stream_dedupe_replay"] = ORACLES["stream_dedupe"]
+ORACLES["stream_metrics"] = """
+    SELECT count(*) AS n_rows, true AS timed FROM orders
+    WHERE o_orderdate >= '1995-01-01' AND o_orderdate < '1996-01-01' AND o_orderstatus <> 'P' GROUP BY month(o_orderdate)"""
 ORACLES["stream_dedupe_keys"] = "SELECT DISTINCT user_id FROM events"
 
 # Row positions and samples
@@ -187,6 +190,7 @@ ORACLES["scan_csv_case_names"] = """
 ORACLES["scan_csv_other_headers"] = """
     SELECT f AS first, s AS second, CASE WHEN f = s THEN (SELECT count(*) FROM nation) END AS n_rows
     FROM (VALUES ('a,b', 'a,b'), ('a,b', 'b,a'), ('a,a', 'a,a'), ('a,a', 'x,y'), ('a,', 'a,x'), ('A,a', 'a,A')) AS t(f, s)"""
+ORACLES["own_format_roundtrip"] = "SELECT o_orderkey, o_custkey, o_orderstatus, o_totalprice FROM orders"
 ORACLES["scan_directory"] = ORACLES["scan_csv"]
 ORACLES["roundtrip_csv"] = ORACLES["scan_csv"]
 ORACLES["reshape_job"] = """

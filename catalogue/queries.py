@@ -245,6 +245,26 @@ def stream_dedupe_replay(spark, sf_dir):
     return streaming.read_first_rows(spark, target)
 
 
+@query
+def stream_metrics(spark, sf_dir):
+    """Orders arrive month by month of a year, a batch each: the rows that each batch let through, as the stream counted them."""
+    orders = table(spark, sf_dir, "orders").where("o_orderdate >= '1995-01-01' AND o_orderdate < '1996-01-01'")
+    landing, kept = fresh_path(spark, "arrivals"), fresh_path(spark, "metrics")
+    months = orders.withColumn("month", F.month("o_orderdate"))
+    months.repartition(12, "month").sortWithinPartitions("month").write.partitionBy("month").parquet(landing)
+    log = streaming.BatchLog()
+    spark.streams.addListener(log)
+    try:
+        arrivals = spark.readStream.schema(months.schema).option("maxFilesPerTrigger", 1).parquet(landing)
+        passed = streaming.observed(arrivals.where("o_orderstatus <> 'P'"))
+        run = passed.writeStream.format("noop").option("checkpointLocation", fresh_path(spark, "stream-state")).trigger(availableNow=True).start()
+        found = [(m.rows, m.seconds > 0 and m.rows_per_second > 0) for m in log.wait(run) if m.rows]
+    finally:
+        spark.streams.removeListener(log)
+    spark.createDataFrame(found, "n_rows long, timed boolean").write.parquet(kept)
+    return spark.read.parquet(kept)
+
+
 @query
 def stream_dedupe_keys(spark, sf_dir):
     """Spark's stateful duplicate removal over a stream of events: the keys that remain."""
@@ -543,6 +563,18 @@ def scan_csv_other_headers(spark, sf_dir):
     return found
 
 
+@query
+def own_format_roundtrip(spark, sf_dir):
+    """Orders through a format that Spark lacks: written, half of them anew, the others appended."""
+    sources.register_format(spark, sources.ArrowFiles())
+    orders = table(spark, sf_dir, "orders")
+    path = fresh_path(spark, "orders") + ".arrow"
+    sources.write_table(orders.repartition(4), path)
+    sources.write_table(orders.where("o_orderkey % 2 = 0").repartition(3), path)
+    sources.append_to(orders.where("o_orderkey % 2 = 1").repartition(3), path)
+    return sources.open_table(spark, path).select("o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice")
+
+
 @query
 def scan_directory(spark, sf_dir):
     """A folder that holds other files as well."""

@@ -1,6 +1,7 @@
 """Reading and writing tables."""
 
 from .csv import FILE_ORDER, NA_TOKENS, csv_header, read_csv
+from .formats import ArrowFiles, TableFormat, register_format
 from .tables import (
     RunMetrics,
     append_to,

@@ -25,6 +25,9 @@ def _columnar(format_name: str) -> Reader:
     return read
 
 
+# Formats that Spark writes by name.
+_FORMATS: dict[str, str] = {".parquet": "parquet", ".orc": "orc"}
+
 _READERS: dict[str, Reader] = {
     ".csv": read_csv,
     **{suffix: read_workbook for suffix in WORKBOOK_SUFFIXES},
@@ -36,12 +39,19 @@ _READERS: dict[str, Reader] = {
 def register_reader(suffix: str, reader: Reader) -> None:
     """Make :func:`open_table` use ``reader(spark, path, **options)`` for a suffix not yet taken.
 
-    For a whole format of one's own, ``spark.dataSource.register`` takes a Python data
-    source; a reader for it is then ``spark.read.format(name).load(path)``.
+    For a whole format of one's own, that is also written, see :func:`gridweave.sources.register_format`.
     """
     _READERS.setdefault(_suffix("x" + suffix if suffix.startswith(".") else suffix), reader)
 
 
+def add_format(suffix: str, name: str) -> None:
+    """Read and write paths of a suffix by the data source ``name``; nothing changes if they already are."""
+    if suffix in _READERS and _FORMATS.get(suffix) != name:
+        raise ValueError(f"{suffix} has a reader already")
+    _READERS[suffix] = _columnar(name)
+    _FORMATS[suffix] = name
+
+
 def _suffix(path: str) -> str:
     return posixpath.splitext(str(path))[1].lower()
 
@@ -125,8 +135,8 @@ def write_table(df: DataFrame, path: str, *, mode: str = "overwrite", sep: str =
         raise ValueError("workbooks are read, not written; write .csv or .parquet")
     start = time.monotonic()
     writer = watched.write.mode(mode)
-    if suffix in (".parquet", ".orc"):
-        writer.format(suffix[1:]).save(path)
+    if suffix in _FORMATS:
+        writer.format(_FORMATS[suffix]).save(path)
     else:
         writer.options(
             header=True,
@@ -153,16 +163,17 @@ def append_to(df: DataFrame, path: str, *, sep: str = ",") -> RunMetrics:
     files written before could not be read with it.
     """
     spark, suffix = df.sparkSession, _suffix(path)
-    reader = spark.read.format(suffix[1:]) if suffix in (".parquet", ".orc") else spark.read.format("csv").options(header=True, sep=sep)
+    reader = spark.read.format(_FORMATS[suffix]) if suffix in _FORMATS else spark.read.format("csv").options(header=True, sep=sep)
     try:
         there = reader.load(path).schema
     except AnalysisException as error:
-        if error.getCondition() != "PATH_NOT_FOUND":
+        # What a data source written in Python raises has no condition of its own.
+        if error.getCondition() not in ("PATH_NOT_FOUND", "PYTHON_DATA_SOURCE_ERROR"):
             raise
         return write_table(df, path, mode="append", sep=sep)
     if more := sorted(set(df.columns) - set(there.names)):
         raise ValueError(f"the table at {path} has no column {', '.join(more)}")
-    typed = suffix in (".parquet", ".orc")
+    typed = suffix in _FORMATS
     columns = [
         (quoted(f.name) if f.name in df.columns else F.lit(None).cast(f.dataType)) for f in there
     ]

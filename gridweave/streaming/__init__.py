@@ -1,5 +1,6 @@
 """Streaming operators."""
 
-from .dedupe import dedupe_stream, read_first_rows, write_first_rows
+from .dedupe import dedupe_stream, first_arrivals, read_first_rows, write_first_rows
+from .metrics import BatchLog, BatchMetrics, observed
 
-__all__ = ["dedupe_stream", "read_first_rows", "write_first_rows"]
+__all__ = ["BatchLog", "BatchMetrics", "dedupe_stream", "first_arrivals", "observed", "read_first_rows", "write_first_rows"]

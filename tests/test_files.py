@@ -12,6 +12,7 @@ from gridweave.__main__ import main
 from gridweave.operators import infer_types
 from gridweave.sources import (
     FILE_ORDER,
+    ArrowFiles,
     append_to,
     can_open,
     copy_table,
@@ -21,6 +22,7 @@ from gridweave.sources import (
     processed_path,
     read_csv,
     read_workbook,
+    register_format,
     register_reader,
     scan_directory,
     scan_workbooks,
@@ -323,3 +325,34 @@ def test_headers_of_all_files(spark, tmp_path, rows, bad_rows):
     assert rows(read_csv(spark, blank, skip="0", bad_rows=bad_rows, headers="each")) == [("1", "x"), ("2", "y")]
     with pytest.raises(ValueError):
         read_csv(spark, folder("more", "a,b\n1,x\n", "a,b,c\n2,y,3\n"), headers="each")
+
+
+def test_a_format_of_ones_own(spark, tmp_path, rows):
+    register_format(spark, ArrowFiles())
+    register_format(spark, ArrowFiles())
+    path = str(tmp_path / "t.arrow")
+    df = spark.sql("SELECT id, concat('v', id) AS name, array(id) AS more, IF(id % 2 = 0, NULL, id * 0.5D) AS half FROM range(1000)")
+    assert write_table(df.repartition(4), path).rows == 1000
+    assert can_open(path) and rows(open_table(spark, path)) == rows(df)
+    append_to(df.limit(3).select("name", "id"), path)
+    assert open_table(spark, path).count() == 1003 and open_table(spark, path).where("name = 'v7' AND more IS NOT NULL").count() == 1
+    write_table(df.where("id < 0"), path)
+    assert open_table(spark, path).columns == df.columns and open_table(spark, path).count() == 0
+    assert len([p for p in (tmp_path / "t.arrow").iterdir() if p.is_dir()]) == 1
+    with pytest.raises(ValueError, match="a reader already"):
+        register_format(spark, type("Other", (ArrowFiles,), {"name": "other", "suffix": ".csv"})())
+
+
+def test_a_failed_write_leaves_nothing(spark, tmp_path, rows):
+    register_format(spark, ArrowFiles())
+    path = str(tmp_path / "t.arrow")
+    broken = spark.range(100).repartition(4).selectExpr("IF(id = 57, raise_error('broken'), id) AS id")
+    with pytest.raises(Exception, match="broken"):
+        write_table(broken, path)
+    assert not [p for p in (tmp_path / "t.arrow").rglob("*") if p.is_file()]
+    write_table(spark.range(5), path)
+    for mode in ("append", "overwrite"):
+        with pytest.raises(Exception, match="broken"):
+            write_table(broken, path, mode=mode)
+        assert rows(open_table(spark, path)) == [(i,) for i in range(5)]
+    assert len([p for p in (tmp_path / "t.arrow").iterdir() if p.is_dir()]) == 1

@@ -17,7 +17,7 @@ from gridweave.operators import (
 )
 from gridweave.plans import ReshapeJob
 from gridweave.sources import open_table
-from gridweave.streaming import dedupe_stream, read_first_rows, write_first_rows
+from gridweave.streaming import BatchLog, dedupe_stream, observed, read_first_rows, write_first_rows
 
 
 def test_append(spark, rows):
@@ -163,6 +163,57 @@ def test_batches_of_a_lost_checkpoint_come_again(spark, tmp_path, rows):
     assert rows(read_first_rows(spark, target).select("K")) == [("a",), ("b",), ("c",)]
 
 
+def test_a_batch_reads_nothing_it_wrote(spark, tmp_path, rows):
+    """Batches after the first meet no file of the table, and give columns called like its folders once were."""
+    landing, target, state = (str(tmp_path / n) for n in ("in", "out", "state"))
+    schema = "batch_id int, run_id string, n int"
+    for lot in ([(0, "a", 1), (0, "b", 2)], [(1, "b", 0), (1, "c", 4)], [(2, "c", 5), (2, "d", 6)]):
+        spark.createDataFrame(lot, schema).coalesce(1).write.mode("append").parquet(landing)
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(landing)
+    write_first_rows(stream, "run_id", ["batch_id", "n"], "n", target, state).awaitTermination()
+    for part in (tmp_path / "out").rglob("*.parquet"):  # another batch would fail on these
+        part.write_bytes(b"")
+    spark.createDataFrame([(3, "d", 0), (3, "e", 7)], schema).coalesce(1).write.mode("append").parquet(landing)
+    there = list((tmp_path / "out").rglob("_first_rows_batch=*"))
+    assert len(there) == 3
+    from gridweave.streaming import dedupe
+
+    old, dedupe._written = dedupe._written, lambda *_: None
+    try:
+        write_first_rows(stream, "run_id", ["batch_id", "n"], "n", target, state).awaitTermination()
+    finally:
+        dedupe._written = old
+    new = [p for p in (tmp_path / "out").rglob("_first_rows_batch=*") if p not in there]
+    assert rows(spark.read.parquet(str(new[0]))) == [("e", 3, 7)]
+
+
+def test_a_new_checkpoint_needs_a_new_run(spark, tmp_path):
+    landing, target = str(tmp_path / "in"), str(tmp_path / "out")
+    for lot in ([(0, "a")], [(1, "b")]):
+        spark.createDataFrame(lot, "n int, K string").coalesce(1).write.mode("append").parquet(landing)
+    stream = spark.readStream.schema("n int, K string").option("maxFilesPerTrigger", 1).parquet(landing)
+    write_first_rows(stream, "K", ["n"], "n", target, str(tmp_path / "one"), run="r").awaitTermination()
+    with pytest.raises(Exception, match="name another run"):
+        write_first_rows(stream, "K", ["n"], "n", target, str(tmp_path / "two"), run="r").awaitTermination()
+    with pytest.raises(ValueError, match="folders"):
+        write_first_rows(stream, "_first_rows_run", ["n"], "n", target, str(tmp_path / "three"))
+
+
+def test_metrics_of_batches(spark, tmp_path):
+    landing = str(tmp_path / "in")
+    for n in (3, 5, 2):
+        spark.range(n).coalesce(1).write.mode("append").parquet(landing)
+    log = BatchLog()
+    spark.streams.addListener(log)
+    try:
+        stream = observed(spark.readStream.schema("id long").option("maxFilesPerTrigger", 1).parquet(landing))
+        query = stream.writeStream.format("noop").option("checkpointLocation", str(tmp_path / "state")).trigger(availableNow=True).start()
+        found = log.wait(query)
+    finally:
+        spark.streams.removeListener(log)
+    assert sorted(m.rows for m in found if m.rows) == [2, 3, 5] and all(m.seconds > 0 and m.rows_per_second > 0 for m in found if m.rows)
+
+
 def test_stateful_stream(spark, tmp_path, rows):
     landing = str(tmp_path / "in")
     spark.sql("SELECT id % 5 AS k, timestamp_seconds(id) AS ts FROM range(100)").repartition(4).write.parquet(landing)
