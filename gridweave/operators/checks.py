@@ -1,8 +1,7 @@
 """Column checks: a weighted score of how well a column's values meet a rule.
 
-A check names the aggregates it needs over the cells of a column and a formula over
-them. Cells come either raw, one row per value, or counted, one row per distinct
-value with its count; the same check runs on both.
+A check names the aggregates it needs over the cells of a column, one row per value, and a
+formula over them.
 """
 
 from __future__ import annotations
@@ -76,36 +75,10 @@ class Cells:
     def count(self, test: Column | None = None) -> Column:
         return F.count(F.lit(1)) if test is None else F.count_if(test)
 
-    def distinct(self) -> Column:
-        """Distinct values; null counts as one."""
-        return F.count_distinct(self.shown) + F.coalesce(F.max(self.shown.isNull().cast("bigint")), F.lit(0))
-
     def length_variance(self) -> Column:
         return F.var_pop(F.length(self.text))
 
 
-class CountedCells(Cells):
-    """Distinct cells of a column with their counts."""
-
-    def __init__(self, shown: Column, kinds: Kinds, copies: Column):
-        super().__init__(shown, kinds)
-        self.copies = copies
-
-    def count(self, test: Column | None = None) -> Column:
-        counted = self.copies if test is None else F.when(test, self.copies)
-        return F.coalesce(F.sum(counted), F.lit(0))
-
-    def distinct(self) -> Column:
-        return F.count(F.lit(1))
-
-    def length_variance(self) -> Column:
-        length = F.length(self.text).cast("double")
-        copies = F.sum(F.when(self.text.isNotNull(), self.copies)).cast("double")
-        mean = F.sum(length * self.copies) / copies
-        variance = F.sum(length * length * self.copies) / copies - mean * mean
-        return F.when(copies > 0, F.greatest(variance, F.lit(0.0)))
-
-
 Measure = Callable[[Cells], Column]
 Measured = Callable[[str], Column]
 
@@ -115,7 +88,6 @@ BASE_MEASURES: dict[str, Measure] = {
     "numbers": lambda c: c.count(c.is_number),
     "moments": lambda c: c.count(c.is_moment),
     "present": lambda c: c.count(c.shown.isNotNull()),
-    "distinct": lambda c: c.distinct(),
     "length_variance": lambda c: c.length_variance(),
     "digit_texts": lambda c: c.count(c.text.rlike(f"{PY_FLAGS}^{PY_SPACE}*\\d+{PY_SPACE}*\\z")),
 }
@@ -131,6 +103,7 @@ class Check:
     applies: Callable[[Measured], Column] = field(default=lambda m: m("total") > 0)
     measures: dict[str, Measure] = field(default_factory=dict)
     of_numbers: bool = False
+    of_distinct: bool = False
 
     def weighted(self, m: Measured) -> Column:
         return self.score(m) * F.lit(float(self.weight))
@@ -218,6 +191,7 @@ def uniqueness_check(low: float = 0.0, high: float | None = None, weight: float
         "uniqueness_check",
         weight,
         lambda m: F.when(m("total") > 0, _graded(m("distinct") / m("total"), low, high)).otherwise(0.0),
+        of_distinct=True,
     )
 
 
@@ -266,10 +240,24 @@ def number_variances(df: DataFrame, columns: Sequence[str]) -> DataFrame | None:
     return wide.select(F.inline(F.array(*lines)))
 
 
+def distinct_counts(rows: DataFrame) -> DataFrame:
+    """``(counted_column, n_distinct)`` of cells ``(column_name, shown)``; null counts as one value.
+
+    Values are told apart by 128 bits of hash, two longs, so no text is shuffled: tasks drop repeated ones, all tasks
+    share a column's values, and what is left of a column is a count per task.
+    """
+    digest = [F.xxhash64("shown").alias("h"), F.xxhash64(F.lit(1), "shown").alias("g")]
+    values = rows.select(F.col("column_name").alias("counted_column"), *digest, F.col("shown").isNull().alias("none")).distinct()
+    return values.groupBy("counted_column").agg(F.count(F.lit(1)).alias("n_distinct"))
+
+
 def measured_columns(
     df: DataFrame, columns: Sequence[str], checks: Sequence[Check], rows: DataFrame, cells: Cells
 ) -> tuple[DataFrame, Measured]:
-    """One row per column with every measure the checks need; the second part names them."""
+    """One row per column with every measure the checks need; the second part names them.
+
+    Tests run in the tasks that read the cells, and a row of counts per column leaves each.
+    """
     wanted = {**BASE_MEASURES}
     for check in checks:
         wanted.update(check.measures)
@@ -282,14 +270,19 @@ def measured_columns(
         # One row per column of the table.
         measured = measured.join(F.broadcast(variances), F.col("column_name") == F.col("number_column"), "left")
         found["number_variance"] = F.col("number_variance")
+    if any(c.of_distinct for c in checks):
+        # One row per column here as well.
+        counts = distinct_counts(rows)
+        measured = measured.join(F.broadcast(counts), F.col("column_name") == F.col("counted_column"), "left")
+        found["distinct"] = F.col("n_distinct")
     return measured, found.__getitem__
 
 
 def run_checks(df: DataFrame, columns: Sequence[str], checks: Sequence[Check]) -> DataFrame:
     """``(column_name, check_name, applies, score)`` for every column and check, in one job.
 
-    Aggregates that no score refers to are pruned, so a run without a uniqueness check
-    shuffles one row per column and task.
+    Aggregates that no score refers to are pruned. What is shuffled is one row per column and task, and for a uniqueness check
+    16 bytes of hash per distinct value.
     """
     cells = Cells(F.col("shown"), Kinds.of(df, columns))
     measured, m = measured_columns(df, columns, checks, column_cells(df, columns), cells)

@@ -1,8 +1,7 @@
 """Column classification: score every semantic type for every column, in one job.
 
-Cells are unpivoted and counted per distinct value before anything is matched, so each
-pattern runs once per distinct value and uniqueness falls out of the grouping. Grouping
-by column and value spreads a column over all tasks; what follows has one row per column.
+Cells are unpivoted and matched where they are read; a row of counts per column leaves each task. Distinct
+values are counted by hashes, so no cell is shuffled.
 """
 
 from __future__ import annotations
@@ -15,7 +14,7 @@ from pyspark.sql import functions as F
 
 from gridweave.functions.numbers import normalize_number
 from gridweave.functions.text import PY_FLAGS, free_name, quoted
-from gridweave.operators.checks import Check, CountedCells, Kinds, column_cells, measured_columns
+from gridweave.operators.checks import Cells, Check, Kinds, column_cells, measured_columns
 from gridweave.operators.dedupe import order_value
 from gridweave.operators.detectors import DETECTORS, Detector, lineage
 from gridweave.operators.positions import head
@@ -88,9 +87,8 @@ def classify(
     chosen = list(columns or df.columns)
     rows = _sampled(df, sample, order_by).select(*[quoted(c) for c in chosen])
     checks = list(dict.fromkeys(c for d in detectors for c in d.checks))
-    counted = column_cells(rows, chosen).groupBy("column_name", "shown").agg(F.count(F.lit(1)).alias("copies"))
-    cells = CountedCells(F.col("shown"), Kinds.of(rows, chosen), F.col("copies"))
-    measured, m = measured_columns(rows, chosen, checks, counted, cells)
+    cells = Cells(F.col("shown"), Kinds.of(rows, chosen))
+    measured, m = measured_columns(rows, chosen, checks, column_cells(rows, chosen), cells)
     # One row per column and detector of metadata: bounded by the schema, not by the data.
     boosts = df.sparkSession.createDataFrame(
         [(c, [name_boost(c, d) for d in detectors]) for c in chosen], "__column string, __boosts array<double>"

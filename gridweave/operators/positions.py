@@ -26,6 +26,8 @@ Range = tuple[int, int]
 INDEX = "idx"
 # Positions below this come from a top-k held in one task; beyond it the full index is built.
 HEAD_LIMIT = 10_000
+# Up to this many rows of every task meet as they are.
+FEW = 128
 ROWS_PER_RANGE = 1_000_000
 MAX_RANGES = 16_384
 SAMPLES_PER_RANGE = 24
@@ -109,15 +111,42 @@ def _unused(df: DataFrame, index: str) -> str:
 
 def head(df: DataFrame, n: int, order_by: str | Sequence[str], index: str = INDEX) -> DataFrame:
     """First ``n`` rows in order, with their positions as ``index``: each task keeps its
-    own first ``n``, and only those meet. A name that the table has is refused."""
+    own first ``n``, and only those meet. A name that the table has is refused.
+
+    Above ``FEW`` a pass over the order columns first finds a value that has ``n`` rows up to
+    it and less than four times as many (see :func:`head_bound`), so what meets doesn't grow with the number of tasks."""
     index = _unused(df, index)
     if n > HEAD_LIMIT:
         return with_row_index(df, order_by, index=index).where(quoted(index) < n)
-    order = [quoted(c) for c in _names(order_by)]
-    top = df.orderBy(*order).limit(n)
+    names = _names(order_by)
+    order = [quoted(c) for c in names]
+    rows = df
+    if n > FEW:
+        bound = head_bound(df, n, names).scalar()
+        rows = df.where(bound.isNull() | (_order_key(df, names) <= bound))
+    top = rows.orderBy(*order).limit(n)
     return top.withColumn(index, (F.row_number().over(Window.orderBy(*order)) - 1).cast("long"))
 
 
+def _order_key(df: DataFrame, names: Sequence[str]) -> Column:
+    return F.struct(*[quoted(c).alias(f"k{i}") for i, c in enumerate(names)])
+
+
+def head_bound(df: DataFrame, n: int, order_by: str | Sequence[str]) -> DataFrame:
+    """One row, ``bound``: an order value that at least ``n`` rows don't exceed, and fewer than ``4 n``; null if the table may be shorter.
+
+    Each task sorts its order values and tells those at ranks 1, 2, 4, ... up to the first that is ``n`` or more. One of rank ``r`` stands for ``r`` rows up to it, and there are
+    fewer than ``2 r`` up to the next. The bound is the first value that ranks up to it stand for ``n`` rows; the last step
+    adds ``n`` at most. Under a total order the limits hold for any number of tasks and any spread of rows over them.
+    """
+    keys = df.select(_order_key(df, _names(order_by)).alias("key")).sortWithinPartitions("key")
+    rank = F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1) + 1
+    ranked = keys.select("key", rank.alias("rank")).where((F.col("rank") < 2 * n) & (F.col("rank").bitwiseAND(F.col("rank") - 1) == 0))
+    stands = F.when(F.col("rank") == 1, 1).otherwise(F.col("rank") / 2).cast("long")
+    so_far = F.sum(stands).over(Window.orderBy("key").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    return ranked.select("key", so_far.alias("rows")).where(F.col("rows") >= n).agg(F.min("key").alias("bound"))
+
+
 def skip_rows(df: DataFrame, skip: str | int | Iterable[int] | None, order_by: str | Sequence[str]) -> DataFrame:
     """Drop the rows at the given positions.
 

@@ -13,16 +13,16 @@ from gridweave.operators import (
     merge_values,
 )
 
-DROP_ROWS = [(0, "k1", "b1", 1), (1, "k2", "b2", 2), (2, "k1", "b1_dup", 3), (3, "k3", "b3", 4)]
+DROP_ROWS = [(0, "oak", "tall", 30), (1, "elm", None, 9), (2, "elm", "ill", 8), (3, "fir", "green", 41), (4, "oak", "old", 2)]
 CONCAT_ROWS = [(0, "k1", "x", "p"), (1, "k1", "y", "p"), (2, "k2", "y", "q"), (3, "k1", "x", None)]
 
 
 @pytest.mark.parametrize("parts", [1, 7])
 def test_keep_first(spark, rows, parts):
     random.seed(parts)
-    df = spark.createDataFrame(random.sample(DROP_ROWS, 4), "idx bigint, A string, B string, C int").repartition(parts)
+    df = spark.createDataFrame(random.sample(DROP_ROWS, 5), "idx bigint, A string, B string, C int").repartition(parts)
     out = dedupe_and_map(df, "A, B", Dedupe(key="A"), order_by="idx")
-    assert rows(out) == [("k1", "b1"), ("k2", "b2"), ("k3", "b3")]
+    assert rows(out) == [("elm", ""), ("fir", "green"), ("oak", "tall")]
 
 
 @pytest.mark.parametrize("parts", [1, 7])

@@ -106,6 +106,26 @@ def test_column_sample(spark, rows):
     assert rows(chunked) == [("B", 0, "10"), ("B", 2, "12"), ("B", 4, "14")]
 
 
+@pytest.mark.parametrize("spread", ["id % 1000", "least(id, 999)", "greatest(0, id - 50000) % 1000"])
+def test_few_rows_meet_for_a_head(spark, spread):
+    """A thousand tasks: the rows up to the bound are at least as many as asked for, and less than four times as many."""
+    from gridweave.operators.positions import head_bound
+
+    df = spark.range(60_000).selectExpr("hash(id) AS h", "id", f"{spread} AS part").repartitionByRange(1000, "part").drop("part")
+    for n in (129, 1000, 9000):
+        bound = head_bound(df, n, ["h", "id"]).first()["bound"]
+        below = df.where((F.col("h") < bound[0]) | ((F.col("h") == bound[0]) & (F.col("id") <= bound[1]))).count()
+        assert n <= below < 4 * n
+    first = [r["id"] for r in df.orderBy("h", "id").limit(500).collect()]
+    found = {r["idx"]: r["id"] for r in head(df, 500, ["h", "id"]).collect()}
+    assert [found[i] for i in range(500)] == first
+
+
+def test_a_short_table_has_no_bound(spark):
+    df = spark.createDataFrame([(None, 1), (2.5, 0), (float("nan"), 3)], "a double, b int")
+    assert [tuple(r)[1:] for r in head(df, 5000, ["a", "b"]).collect()] == [(1, 0), (0, 1), (3, 2)]
+
+
 def test_columns_named_like_a_position_stay(spark, rows):
     df = spark.createDataFrame([(i, (i + 1) * 100) for i in range(20)], "id int, idx int").repartition(3)
     assert rows(skip_rows(df, "0", "idx")) == sorted([(i, (i + 1) * 100) for i in range(1, 20)], key=repr)
