@@ -14,16 +14,17 @@ def components(edges: DataFrame) -> DataFrame:
     Large and small stars in turn: each round, every node tells its larger (then its smaller) neighbours
     the smallest node it knows, until all edges of a component meet in that node. Rounds grow with the logarithm
     of the longest path. Only minima are aggregated, so tasks combine them before the shuffle, and a node with
-    very many neighbours is one row per task there. Each round is a written table in the shared folder. Edges from a
+    very many neighbours is one row per task there. Minima are written before edges meet them, so Spark broadcasts them where
+    they are few and else splits the edges of such a node over tasks. Each round is a written table in the shared folder. Edges from a
     node to itself, repeated ones and ones with a null end are allowed; the latter are left out.
     """
     now = stored(_ordered(edges.select("a", "b")), "edges")
     while True:
         both = now.select(F.col("a").alias("u"), F.col("b").alias("v")).union(now.select("b", "a"))
-        least = both.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("m"))
+        least = stored(both.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("m")), "least")
         large = both.where("v > u").join(least, "u").select(F.col("v").alias("a"), F.col("m").alias("b"))
-        down = large.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
-        least = down.groupBy("u").agg(F.min("v").alias("m"))
+        down = stored(large.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")), "down")
+        least = stored(down.groupBy("u").agg(F.min("v").alias("m")), "least")
         small = down.join(least, "u").select(F.col("v").alias("a"), F.col("m").alias("b"))
         small = small.union(least.select("u", "m"))
         new = stored(_ordered(small), "edges")

@@ -14,16 +14,15 @@ from .common import pick, stored
 from .components import components
 
 WORDS = 3  # of a k-mer
-PICKED = 1  # k-mers of a sketch
+PICKED = 2  # k-mers of a sketch
 SKETCHES = 48
-SHARED = 3  # sketches that candidates have in common at least
 THRESHOLD = 0.8
-MOST_BROADCAST = 2_000_000  # keys of candidates that are broadcast, 8 bytes each
+MOST_BROADCAST = 500_000  # digests of candidates that are broadcast, 72 bytes each
 FIRST = 4  # one bucket in so many is compared with its leader first
 SMALL = 16  # likeliest pairs of two components in a bucket, aligned before all others
 TILE = 1024  # members of a crowded bucket that are set against as many others at once
 PAIRS = 1 << 20  # of members looked at together
-BINS = 128  # of a bag of words
+BINS = 512  # of a bag of words
 TOGETHER = 256  # pairs aligned at once
 NARROW = 8  # band that is tried first
 CELLS = 1 << 21  # of a band matrix row for all pairs aligned at once, at most
@@ -67,10 +66,12 @@ def sketch(words: np.ndarray, size: int = WORDS, picked: int = PICKED, sketches:
     for s in range(0, sketches, at_once):
         seeds = _SEEDS[s : min(s + at_once, sketches)]
         drawn = labelled[None, :] * (seeds[:, None] | np.uint64(1)) + seeds[:, None]
-        if picked == 1:
-            at = drawn.argmin(axis=1)[:, None]
-        elif n > picked:
-            at = np.sort(np.argpartition(drawn, picked - 1, axis=1)[:, :picked], axis=1)
+        if n > picked:
+            at = np.empty((len(seeds), picked), np.int64)
+            for i in range(picked):
+                at[:, i] = drawn.argmin(axis=1)
+                drawn[np.arange(len(seeds)), at[:, i]] = np.uint64(0xFFFFFFFFFFFFFFFF)
+            at.sort(axis=1)
         else:
             at = np.tile(np.arange(n), (len(seeds), 1))
         key = seeds.copy()
@@ -86,8 +87,7 @@ def _sketched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             words = batch.column("words")
             flat, ends = words.values.to_numpy(zero_copy_only=False), words.offsets.to_numpy()
             keys = [sketch(flat[a:b].view(np.uint64)).tolist() if b > a else [] for a, b in zip(ends, ends[1:], strict=False)]
-            marks = [(np.array(k, np.int64) & 0xFFFF).astype("<u2").tobytes() for k in keys]
-            bags = [bag(flat[a:b].view(np.uint64)).tobytes() + m for a, b, m in zip(ends, ends[1:], marks, strict=False)]
+            bags = [bag(flat[a:b].view(np.uint64)).tobytes() for a, b in zip(ends, ends[1:], strict=False)]
             sizes = pa.array(np.diff(ends).astype(np.int64))
             yield pa.RecordBatch.from_arrays(
                 [batch.column("id"), batch.column("digest"), sizes, pa.array(keys, pa.list_(pa.int64())), pa.array(bags, pa.binary())],
@@ -97,14 +97,14 @@ def _sketched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def bag(words: np.ndarray) -> np.ndarray:
     """How many words of a text fall in each of ``BINS`` bins by their hash, up to 255."""
-    return np.minimum(np.bincount((words >> np.uint64(57)).astype(np.int64), minlength=BINS), 255).astype(np.uint8)
+    return np.minimum(np.bincount((words >> np.uint64(55)).astype(np.int64), minlength=BINS), 255).astype(np.uint8)
 
 
 def least_edits(bags: np.ndarray, others: np.ndarray, n: np.ndarray, n_others: np.ndarray) -> np.ndarray:
     """Twice a lower bound of edit distances: the longer text less the words in common, which bins can only make more."""
     out = np.abs(n - n_others)
-    for at in range(0, len(bags), 1 << 15):
-        part = slice(at, at + (1 << 15))
+    for at in range(0, len(bags), 1 << 13):
+        part = slice(at, at + (1 << 13))
         out[part] += np.abs(bags[part].astype(np.int16) - others[part]).sum(1, dtype=np.int64)
     return out
 
@@ -220,15 +220,16 @@ def _aligned(threshold: float):
     return run
 
 
-def _verified(pairs: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
-    """``a, b, gap`` of pairs, from whole texts; only texts in a pair move. A text in very many pairs is joined last, as a skewed join."""
-    wanted = stored(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "candidates")
+def _verified(pairs: DataFrame, known: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
+    """``a, b, gap`` of pairs of members, from whole texts; only texts in a pair move. A text in very many pairs is joined last, as a skewed join."""
+    wanted = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct().join(known, "id")
+    wanted = stored(wanted, "candidates")
     small = wanted.count() <= MOST_BROADCAST
-    texts = stored(texts.join(F.broadcast(wanted) if small else wanted, "id", "left_semi"), "texts")
-    right = pairs.join(texts.select(F.col("id").alias("b"), F.col("text").alias("right")), "b")
-    both = right.join(texts.select(F.col("id").alias("a"), F.col("text").alias("left")), "a")
-    gaps = both.select("a", "b", "left", "right").mapInArrow(_aligned(threshold), "a long, b long, gap double")
-    return stored(gaps.groupBy("a", "b").agg(F.min("gap").alias("gap")), "gaps")
+    moved = texts.select("digest", "text").join(F.broadcast(wanted) if small else wanted, "digest")
+    moved = stored(moved.groupBy("id").agg(F.first("text").alias("text")), "texts")
+    right = pairs.join(moved.select(F.col("id").alias("b"), F.col("text").alias("right")), "b")
+    both = right.join(moved.select(F.col("id").alias("a"), F.col("text").alias("left")), "a")
+    return stored(both.select("a", "b", "left", "right").mapInArrow(_aligned(threshold), "a long, b long, gap double"), "gaps")
 
 
 def _words(text: Column) -> Column:
@@ -237,57 +238,72 @@ def _words(text: Column) -> Column:
 
 
 def near_copies(rows: DataFrame, key: str = "doc_id", text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
-    """The class of each document: ``key, class_id, class_size, kept``.
+    """The class of each document: ``key, class_id, class_size, kept, digest``.
 
     Texts link if the edit distance of their words, over the longer length, is at most ``1 - threshold``. A class
-    is what links connect; its id is its smallest key, and that document is kept. Candidates share ``SHARED`` of ``SKETCHES`` sketches,
-    each the three-word k-mer with the smallest hash, ends padded. An edit changes three k-mers, so at a fifth of words edited, wherever
-    and however, two texts have a Jaccard similarity of k-mers of a quarter at least, and are candidates with probability 0.9998.
+    is what links connect; its id is its smallest key, and that document is kept. ``digest`` is the text's SHA-256.
+
+    Candidates share one of ``SKETCHES`` sketches. Each draws the ``PICKED`` k-mers of ``WORDS`` words with the smallest hashes, which also take in the
+    occurrence of a repeated k-mer, and keeps them in the order of the text, ends padded. Two texts agree in a sketch with about the square of
+    the Jaccard similarity of their k-mers. At a fifth of words edited that is 0.35 if edits are scattered, 0.25 if they are evenly spaced, the worst for
+    three words: candidates with probability 0.998 and 0.95.
 
     All candidates that no other links connect are settled, so classes are the components of all links between candidates, whatever
     the order of the search. Equal texts are one member from the start and never paired. One bucket in ``FIRST`` first draws a leader by a
-    hash of bucket and key, and all in it are compared with the leader; so most of a class, however large, is one component after few
-    pairs. Then, in every bucket that holds several components, each pair of members of two components is judged by a bound that needs no
-    text: lengths, and words in common by ``BINS`` bins, allow for the threshold or not. The ``SMALL`` likeliest pairs of two components are aligned,
-    components are taken anew, and all pairs left between different ones are aligned. Crowded buckets are dealt in tiles of about ``TILE``, so
-    no task holds one whole; the pairs that the bound looks at grow with the square of what lies in a bucket and isn't connected.
-    Aligning needs memory for one band row, however long the texts are.
+    hash of bucket and member, and all in it are compared with the leader; so most of a class, however large, is one component after few
+    pairs. Then leaders are drawn in every bucket that holds several components, one member stands for each component there, and these are compared with the
+    leader, until that adds no link. What is left in a bucket is judged by a bound that needs no text: lengths, and words in common by
+    ``BINS`` bins, allow for the threshold or not; of two components the ``SMALL`` likeliest pairs are aligned, then all left between different ones.
+    Crowded buckets are dealt in tiles of about ``TILE``, so no task holds one whole; the pairs that the bound looks at grow with the square
+    of what lies in a bucket and isn't connected. Aligning needs memory for one band row, however long the texts are.
 
     Keys are whole numbers. Rows with a null key or a text without words are kept and in no class with others (class_id:
-    the key). Repeated rows with one key get equal results. Further columns are not looked at. An empty table gives an empty result.
+    the key). Rows are judged by key and text: repeated rows get equal results, and rows of one key with unlike texts are members of their own, of
+    which each can be kept. Further columns are not looked at. An empty table gives an empty result.
     """
-    base = pick(rows, id=key, text=text).select(F.col("id").cast("long").alias("id"), "text")
+    base = pick(rows, id=key, text=text).select(F.col("id").cast("long").alias("id"), "text", F.sha2("text", 256).alias("digest"))
     texts = base.where(F.col("id").isNotNull() & F.coalesce(F.col("text").rlike(r"\S"), F.lit(False)))
-    seen = texts.select("id", F.sha2("text", 256).alias("digest"), _words(F.col("text")).alias("words"))
+    seen = texts.select("id", "digest", _words(F.col("text")).alias("words"))
     seen = stored(seen.mapInArrow(_sketched, "id long, digest string, n long, keys array<long>, bag binary"), "sketches")
-    members = seen.groupBy("digest").agg(
-        F.min("id").alias("member"), F.count("*").alias("copies"), F.min("n").alias("n"), F.min_by("keys", "id").alias("keys"), F.min("bag").alias("bag")
-    )
-    members = stored(members, "members")
-    bags = members.select(F.col("member").alias("id"), "n", "bag")
-    buckets = members.select(F.col("member").alias("id"), "n", F.explode("keys").alias("bucket"))
+    copies = seen.groupBy("digest").agg(F.min("id").alias("least"), F.count("*").alias("copies"))
+    parts = seen.groupBy("digest").agg(F.min("n").alias("n"), F.min_by("keys", "id").alias("keys"), F.min("bag").alias("bag"))
+    members = stored(copies.join(parts, "digest").select(F.monotonically_increasing_id().alias("id"), "*"), "members")
+    bags = members.select("id", "n", "bag")
+    buckets = members.select("id", "n", F.explode("keys").alias("bucket"))
     filed = stored(_led(buckets, ["bucket"]), "buckets")
+    known = members.select("id", "digest")
     part = filed.where(F.pmod("bucket", F.lit(FIRST)) == 0)
-    gaps = _verified(stored(_allowed(_with_leader(part, threshold), bags, threshold), "pairs"), texts, threshold)
+    gaps = _verified(stored(_allowed(_with_leader(part, threshold), bags, threshold), "pairs"), known, texts, threshold)
     found = _found(gaps, threshold)
+    turn = 0
+    while True:
+        pairs = _between_leaders(filed, found, turn, threshold)
+        pairs = stored(_allowed(pairs, bags, threshold).join(gaps.select("a", "b"), ["a", "b"], "left_anti"), "pairs")
+        more = _verified(pairs, known, texts, threshold)
+        gaps, turn = gaps.union(more), turn + 1
+        if not _linked(more, threshold).limit(1).count():
+            break
+        found = _found(gaps, threshold)
     for most in (SMALL, None):
         pairs = _open_pairs(filed, found, bags, most, threshold).join(gaps.select("a", "b"), ["a", "b"], "left_anti")
-        gaps = gaps.union(_verified(stored(pairs, "pairs"), texts, threshold))
+        gaps = gaps.union(_verified(stored(pairs, "pairs"), known, texts, threshold))
         found = _found(gaps, threshold)
-    classes = members.join(found, F.col("member") == F.col("node"), "left")
-    classes = classes.select("digest", "copies", F.coalesce("component", "member").alias("class_id"))
-    sizes = classes.groupBy("class_id").agg(F.sum("copies").alias("class_size"))
-    classes = classes.join(sizes, "class_id").select("digest", "class_id", "class_size")
-    first_of = seen.select("id", "digest").join(classes, "digest").drop("digest").distinct()
-    done = first_of.groupBy("id").agg(F.min(F.struct("class_id", "class_size")).alias("c")).select("id", "c.*")
-    out = base.select("id", F.coalesce(F.col("text").rlike(r"\S"), F.lit(False)).alias("worded"))
-    out = out.join(done, "id", "left")
-    own = F.col("worded") & F.col("class_id").isNotNull()
+    classes = members.join(found, F.col("id") == F.col("node"), "left")
+    classes = stored(classes.select("digest", "least", "copies", F.coalesce("component", "id").alias("class")), "classes")
+    sizes = classes.groupBy("class").agg(F.min("least").alias("class_id"), F.sum("copies").alias("class_size"))
+    # Of several texts of the smallest key, one is kept.
+    first = F.min(F.struct("least", "digest"))
+    sizes = sizes.join(classes.groupBy("class").agg(first["digest"].alias("first")), "class")
+    classes = classes.join(sizes, "class").select("digest", "class_id", "class_size", (F.col("digest") == F.col("first")).alias("leads"))
+    out = base.select("id", "digest", (F.col("id").isNotNull() & F.coalesce(F.col("text").rlike(r"\S"), F.lit(False))).alias("own"))
+    out = out.join(classes, "digest", "left")
+    own = F.col("own") & F.col("class_id").isNotNull()
     return out.select(
         F.col("id").alias(key),
         F.when(own, F.col("class_id")).otherwise(F.col("id")).alias("class_id"),
         F.when(own, F.col("class_size")).otherwise(F.lit(1)).cast("long").alias("class_size"),
-        (~own | (F.col("class_id") == F.col("id"))).alias("kept"),
+        (~own | (F.col("leads") & (F.col("class_id") == F.col("id")))).alias("kept"),
+        "digest",
     )
 
 
@@ -311,35 +327,50 @@ def _with_leader(led: DataFrame, threshold: float) -> DataFrame:
     return pairs.select(F.least("id", "leader").alias("a"), F.greatest("id", "leader").alias("b")).distinct()
 
 
+def _linked(gaps: DataFrame, threshold: float) -> DataFrame:
+    return gaps.where(F.col("gap") <= 1 - threshold + 1e-12).select("a", "b")
+
+
 def _found(gaps: DataFrame, threshold: float) -> DataFrame:
-    return stored(components(gaps.where(F.col("gap") <= 1 - threshold + 1e-12).select("a", "b")), "found")
+    return stored(components(_linked(gaps, threshold)), "found")
+
+
+def _placed(filed: DataFrame, found: DataFrame) -> DataFrame:
+    """Members of buckets with their component."""
+    own = found.select(F.col("node").alias("id"), F.col("component").alias("own"))
+    return filed.select("bucket", "id", "n").join(own, "id", "left").withColumn("own", F.coalesce("own", "id"))
+
+
+def _between_leaders(filed: DataFrame, found: DataFrame, turn: int, threshold: float) -> DataFrame:
+    """Pairs of a bucket's leader, drawn anew each turn, and one member of each other component there."""
+    draw = F.struct(F.xxhash64("bucket", "id", F.lit(turn)).alias("draw"), "id", "n")
+    ones = stored(_placed(filed, found).groupBy("bucket", "own").agg(F.min(draw).alias("m")), "standing")
+    leaders = ones.groupBy("bucket").agg(F.min(F.struct("m", "own")).alias("l"), F.count("*").alias("own_count")).where("own_count > 1")
+    both = ones.join(leaders.select("bucket", "l"), "bucket").where(F.col("own") != F.col("l.own"))
+    both = both.select(F.col("m.id").alias("id"), F.col("m.n").alias("n"), F.col("l.m.id").alias("leader"), F.col("l.m.n").alias("n_leader"))
+    return _with_leader(both, threshold)
 
 
 def _allowed(pairs: DataFrame, bags: DataFrame, threshold: float) -> DataFrame:
-    """The pairs ``a, b`` that lengths, bags of words and sketches in common allow."""
+    """The pairs ``a, b`` that lengths and bags of words allow."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             n, others = batch.column("n_a").to_numpy(), batch.column("n_b").to_numpy()
-            (bags, marks), (other_bags, other_marks) = _profiles(batch.column("bag_a")), _profiles(batch.column("bag_b"))
-            fine = least_edits(bags, other_bags, n, others) <= 2 * _most_edits(n, others, threshold)
-            fine &= (marks == other_marks).sum(1) >= SHARED
+            fine = least_edits(_bags(batch.column("bag_a")), _bags(batch.column("bag_b")), n, others) <= 2 * _most_edits(n, others, threshold)
             yield batch.select(["a", "b"]).filter(pa.array(fine))
 
     side = lambda s: bags.select(*[F.col(c).alias(f"{c}_{s}" if c != "id" else s) for c in ("id", "n", "bag")])
     return pairs.join(side("a"), "a").join(side("b"), "b").mapInArrow(run, "a long, b long")
 
 
-def _profiles(bags: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """Bags of words, and 16 bits of each sketch, so no sketch in common is overlooked."""
-    both = np.frombuffer(b"".join(bags.to_pylist()), np.uint8).reshape(-1, BINS + 2 * SKETCHES)
-    return both[:, :BINS], np.ascontiguousarray(both[:, BINS:]).view("<u2")
+def _bags(column: pa.Array) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(-1, BINS)
 
 
 def _open_pairs(filed: DataFrame, found: DataFrame, bags: DataFrame, most: int | None, threshold: float) -> DataFrame:
     """Allowed pairs of texts in one bucket that no links connect so far: all, or about the ``most`` likeliest for two components."""
-    own = found.select(F.col("node").alias("id"), F.col("component").alias("own"))
-    placed = stored(filed.select("bucket", "id").join(own, "id", "left").withColumn("own", F.coalesce("own", "id")), "placed")
+    placed = stored(_placed(filed, found).drop("n"), "placed")
     several = placed.groupBy("bucket").agg(F.count("*").alias("crowd"), F.min("own").alias("least"), F.max("own").alias("last")).where("least < last")
     several = several.select("bucket", F.ceil(F.col("crowd") / TILE).cast("int").alias("tiles"))
     dealt = placed.join(several, "bucket").join(bags, "id").withColumn("tile", F.pmod(F.xxhash64("id"), "tiles").cast("int"))
@@ -354,7 +385,7 @@ def _crossed(most: int | None, threshold: float):
 
     def pairs_of(rows: pa.Table) -> Iterator[pa.RecordBatch]:
         bucket, low, high, tile, ids, n, own = (rows.column(c).to_numpy() for c in ("bucket", "low", "high", "tile", "id", "n", "own"))
-        bags, marks = _profiles(rows.column("bag"))
+        bags = _bags(rows.column("bag"))
         new = np.r_[True, (bucket[1:] != bucket[:-1]) | (low[1:] != low[:-1]) | (high[1:] != high[:-1])]
         cell = np.cumsum(new) - 1
         after = np.r_[np.flatnonzero(new)[1:], len(ids)][cell] - np.arange(len(ids)) - 1  # members of the cell that follow
@@ -369,13 +400,9 @@ def _crossed(most: int | None, threshold: float):
             keep = (own[i] != own[j]) & ((low[i] == high[i]) | (tile[i] != tile[j]))
             keep &= np.abs(n[i] - n[j]) <= _most_edits(n[i], n[j], threshold)
             i, j = i[keep], j[keep]
-            pieces = range(0, len(i), 1 << 15)
-            keep = [(marks[i[k : k + (1 << 15)]] == marks[j[k : k + (1 << 15)]]).sum(1) >= SHARED for k in pieces]
-            keep = np.concatenate([np.zeros(0, bool), *keep])
-            i, j = i[keep], j[keep]
             edits = np.zeros(len(i), np.int64)
-            for k in range(0, len(i), 1 << 15):
-                a, b = i[k : k + (1 << 15)], j[k : k + (1 << 15)]
+            for k in range(0, len(i), 1 << 13):
+                a, b = i[k : k + (1 << 13)], j[k : k + (1 << 13)]
                 edits[k : k + len(a)] = least_edits(bags[a], bags[b], n[a], n[b])
             keep = edits <= 2 * _most_edits(n[i], n[j], threshold)
             i, j, edits = i[keep], j[keep], edits[keep]

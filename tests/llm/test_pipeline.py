@@ -28,6 +28,13 @@ def test_stages_take_effect(spark, docs):
     assert sum(r.length for r in seen["packing"]) == sum(r.length for r in pack(spark.createDataFrame(seen["mixing"], frame.schema)).collect())
 
 
+def test_unlike_texts_of_one_id_stay(spark, docs):
+    alpha, beta = (" ".join(f"{x}{i}" for i in range(40)) for x in ("alpha", "beta"))
+    frame = docs([(7, alpha), (7, beta), (8, f"{beta} x"), (7, alpha), (None, beta), (9, " "), (9, " ")])
+    out = corpus_pipeline.drop_near_copies(spark, frame, "unused")
+    assert sorted((str(r.doc_id), r.text) for r in out.collect()) == sorted([("7", alpha), ("7", beta), ("None", beta), ("9", " "), ("9", " ")])
+
+
 def test_empty(spark, docs):
     out = docs([], extra=False)
     for name, stage in corpus_pipeline.STAGES:
@@ -39,4 +46,4 @@ def test_registered(spark):
     from __spark_entry__ import oracle_sql, queries
 
     numbers = sorted(int(n[2:].split("_")[0]) for n in queries() if n.startswith("op"))
-    assert numbers == list(range(1, 11)) and queries()["pipeline"] is corpus_pipeline.run and "pipeline" not in oracle_sql()
+    assert numbers == list(range(1, 14)) and queries()["pipeline"] is corpus_pipeline.run and "pipeline" not in oracle_sql()
