@@ -23,15 +23,19 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates stays, the one with the smallest id.
 
-    Documents without an id or a word are in no group. Of several rows with one id, the smallest row stays.
+    Documents without an id or a word are in no group and stay. Rows of one id with unlike texts are documents of their own; of rows
+    with one id and one text the smallest stays.
     """
-    judged = nearcopies.near_copies(docs).where("kept AND doc_id IS NOT NULL")
-    kept = stored(judged.groupBy("doc_id").agg(F.count("*").alias("rows")), "kept")
-    single = docs.join(kept.where("rows = 1").select("doc_id"), "doc_id", "left_semi")
-    repeated = docs.join(kept.where("rows > 1").select("doc_id"), "doc_id", "left_semi")
-    smallest = repeated.groupBy("doc_id").agg(F.min(F.struct(*[named(c) for c in docs.columns])).alias("row"))
-    rest = docs.where("doc_id IS NULL")
-    return single.select(*map(named, docs.columns)).union(smallest.select("row.*")).union(rest)
+    judged = nearcopies.near_copies(docs).where("kept")
+    kept = stored(judged.groupBy("doc_id", "digest").agg(F.count("*").alias("rows")), "kept")
+    marked = docs.select(F.struct(*[named(c) for c in docs.columns]).alias("row"), F.sha2("text", 256).alias("digest"), F.col("text").rlike(r"\S").alias("worded"))
+    kept = kept.select(F.col("doc_id").alias("kept_id"), F.col("digest").alias("kept_digest"), "rows")
+    same = F.col("row.doc_id").eqNullSafe(F.col("kept_id")) & F.col("digest").eqNullSafe(F.col("kept_digest"))
+    marked = marked.join(kept, same)
+    repeated = (F.col("rows") > 1) & F.col("worded") & F.col("row.doc_id").isNotNull()
+    single = marked.where(~F.coalesce(repeated, F.lit(False))).select("row.*")
+    smallest = marked.where(repeated).groupBy("row.doc_id", "digest").agg(F.min("row").alias("row"))
+    return single.union(smallest.select("row.*"))
 
 
 def remove_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
