@@ -19,6 +19,7 @@ UNKNOWN = "und"
 BITS = 13  # of the feature hash
 GRAMS = (1, 2, 3, 4)
 PER_LANGUAGE = 600  # documents of a language that the model is fitted on at most
+LANGUAGES = 128  # that the model is fitted on at most, those with the most documents
 SLICE = 256
 
 # Language families by ISO 639-1 code; a code not listed is a family of its own.
@@ -127,17 +128,21 @@ def held_out(key: Column) -> Column:
     return F.coalesce(F.crc32(key.cast("string").cast("binary")) % 3 == 1, F.lit(False))
 
 
-def fit(rows: DataFrame, key: str, text: str, language: str, per_language: int = PER_LANGUAGE) -> Model | None:
-    """A model from at most ``per_language`` labelled documents of each language, chosen by a hash of the key.
+def fit(
+    rows: DataFrame, key: str, text: str, language: str, per_language: int = PER_LANGUAGE, languages: int = LANGUAGES
+) -> Model | None:
+    """A model from at most ``per_language`` labelled documents of each of the ``languages`` most frequent labels, chosen by a hash of the key.
+
+    A row per chosen label is broadcast, so documents are drawn where they are read and only the drawn ones are shuffled.
 
     Rows with a held-out or null key or without a label don't count. The driver gets sparse counts of the chosen texts only.
     None if nothing can be learned from.
     """
     known = pick(rows, key=key, language=language).where("language IS NOT NULL AND key IS NOT NULL")
     known = known.where(~held_out(F.col("key"))).withColumn("draw", F.xxhash64(F.col("key"), F.lit("language")))
-    counts = known.groupBy("language").agg(F.count("*").alias("n"))
+    counts = known.groupBy("language").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "language").limit(languages)
     share = F.shiftrightunsigned("draw", 1) / float(1 << 63)
-    likely = known.join(counts, "language").where(share * F.col("n") < 2 * per_language + 50)
+    likely = known.join(F.broadcast(counts), "language").where(share * F.col("n") < 2 * per_language + 50)
     chosen = likely.withColumn("r", F.row_number().over(Window.partitionBy("language").orderBy("draw", "key")))
     chosen = chosen.where(F.col("r") <= per_language).select("key", F.col("language").alias("label")).distinct()
     texts = pick(rows, key=key, text=text, language=language).join(chosen, "key").where("language = label")
