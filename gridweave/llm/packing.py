@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
+import json
 import re
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -22,13 +23,14 @@ _PLAIN = re.compile("[^\\x20-\\x7e\\n\\tÀ-ɏ]")
 class Encoder:
     """Ids of texts by a tokenizers file; by the equal ranks in tiktoken where that is known to agree.
 
-    Names of special tokens in a text are ordinary text. The second library is about three times as fast.
-    A text with characters outside ASCII and Latin letters goes to the first.
+    The second library is about three times as fast. A text with characters outside ASCII and Latin letters goes to the first,
+    as does one that holds the name of a special token, which stands for that token's id.
     """
 
-    def __init__(self, json_file: str, ranks_file: str | None = None, pattern: str | None = None):
+    def __init__(self, json_file: str, ranks_file: str | None = None, pattern: str | None = None, special: Sequence[str] = ()):
         self._file, self._slow, self._fast = json_file, None, None
         if ranks_file:
+            self._special = re.compile("|".join(map(re.escape, special)) or r"(?!)")
             import base64
 
             import tiktoken
@@ -38,27 +40,29 @@ class Encoder:
             self._fast = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
 
     def __call__(self, text: str) -> list[int]:
-        if self._fast and (text.isascii() or not _PLAIN.search(text)):
+        if self._fast and (text.isascii() or not _PLAIN.search(text)) and not self._special.search(text):
             return self._fast.encode_ordinary(text)
         if not self._slow:  # most tasks never need it, and it holds its vocabulary a second time
             from tokenizers import Tokenizer
 
             self._slow = Tokenizer.from_file(self._file)
-            self._slow.encode_special_tokens = True
         return self._slow.encode(text, add_special_tokens=False).ids
 
 
-def public_encoder() -> dict[str, str]:
+def public_encoder() -> dict[str, str | list[str]]:
     import public_tokenizers as public
 
+    with open(public.path("byte_bpe_50k.json"), encoding="utf-8") as f:
+        special = [token["content"] for token in json.load(f).get("added_tokens", [])]
     return {
+        "special": special,
         "json_file": public.path("byte_bpe_50k.json"),
         "ranks_file": public.path("byte_bpe_50k.tiktoken"),
         "pattern": public.PATTERN,
     }
 
 
-def _tokenised(encoder: dict[str, str], end_id: int):
+def _tokenised(encoder: dict, end_id: int):
     schema = pa.schema([("key", pa.int64()), ("part", pa.int64()), ("start", pa.int64()), ("n", pa.int64()), ("ids", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -123,7 +127,7 @@ def pack(
     text: str = "text",
     length: int = 2048,
     end_id: int = 1,
-    encoder: dict[str, str] | None = None,
+    encoder: dict | None = None,
 ) -> DataFrame:
     """Pieces of documents, laid end to end and cut into sequences of ``length`` ids.
 
@@ -137,7 +141,7 @@ def pack(
     ``MOST_BROADCAST`` partitions and joined beyond; no text is shuffled, and no key can be hot, and a document of any length takes one row and one pass over its ids.
 
     The key must be a whole number or null and is passed on. A null text is empty: one piece with ``end_id``.
-    Repeated rows are packed one by one. Further columns are not looked at. An empty table gives no pieces.
+    The name of a special token in a text is that token, as the tokeniser has it. Repeated rows are packed one by one. Further columns are not looked at. An empty table gives no pieces.
     """
     schema = "key long, part long, start long, n long, ids binary"
     run = _tokenised(encoder or public_encoder(), end_id)

@@ -7,20 +7,19 @@ from tokenizers import Tokenizer
 
 from gridweave.llm.packing import Encoder, pack, public_encoder, unpack
 
-TEXTS = ["one two three", None, "", "a" * 9000, "naïve 汉字 and 日本", "<|endoftext|> stays text", "one two three", " \n\t x" * 500]
+TEXTS = ["one two three", None, "", "a" * 9000, "naïve 汉字 and 日本", "a <|endoftext|> b<|endoftext|>", "é <|endoftext|>", "one two three", " \n\t x" * 500]
 
 
 @pytest.fixture(scope="module")
 def tokenizer():
-    t = Tokenizer.from_file(public.path("byte_bpe_50k.json"))
-    t.encode_special_tokens = True
-    return t
+    return Tokenizer.from_file(public.path("byte_bpe_50k.json"))
 
 
 def test_both_libraries_agree(tokenizer):
     encode = Encoder(**public_encoder())
     for text in ["It's 12,345!  two  spaces\n\n\tand tabs ", "Größe, déjà vu — “quotes”", *filter(None, TEXTS)]:
         assert encode(text) == tokenizer.encode(text, add_special_tokens=False).ids
+    assert encode("a <|endoftext|> b") == [64, 220, 50256, 275]
 
 
 @pytest.mark.parametrize("length", [7, 64])
