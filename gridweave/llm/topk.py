@@ -199,7 +199,7 @@ def _search(k: int):
         if pages.num_rows:
             tree = MTree.unpacked(pages.to_pylist()[0])
             for row in queries.to_pylist():
-                best = tree.search(np.frombuffer(row["q"], np.int64), k, row["rank_score"])
+                best = tree.search(np.frombuffer(row["q"], np.int64), k, row["rank_score"], row["query"])
                 found += [{"query": row["query"], "score": s, "vec": v} for s, v in best]
         return pa.Table.from_pylist(found, schema)
 
@@ -218,15 +218,15 @@ def top_scores(
     ``asks`` is a condition on the columns of ``rows``. Vectors fall into pages of about ``PAGE`` near ones, and each page is an M-tree, stored as one row. A query is
     first searched in its own page, which gives a score that others must reach. Blocks of queries then meet blocks of
     page centres, and a query goes on only to pages whose bound reaches that score. Results are exact: ties go to the smaller id and
-    bounds only leave out what is worse than the k-th. A query is not its own candidate. Scores are 64-bit whole numbers.
+    bounds only leave out what is worse than the k-th. A query is not its own candidate, nor is another row of its key. Scores are 64-bit whole numbers.
 
     A vector that is null, empty, or holds null or non-finite components takes no part, nor does a null key. Only vectors of one length
-    meet. With fewer than k candidates all are returned. Repeated rows of one key count once, as the smallest vector. An empty table gives an empty result.
+    meet. With fewer than k candidates all are returned. Rows of one key are candidates of their own; as queries they share its k places,
+    and a row that is best for several of them is there as often. An empty table gives an empty result.
     """
     pick(rows, id=key, vector=vector)
     valid = rows.select(F.col(key).cast("long").alias("id"), F.col(vector).alias("vector"), F.coalesce(asks, F.lit(False)).alias("asks"))
     valid = valid.where(F.col("id").isNotNull() & finite(F.col("vector"))).withColumn("vector", scaled(F.col("vector"), scale))
-    valid = valid.groupBy("id").agg(F.min("vector").alias("vector"), F.max("asks").alias("asks"))
     valid = stored(valid.withColumn("dim", F.size("vector")), "whole-vectors")
     built = stored(in_cells(valid, ["dim"], PAGE).groupBy("cell").applyInArrow(_build(k), _BUILT), "pages")
     trees = built.where("kind = 0").drop("kind", "query", "q", "rank_score", "vec")
