@@ -6,6 +6,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import FloatType
 
 from .common import pick, stored
 from .components import components
@@ -13,11 +14,12 @@ from .vectors import finite, in_cells, matrix
 
 TILE = 1024
 SLACK = 1e-9  # far above rounding of doubles, far below what int8 loses
+BLOCK = 64  # tiles on one side of a block of pairs, about
 ROWS = 256  # of a tile whose products are held at once
 
-_TILE = "label int, tile string, n int, ids binary, copies binary, vectors binary, codes binary, scales binary, errors binary, centre array<double>, radius double"
+_TILE = "label string, tile string, n int, ids binary, copies binary, vectors binary, codes binary, scales binary, errors binary, centre array<double>, radius double"
 _TILE_SCHEMA = pa.schema(
-    [("label", pa.int32()), ("tile", pa.string()), ("n", pa.int32())]
+    [("label", pa.string()), ("tile", pa.string()), ("n", pa.int32())]
     + [(n, pa.binary()) for n in "ids copies vectors codes scales errors".split()]
     + [("centre", pa.list_(pa.float64())), ("radius", pa.float64())]
 )
@@ -34,9 +36,15 @@ def _angles(cosines: np.ndarray) -> np.ndarray:
     return np.arccos(np.clip(cosines, -1, 1))
 
 
+def _halved(vectors: np.ndarray) -> np.ndarray:
+    """Rows times a power of two each that brings their largest component near 1: no rounding, and squares neither overflow nor vanish."""
+    return np.ldexp(vectors, -np.frexp(np.abs(vectors).max(1, initial=0))[1][:, None])
+
+
 def _tile(rows: pa.Table) -> pa.Table:
-    vectors = matrix(rows.column("vector"), np.float32)
-    wide = vectors.astype(np.float64)
+    given = rows.column("vector").type.value_type
+    vectors = matrix(rows.column("vector"), np.float32 if pa.types.is_float32(given) else np.float64)
+    wide = _halved(vectors.astype(np.float64))
     unit = wide / np.sqrt((wide * wide).sum(1))[:, None]
     codes, scales, errors = quantise(unit)
     centre = unit.mean(0)
@@ -45,7 +53,7 @@ def _tile(rows: pa.Table) -> pa.Table:
     row = {
         "label": rows.column("label")[0].as_py(), "tile": rows.column("cell")[0].as_py(), "n": len(vectors),
         "ids": rows.column("id").to_numpy().astype("<i8").tobytes(), "copies": rows.column("copies").to_numpy().astype("<i8").tobytes(),
-        "vectors": vectors.astype("<f4").tobytes(), "codes": codes.tobytes(), "scales": scales.tobytes(), "errors": errors.tobytes(),
+        "vectors": vectors.astype(f"<f{vectors.itemsize}").tobytes(), "codes": codes.tobytes(), "scales": scales.tobytes(), "errors": errors.tobytes(),
         "centre": centre.tolist(), "radius": float(_angles(unit @ centre).max()) + SLACK,
     }
     return pa.Table.from_pylist([row], _TILE_SCHEMA)
@@ -56,11 +64,12 @@ class _Side:
         n = row["n"]
         self.ids = np.frombuffer(row["ids"], "<i8")
         self.copies = np.frombuffer(row["copies"], "<i8")
-        self.vectors = np.frombuffer(row["vectors"], "<f4").reshape(n, -1)
+        kind = "<f4" if len(row["vectors"]) == 4 * len(row["codes"]) else "<f8"
+        self.vectors = np.frombuffer(row["vectors"], kind).reshape(n, -1)
         self.codes = np.frombuffer(row["codes"], np.int8).reshape(n, -1).astype(np.float32)
         self.scales = np.frombuffer(row["scales"])
         self.errors = np.frombuffer(row["errors"])
-        wide = self.vectors.astype(np.float64)
+        wide = _halved(self.vectors.astype(np.float64))
         self.lengths = np.sqrt((wide * wide).sum(1))
 
 
@@ -83,7 +92,7 @@ def linked(a: _Side, b: _Side, threshold: float) -> tuple[np.ndarray, np.ndarray
         i += at
         for p in range(0, len(i), 1 << 16):
             x, y = i[p : p + (1 << 16)], j[p : p + (1 << 16)]
-            exact = np.einsum("ij,ij->i", a.vectors[x].astype(np.float64), b.vectors[y].astype(np.float64))
+            exact = np.einsum("ij,ij->i", _halved(a.vectors[x].astype(np.float64)), _halved(b.vectors[y].astype(np.float64)))
             fine = exact / (a.lengths[x] * b.lengths[y]) >= threshold
             left.append(x[fine])
             right.append(y[fine])
@@ -145,21 +154,24 @@ def near_vectors(
 
     Work in a label is at most quadratic in its different vectors, in blocks, and pairs of tiles spread over all tasks. A vector that is null, empty,
     zero or holds null or non-finite components, or whose label or key is null, links with nothing: no links, its own key as component, kept. Vectors of
-    different length don't link. Repeated rows with one key are vectors of their own. An empty table gives an empty result.
+    different length don't link. Labels are equal if their texts are; components keep the precision they are given in. Repeated rows with one key are vectors of their own. An empty table gives an empty result.
     """
-    base = pick(rows, id=key, vector=vector, label=label).select(
-        F.col("id").cast("long").alias("id"), F.col("vector").cast("array<float>").alias("vector"), F.col("label").cast("int").alias("label")
-    )
-    length = F.aggregate("vector", F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double"))
-    fits = F.col("id").isNotNull() & F.col("label").isNotNull() & finite(F.col("vector"))
-    base = base.withColumn("fits", fits).withColumn("fits", F.col("fits") & F.coalesce(length > 0, F.lit(False)))
+    base = pick(rows, id=key, vector=vector, label=label)
+    numbers = base.schema["vector"].dataType.elementType
+    kind = "array<float>" if isinstance(numbers, FloatType) else "array<double>"
+    base = base.select(F.col("id").cast("long").alias("id"), F.col("vector").cast(kind).alias("vector"), F.col("label").cast("string").alias("label"))
+    fits = F.col("id").isNotNull() & F.col("label").isNotNull() & finite(F.col("vector")) & F.exists("vector", lambda x: x != 0)
+    base = base.withColumn("fits", F.coalesce(fits, F.lit(False)))
     valid = base.where("fits").withColumn("dim", F.size("vector"))
     members = stored(valid.groupBy("label", "dim", "vector").agg(F.min("id").alias("id"), F.count("*").alias("copies")), "members")
     tiles = in_cells(members, ["label", "dim"], TILE)
     tiles = stored(tiles.groupBy("cell").applyInArrow(_tile, _TILE), "tiles")
-    heads = tiles.select("label", F.col("tile"), "centre", "radius")
-    other = heads.toDF("label", "tile2", "centre2", "radius2")
-    met = heads.join(other, "label").where((F.col("tile") <= F.col("tile2")) & (F.size("centre") == F.size("centre2")))
+    # Tiles of one label meet in a grid: one side is dealt to blocks, the other goes to each, so no task has all pairs of a label.
+    blocks = tiles.count() // BLOCK + 1
+    heads = tiles.select("label", "tile", "centre", "radius").withColumn("block", F.pmod(F.xxhash64("tile"), F.lit(blocks)))
+    other = heads.drop("block").toDF("label", "tile2", "centre2", "radius2")
+    other = other.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)).cast("array<long>")))
+    met = heads.join(other, ["label", "block"]).where((F.col("tile") <= F.col("tile2")) & (F.size("centre") == F.size("centre2")))
     inner = F.aggregate(F.zip_with("centre", "centre2", lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
     apart = F.acos(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), inner))) - F.col("radius") - F.col("radius2")
     met = met.where(apart <= float(np.arccos(threshold)) + 1e-6)

@@ -72,6 +72,35 @@ def test_top_scores(spark, rows, tmp_path, monkeypatch):
     assert sorted(map(tuple, got.collect())) == oracle(df.select("vec_id", "embedding", "label"), "op4_top_scores", tmp_path)
 
 
+def test_rows_of_one_key_are_candidates(spark, rows, tmp_path, monkeypatch):
+    monkeypatch.setattr(topk, "PAGE", 16)
+    more = [(1, [1.0, 0.0], 1), (1, [2.0, 0.0], 1), (777_100, [1.0, 0.0], 1), (777_300, [1.0, 1.0], 1), (777_300, [0.5, -1.0], 1)]
+    more += [(k - k % 20, v, c) for k, v, c in rows[::3] if v and len(v) == 6]
+    df = frame(spark, [*more, *more[5:9]])
+    got = sorted(map(tuple, top_scores(df, df["vec_id"] % 100 == 0).collect()))
+    assert (777_100, 1, 1, 1024 * 2048) in got and got == oracle(df.select("vec_id", "embedding", "label"), "op4_top_scores", tmp_path)
+
+
+def test_given_types_stay(spark, tmp_path):
+    r = np.random.default_rng(6)
+    base = r.normal(size=(40, 3))
+    base = np.concatenate([base, base + r.normal(size=base.shape) * 1e-9, base * 1e150, base * 1e-160])
+    edge = [[0.93, float(np.sqrt(1 - 0.93**2))], [1.0, 0.0], [1e39, 1.0], [2e39, 0.0], [0.92999999999, 0.36756]]
+    table = [(i, [float(x) for x in v], "ab c"[i % 3]) for i, v in enumerate(base[:80])] + [(1000 + i, v, "É") for i, v in enumerate(edge)]
+    df = spark.createDataFrame(table, "vec_id long, embedding array<double>, label string")
+    assert sorted(map(tuple, near_vectors(df).collect())) == oracle(df, "op8_near_vectors", tmp_path)
+    far = spark.createDataFrame([(i, [float(x) for x in v], "a") for i, v in enumerate(base)], df.schema)
+    roots = {x.vec_id: x.component_id for x in near_vectors(far).collect()}
+    assert all(roots[i] == roots[i + 80] == roots[i + 120] for i in range(40))
+
+
+def test_tiles_meet_in_blocks(spark, rows, tmp_path, monkeypatch):
+    monkeypatch.setattr(nearvectors, "TILE", 4)
+    monkeypatch.setattr(nearvectors, "BLOCK", 3)
+    df = frame(spark, rows)
+    assert sorted(map(tuple, near_vectors(df).collect())) == oracle(df.select("vec_id", "embedding", "label"), "op8_near_vectors", tmp_path)
+
+
 def test_few_candidates(spark):
     few = frame(spark, [(100, [1.0, 2.0], 1), (101, [2.0, 1.0], 1), (102, [2.0, 1.0], 1), (None, [9.0, 9.0], 1)])
     got = [tuple(r) for r in top_scores(few, few["vec_id"] % 100 == 0).collect()]
