@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import pick, stored
+from .common import free_memory, pick, stored
 from .components import components
 
 WORDS = 3  # of a k-mer
@@ -93,6 +93,7 @@ def _sketched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 [batch.column("id"), batch.column("digest"), sizes, pa.array(keys, pa.list_(pa.int64())), pa.array(bags, pa.binary())],
                 names=["id", "digest", "n", "keys", "bag"],
             )
+    free_memory()
 
 
 def bag(words: np.ndarray) -> np.ndarray:
@@ -216,6 +217,7 @@ def _aligned(threshold: float):
                 texts = zip(piece.column("left").to_pylist(), piece.column("right").to_pylist(), strict=True)
                 gaps = align([numbered(x, y) for x, y in texts], threshold)
                 yield pa.RecordBatch.from_arrays([piece.column("a"), piece.column("b"), pa.array(gaps)], schema=schema)
+        free_memory()
 
     return run
 
@@ -428,5 +430,6 @@ def _crossed(most: int | None, threshold: float):
             rest = rows.slice(whole).to_batches()
         if rest:
             yield from pairs_of(pa.Table.from_batches(rest))
+        free_memory()
 
     return run

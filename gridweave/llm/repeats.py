@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import inspect
 from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
@@ -11,13 +12,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, LongType, StructField, StructType
 
-from .common import named, pick
+from .common import free_memory, named, pick
 
 LENGTH = 50
 GRAM = 20
 BATCH_BYTES = 8 << 20  # of text that one group holds on average
 BUCKET_BYTES = 4 << 20  # of text whose anchors one bucket holds on average
-CHUNK = 1 << 21  # bytes worked on at once
+CHUNK = 1 << 20  # bytes worked on at once
 NO_KEY = np.iinfo(np.int64).max
 
 
@@ -29,7 +30,7 @@ def _mix(x: np.ndarray) -> np.ndarray:
 
 _BASE = 0x9E3779B97F4A7C15
 _BYTES = _mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0xBF58476D1CE4E5B9))
-_powers: dict[str, np.ndarray] = {}
+_powers: dict[str, np.ndarray] = {}  # of a chunk, for as long as a group is worked on
 
 
 def _power(n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -82,6 +83,21 @@ def anchors(text: np.ndarray, ends: np.ndarray, length: int = LENGTH, gram: int
     return at, grams[at], around & ~np.uint64(1), left, right
 
 
+def _freed(work: Callable) -> Callable:
+    """A group's function that leaves nothing of its memory to the worker's next stage."""
+
+    def run(*tables: pa.Table) -> pa.Table:
+        try:
+            return work(*tables)
+        finally:
+            _powers.clear()
+            free_memory()
+
+    if len(inspect.signature(work).parameters) == 2:
+        return lambda one, two: run(one, two)
+    return lambda one: run(one)
+
+
 class Batch:
     """The documents of one group, in an order that does not depend on how the group arrived."""
 
@@ -451,11 +467,11 @@ def remove_repeats(
     batches, buckets = int(total // BATCH_BYTES) + 1, int(total // BUCKET_BYTES) + 1
     spread = F.coalesce(F.xxhash64("id"), F.lit(0))
     filed = base.withColumn("batch", F.pmod(spread, F.lit(batches)).cast("int")).select("batch", *base.columns)
-    found = filed.groupBy("batch").applyInArrow(_find(buckets), _FOUND)
-    answers = found.groupBy("bucket").applyInArrow(_answer, _ANSWER)
-    around = filed.groupBy("batch").cogroup(answers.groupBy("batch")).applyInArrow(_surround(buckets), _AROUND)
-    marks = around.groupBy("bucket").applyInArrow(_compare, _ANSWER)
+    found = filed.groupBy("batch").applyInArrow(_freed(_find(buckets)), _FOUND)
+    answers = found.groupBy("bucket").applyInArrow(_freed(_answer), _ANSWER)
+    around = filed.groupBy("batch").cogroup(answers.groupBy("batch")).applyInArrow(_freed(_surround(buckets)), _AROUND)
+    marks = around.groupBy("bucket").applyInArrow(_freed(_compare), _ANSWER)
     told = answers.union(marks)
     result = StructType([StructField(n, t) for n, t in _RESULT] + [f for f in base.schema if f.name == "rest"])
-    out = filed.groupBy("batch").cogroup(told.groupBy("batch")).applyInArrow(_remove(form, bool(carry)), result)
+    out = filed.groupBy("batch").cogroup(told.groupBy("batch")).applyInArrow(_freed(_remove(form, bool(carry))), result)
     return out.withColumn("kept", F.decode("kept", "UTF-8") if form == "text" else F.col("kept")).withColumnRenamed("id", key)
