@@ -19,6 +19,7 @@ def components(edges: DataFrame) -> DataFrame:
     node to itself, repeated ones and ones with a null end are allowed; the latter are left out.
     """
     now = stored(_ordered(edges.select("a", "b")), "edges")
+    mark = _mark(now)
     while True:
         both = now.select(F.col("a").alias("u"), F.col("b").alias("v")).union(now.select("b", "a"))
         least = stored(both.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("m")), "least")
@@ -28,12 +29,24 @@ def components(edges: DataFrame) -> DataFrame:
         small = down.join(least, "u").select(F.col("v").alias("a"), F.col("m").alias("b"))
         small = small.union(least.select("u", "m"))
         new = stored(_ordered(small), "edges")
-        if _mark(new) == _mark(now):
+        before, mark = mark, _mark(new)
+        if mark == before:
             break
         now = new
     return new.select(F.col("b").alias("node"), F.col("a").alias("component")).union(new.select("a", "a")).distinct()
 
 
+def joined(found: DataFrame, links: DataFrame) -> DataFrame:
+    """``node, component`` once more links ``a, b`` are known: only components that they connect are looked at."""
+    known = found.select(F.col("node").alias("n"), F.col("component").alias("c"))
+    ends = links.select("a", "b").join(known.toDF("a", "ca"), "a", "left").join(known.toDF("b", "cb"), "b", "left")
+    ends = stored(ends.select("a", "b", F.coalesce("ca", "a").alias("ca"), F.coalesce("cb", "b").alias("cb")), "ends")
+    roots = components(ends.select(F.col("ca").alias("a"), F.col("cb").alias("b")))
+    nodes = known.union(ends.select("a", "ca")).union(ends.select("b", "cb")).distinct()
+    nodes = nodes.join(roots, F.col("c") == F.col("node"), "left")
+    return nodes.select(F.col("n").alias("node"), F.coalesce("component", "c").alias("component"))
+
+
 def _ordered(edges: DataFrame) -> DataFrame:
     """Distinct edges with the smaller end first, none from a node to itself."""
     ends = edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), F.isnull("a") | F.isnull("b"))

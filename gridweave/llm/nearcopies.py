@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import free_memory, pick, stored
-from .components import components
+from .components import components, joined
 
 WORDS = 3  # of a k-mer
 PICKED = 2  # k-mers of a sketch
@@ -19,6 +19,7 @@ SKETCHES = 48
 THRESHOLD = 0.8
 MOST_BROADCAST = 500_000  # digests of candidates that are broadcast, 72 bytes each
 FIRST = 4  # one bucket in so many is compared with its leader first
+TURNS = 2  # of leaders for components of a bucket, before all open pairs are looked at
 SMALL = 16  # likeliest pairs of two components in a bucket, aligned before all others
 TILE = 1024  # members of a crowded bucket that are set against as many others at once
 PAIRS = 1 << 20  # of members looked at together
@@ -253,8 +254,8 @@ def near_copies(rows: DataFrame, key: str = "doc_id", text: str = "text", thresh
     All candidates that no other links connect are settled, so classes are the components of all links between candidates, whatever
     the order of the search. Equal texts are one member from the start and never paired. One bucket in ``FIRST`` first draws a leader by a
     hash of bucket and member, and all in it are compared with the leader; so most of a class, however large, is one component after few
-    pairs. Then leaders are drawn in every bucket that holds several components, one member stands for each component there, and these are compared with the
-    leader, until that adds no link. What is left in a bucket is judged by a bound that needs no text: lengths, and words in common by
+    pairs. ``TURNS`` times, leaders are then drawn in every bucket that holds several components, one member stands for each component there, and these are
+    compared with the leader. What is left in a bucket is judged by a bound that needs no text: lengths, and words in common by
     ``BINS`` bins, allow for the threshold or not; of two components the ``SMALL`` likeliest pairs are aligned, then all left between different ones.
     Crowded buckets are dealt in tiles of about ``TILE``, so no task holds one whole; the pairs that the bound looks at grow with the square
     of what lies in a bucket and isn't connected. Aligning needs memory for one band row, however long the texts are.
@@ -276,20 +277,16 @@ def near_copies(rows: DataFrame, key: str = "doc_id", text: str = "text", thresh
     known = members.select("id", "digest")
     part = filed.where(F.pmod("bucket", F.lit(FIRST)) == 0)
     gaps = _verified(stored(_allowed(_with_leader(part, threshold), bags, threshold), "pairs"), known, texts, threshold)
-    found = _found(gaps, threshold)
-    turn = 0
-    while True:
-        pairs = _between_leaders(filed, found, turn, threshold)
-        pairs = stored(_allowed(pairs, bags, threshold).join(gaps.select("a", "b"), ["a", "b"], "left_anti"), "pairs")
+    found = stored(components(_linked(gaps, threshold)), "found")
+    for turn in range(TURNS + 2):
+        if turn < TURNS:
+            pairs = _allowed(_between_leaders(filed, found, turn, threshold), bags, threshold)
+        else:
+            pairs = _open_pairs(filed, found, bags, SMALL if turn == TURNS else None, threshold)
+        pairs = stored(pairs.join(gaps.select("a", "b"), ["a", "b"], "left_anti"), "pairs")
         more = _verified(pairs, known, texts, threshold)
-        gaps, turn = gaps.union(more), turn + 1
-        if not _linked(more, threshold).limit(1).count():
-            break
-        found = _found(gaps, threshold)
-    for most in (SMALL, None):
-        pairs = _open_pairs(filed, found, bags, most, threshold).join(gaps.select("a", "b"), ["a", "b"], "left_anti")
-        gaps = gaps.union(_verified(stored(pairs, "pairs"), known, texts, threshold))
-        found = _found(gaps, threshold)
+        found = stored(joined(found, _linked(more, threshold)), "found")
+        gaps = gaps.union(more)
     classes = members.join(found, F.col("id") == F.col("node"), "left")
     classes = stored(classes.select("digest", "least", "copies", F.coalesce("component", "id").alias("class")), "classes")
     sizes = classes.groupBy("class").agg(F.min("least").alias("class_id"), F.sum("copies").alias("class_size"))
@@ -333,10 +330,6 @@ def _linked(gaps: DataFrame, threshold: float) -> DataFrame:
     return gaps.where(F.col("gap") <= 1 - threshold + 1e-12).select("a", "b")
 
 
-def _found(gaps: DataFrame, threshold: float) -> DataFrame:
-    return stored(components(_linked(gaps, threshold)), "found")
-
-
 def _placed(filed: DataFrame, found: DataFrame) -> DataFrame:
     """Members of buckets with their component."""
     own = found.select(F.col("node").alias("id"), F.col("component").alias("own"))
