@@ -27,13 +27,13 @@ def pick(df: DataFrame, **columns: str) -> DataFrame:
     return df.select(*[named(c).alias(name) for name, c in columns.items()])
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
+def stored(df: DataFrame, name: str, **options: str) -> DataFrame:
     """The rows written to the folder all executors share, and read again.
 
     Cuts the lineage: a lost executor costs a read, and what reads the table twice sees the same rows.
     """
     path = fresh_path(df.sparkSession, name)
-    df.write.parquet(path)
+    df.write.options(**options).parquet(path)
     return df.sparkSession.read.parquet(path)
 
 
