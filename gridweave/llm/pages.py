@@ -10,6 +10,7 @@ from html import unescape
 import numpy as np
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -317,7 +318,17 @@ def _cleaned(texts: list[str], inside: list[bool], links: list[float], runs: np.
     return "\n".join(kept)
 
 
-_PARSED = "texts array<string>, inside array<boolean>, links array<double>, size long, digest binary"
+_PARSED = "texts binary, inside array<boolean>, links array<double>, size long, digest binary"
+
+
+def _packed(texts: list[str]) -> bytes:
+    """Blocks of a page, which hold no line end, as one compressed value: pages are stored and shuffled in this form."""
+    return zstandard.compress("\n".join(texts).encode("utf-8", "surrogatepass"))
+
+
+def _unpacked(value: bytes) -> list[str]:
+    text = zstandard.decompress(value).decode("utf-8", "surrogatepass")
+    return text.split("\n") if text else []
 
 
 def _parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -326,16 +337,16 @@ def _parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for at in range(0, len(batch), 64):
             part = batch.slice(at, 64)
             pages = [_chosen(h or "") for h in part.column("html").to_pylist()]
-            lists = [[[b[i] for b in p] for p in pages] for i in range(3)]
-            digests = [xxhash.xxh3_128_digest("\n".join(t)) for t in lists[0]]
-            sizes = [sum(map(len, t)) for t in lists[0]]
-            kinds = [pa.list_(pa.string()), pa.list_(pa.bool_()), pa.list_(pa.float64()), pa.int64(), pa.binary()]
-            columns = [pa.array(c, k) for c, k in zip([*lists, sizes, digests], kinds, strict=True)]
+            texts, inside, links = ([[b[i] for b in p] for p in pages] for i in range(3))
+            sizes = pa.array([sum(map(len, t)) for t in texts], pa.int64())
+            packed = pa.array([_packed(t) for t in texts], pa.binary())
+            digests = pa.array([xxhash.xxh3_128_digest("\n".join(t)) for t in texts], pa.binary())
+            columns = [packed, pa.array(inside, pa.list_(pa.bool_())), pa.array(links, pa.list_(pa.float64())), sizes, digests]
             yield pa.RecordBatch.from_arrays([*(part.column(n) for n in names[:3]), *columns], names=names)
 
 
 def _streams(column: pa.ChunkedArray | pa.Array) -> list[np.ndarray]:
-    return [token_hashes([w for t in texts or [] for w in t.split(" ")]) for texts in column.to_pylist()]
+    return [token_hashes([w for t in texts for w in t.split(" ")]) for texts in map(_unpacked, column.to_pylist())]
 
 
 def _frequent(rows: pa.Table) -> pa.Table:
@@ -380,7 +391,7 @@ def _write_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 known = np.array([r["run"] for r in runs or []], np.int64).view(np.uint64)
                 order = np.argsort(known)
                 shares = np.array([r["share"] for r in runs or []])[order] if len(known) else none
-                out.append(_cleaned(texts, inside, links, known[order], shares))
+                out.append(_cleaned(_unpacked(texts), inside, links, known[order], shares))
             columns = [part.column("id"), part.column("url"), pa.array(out, pa.string()), pa.array([len(t) for t in out], pa.int64())]
             yield pa.RecordBatch.from_arrays(columns, names=["id", "url", "text", "n_chars"])
 
@@ -405,7 +416,7 @@ def _boilerplate(parsed: DataFrame) -> DataFrame:
     Their exact numbers of pages are then counted over all pages of the host; a bitmap keeps other runs out of that shuffle. Pages with equal text
     count once, and meet in no group. A host has at most ``1 / LOOSE`` times as many of these runs as a mean page has tokens.
     """
-    paged = parsed.where((F.col("host") != "") & (F.size("texts") > 0))
+    paged = parsed.where((F.col("host") != "") & (F.col("size") > 0))
     kinds = stored(paged.groupBy("host", "digest").agg(F.count("*").alias("copies"), F.min("row").alias("first"), F.max("size").alias("size")), "page-kinds")
     parts = F.greatest(F.ceil(F.count("*") / GROUP), F.ceil(F.sum("size") / GROUP_BYTES)).alias("parts")
     hosts = stored(kinds.groupBy(F.col("host").alias("of")).agg(F.count("*").alias("pages"), parts).where(F.col("pages") >= LEAST_PAGES), "page-hosts")
@@ -436,7 +447,7 @@ def extract_pages(rows: DataFrame, key: str = "page_id", url: str = "url", html:
     host = F.lower(F.coalesce(F.regexp_extract("url", r"^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]+)", 1), F.lit("")))
     kind = base.schema["id"].dataType.simpleString()
     parsed = base.withColumn("host", host).mapInArrow(_parse, f"id {kind}, url string, host string, {_PARSED}")
-    parsed = stored(parsed.withColumn("row", F.monotonically_increasing_id()), "pages", compression="zstd")
+    parsed = stored(parsed.withColumn("row", F.monotonically_increasing_id()), "pages")
     boilerplate = _boilerplate(parsed)
     few = boilerplate.agg(F.sum(F.size("runs"))).first()[0] or 0
     joined = parsed.join(F.broadcast(boilerplate) if few <= MOST_BROADCAST else boilerplate, F.col("host") == F.col("of"), "left")
