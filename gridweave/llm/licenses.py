@@ -6,7 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import pick
@@ -16,6 +16,7 @@ CONTAINED = 0.8
 BANDS = 32
 BAND_ROWS = 2
 FILTER_BITS = 20
+MOST_TEMPLATES = 20_000  # they go to every task
 
 # Wordings of public licenses and of common notices that name one.
 TEMPLATES = {
@@ -72,52 +73,78 @@ def bands(grams: np.ndarray) -> np.ndarray:
 
 
 class Library:
-    """Templates with their shingles and bands.
+    """Templates with their shingles, and an index from bands to the templates that have them.
 
     A template of n shingles is looked for in windows of 1.5 n, half a template apart, so that one window holds all of an
     occurrence. That window and the template then have a Jaccard similarity of 2/3, or 8/17 if a fifth is changed (0.8 n of
-    1.5 n + n - 0.8 n), and share one of 32 bands of two rows with a probability above 0.99999999, or of 0.9997.
+    1.5 n + n - 0.8 n), and share one of 32 bands of two rows with a probability above 0.99999999, or of 0.9997. Templates
+    of one size share their windows, so the work on a text grows with the sizes there are, not with the templates.
     """
 
     def __init__(self, hashes: dict[str, list[int]]):
         self.names = sorted(hashes)
         self.grams = [np.unique(shingles(np.array(hashes[n], np.int64).view(np.uint64))) for n in self.names]
-        self.bands = [bands(g) for g in self.grams]
-        self.known = np.unique(np.concatenate(self.grams))
+        by_size: dict[int, list[int]] = {}
+        for template, own in enumerate(self.grams):
+            by_size.setdefault(len(own), []).append(template)
+        self.sizes = [(size, _distinct([self.grams[t] for t in of]), *self._filed(of)) for size, of in sorted(by_size.items())]
+        self.known = _distinct(self.grams)
         self.filter = np.zeros(1 << FILTER_BITS, bool)
         self.filter[(self.known >> np.uint64(64 - FILTER_BITS)).astype(np.int64)] = True
 
+    def _filed(self, templates: list[int]) -> tuple[np.ndarray, np.ndarray]:
+        keys = np.concatenate([band_keys(self.grams[t]) for t in templates])
+        order = np.argsort(keys, kind="stable")
+        return keys[order], np.repeat(templates, BANDS)[order]
+
     def hits(self, grams: np.ndarray) -> np.ndarray:
         """Where shingles are that some template has; a window without any shares no band with a template."""
         at = np.flatnonzero(self.filter[(grams >> np.uint64(64 - FILTER_BITS)).astype(np.int64)])
-        place = np.minimum(np.searchsorted(self.known, grams[at]), len(self.known) - 1)
-        return at[self.known[place] == grams[at]]
+        return at[_among(grams[at], self.known)]
 
     def scan(self, grams: np.ndarray, hits: np.ndarray) -> list[tuple[str, float, int, int]]:
         """``name, containment, first shingle, last shingle`` of templates in one text; touching finds of one are one."""
-        found = []
-        for name, own, bands_of in zip(self.names, self.grams, self.bands, strict=True):
-            mine = hits[np.isin(grams[hits], own)]
+        found: dict[int, list[list]] = {}
+        for size, known, keys, owners in self.sizes:
+            mine = hits[_among(grams[hits], known)]
             if not len(mine):
                 continue
-            width, step = max(1, -(-3 * len(own) // 2)), max(1, len(own) // 2)
+            width, step = max(1, -(-3 * size // 2)), max(1, size // 2)
             first = np.maximum(0, (mine - width) // step)
             starts = np.unique(np.concatenate([first + i for i in range(width // step + 2)])) * step
-            regions: list[list] = []
             for start in starts[starts < len(grams)].tolist():
-                inside = mine[(mine >= start) & (mine < start + width)]
-                if not len(inside) or not (bands(grams[start : start + width]) == bands_of).any():
-                    continue
-                share = len(np.unique(grams[inside])) / len(own)
-                if share < CONTAINED - 1e-12:
+                a, b = np.searchsorted(mine, [start, start + width])
+                if a == b:
                     continue
-                if regions and inside[0] <= regions[-1][2]:
-                    regions[-1][0] = max(regions[-1][0], share)
-                    regions[-1][2] = max(regions[-1][2], int(inside[-1]))
-                else:
-                    regions.append([share, int(inside[0]), int(inside[-1])])
-            found += [(name, *r) for r in regions]
-        return found
+                own = band_keys(grams[start : start + width])
+                low, high = np.searchsorted(keys, own), np.searchsorted(keys, own, side="right")
+                retrieved = {int(t) for i, j in zip(low, high, strict=True) if i < j for t in owners[i:j]}
+                for template in retrieved:
+                    inside = mine[a:b][_among(grams[mine[a:b]], self.grams[template])]
+                    share = len(np.unique(grams[inside])) / size
+                    if share < CONTAINED - 1e-12:
+                        continue
+                    regions = found.setdefault(template, [])
+                    if regions and inside[0] <= regions[-1][2]:
+                        regions[-1][0] = max(regions[-1][0], share)
+                        regions[-1][2] = max(regions[-1][2], int(inside[-1]))
+                    else:
+                        regions.append([share, int(inside[0]), int(inside[-1])])
+        return [(self.names[template], *region) for template in sorted(found) for region in found[template]]
+
+
+def band_keys(grams: np.ndarray) -> np.ndarray:
+    """Bands with their place among the bands, as one number each."""
+    return _mix(bands(grams) ^ _SEEDS[:BANDS])
+
+
+def _distinct(parts: list[np.ndarray]) -> np.ndarray:
+    return np.unique(np.concatenate(parts))
+
+
+def _among(values: np.ndarray, known: np.ndarray) -> np.ndarray:
+    """Which values are among sorted known ones."""
+    return known[np.minimum(np.searchsorted(known, values), len(known) - 1)] == values
 
 
 def _scan(library: Library):
@@ -150,22 +177,35 @@ def _scan(library: Library):
     return run
 
 
-def scan_licenses(rows: DataFrame, key: str = "doc_id", text: str = "text", templates: dict[str, str] | None = None) -> DataFrame:
+def scan_licenses(rows: DataFrame, key: str = "doc_id", text: str = "text", templates: dict[str, str] | DataFrame | None = None) -> DataFrame:
     """Where documents hold license wordings: ``key, license, containment, first_word, n_words``, a row per place.
 
     ``containment`` is the share of the template's five-word shingles found there, 0.8 at least. Words are letters and digits in
     lower case. Each document is scanned alone, whole, and nothing is shuffled, so a wording in very many documents does no
-    harm. Templates are a fixed list of few words. A template under five words is refused. Null or empty texts and
-    texts under five words hold none; null keys are passed on; a repeated row is reported again. Further columns are not looked at. An empty
-    table gives an empty result.
+    harm. ``templates`` are names and wordings, or a table ``name, text`` of up to ``MOST_TEMPLATES`` rows (more are refused);
+    a few public wordings if not given. Null or repeated names and templates under five words are refused; without any, nothing is found.
+    Null or empty texts and texts under five words hold none; null keys are passed on; a repeated row is reported again. Further
+    columns are not looked at. An empty table gives an empty result.
     """
-    spark, wanted = rows.sparkSession, templates or TEMPLATES
-    listed = F.array(*[F.struct(F.lit(n).alias("n"), F.lit(t).alias("t")) for n, t in sorted(wanted.items())])
-    named = spark.range(1).select(F.explode(listed).alias("x")).select("x.n", word_hashes(F.col("x.t")).alias("h"))
-    hashes = {r["n"]: r["h"] for r in named.collect()}
-    if short := [n for n, h in hashes.items() if len(h) < SHINGLE]:
-        raise ValueError(f"templates of fewer than {SHINGLE} words: {', '.join(short)}")
+    hashes = _hashes(rows.sparkSession, TEMPLATES if templates is None else templates)
     words = pick(rows, key=key, text=text).select("key", word_hashes(F.coalesce("text", F.lit(""))).alias("words"))
     kind = words.schema["key"].dataType.simpleString()
-    found = words.mapInArrow(_scan(Library(hashes)), f"key {kind}, license string, containment double, first_word long, n_words long")
+    words = words if hashes else words.where(F.lit(False))
+    found = words.mapInArrow(_scan(Library(hashes) if hashes else None), f"key {kind}, license string, containment double, first_word long, n_words long")
     return found.withColumnRenamed("key", key)
+
+
+def _hashes(spark: SparkSession, templates: dict[str, str] | DataFrame) -> dict[str, list[int]]:
+    """Hashes of the words of each template, by its name."""
+    if not isinstance(templates, DataFrame):
+        templates = spark.createDataFrame(sorted(templates.items()), "name string, text string")
+    listed = pick(templates, name="name", text="text").select("name", word_hashes(F.coalesce("text", F.lit(""))).alias("h"))
+    found = listed.limit(MOST_TEMPLATES + 1).collect()
+    if len(found) > MOST_TEMPLATES:
+        raise ValueError(f"more than {MOST_TEMPLATES} templates")
+    hashes = {r["name"]: r["h"] for r in found}
+    if None in hashes or len(hashes) < len(found):
+        raise ValueError("templates need names, each its own")
+    if short := [n for n, h in hashes.items() if len(h) < SHINGLE]:
+        raise ValueError(f"templates of fewer than {SHINGLE} words: {', '.join(sorted(short))}")
+    return hashes
