@@ -33,6 +33,18 @@ ORACLES["map_null_slot"] = """
 ORACLES["missing_columns"] = """
     SELECT CAST(c_custkey AS VARCHAR) AS c_custkey, c_name || '--' || c_nationkey AS "Combined_2", '' AS absent
     FROM customer"""
+ORACLES["map_strict"] = """
+    SELECT 'lenient' AS case, count(*) AS rows,
+           sum(length(c_custkey || c_name || ' ' || ' ' || c_nationkey || ' ')) AS letters, NULL AS refused FROM customer
+    UNION ALL SELECT 'all there', count(*), sum(length(c_custkey || c_name || ' ' || c_nationkey)), NULL FROM customer
+    UNION ALL SELECT 'strict', 0, 0, 'missing columns: [''absent'', ''gone'']'
+    UNION ALL SELECT 'per slot', 0, 0, 'mapping slots miss columns: [(1, [''absent'']), (2, [''absent'', ''gone''])]'
+    UNION ALL SELECT 'no slot', 0, 0, 'the mapping has no slots'"""
+ORACLES["map_used_sources"] = "SELECT o_orderpriority, o_custkey, o_orderkey FROM orders"
+ORACLES["validate_names"] = """
+    SELECT 'fine' AS case, count(*) AS rows, sum(length(o_orderkey || '' || o_custkey)) AS letters, NULL AS refused FROM orders
+    UNION ALL SELECT 'repeated', 0, 0, 'repeated column names: [''o_orderkey'']'
+    UNION ALL SELECT 'empty', 0, 0, 'a column has an empty name'"""
 ORACLES["render_text"] = """
     SELECT CAST(l_orderkey AS VARCHAR) AS l_orderkey, CAST(l_quantity AS VARCHAR) AS l_quantity,
            CAST(l_extendedprice AS VARCHAR) AS l_extendedprice, CAST(l_discount AS VARCHAR) AS l_discount,
@@ -198,6 +210,8 @@ ORACLES["reshape_job"] = """
     FROM (SELECT *, row_number() OVER (
               PARTITION BY o_custkey ORDER BY strftime(o_orderdate, '%Y-%m'), o_orderkey) AS n FROM orders)
     WHERE n = 1"""
+ORACLES["reshape_default_output"] = """
+    SELECT CAST(o_orderkey AS VARCHAR) AS "order", o_orderpriority AS priority, true AS beside FROM orders"""
 
 # Checks. Cells: one row per value with its text and what it counts as.
 
@@ -409,10 +423,10 @@ _TYPES: list[tuple[str, tuple[str | None, str, list], list[str]]] = [
 ]
 
 
-def _classified(source: str, columns: dict[str, str]) -> str:
+def _classified(source: str, columns: dict[str, str], types: list = _TYPES) -> str:
     """CTEs that end in ``candidates(column_name, type, place, depth, score)``."""
     rows, boosts = [], []
-    for place, (name, (parent, gate, checks), keywords) in enumerate(_TYPES):
+    for place, (name, (parent, gate, checks), keywords) in enumerate(types):
         done = " + ".join(f"CASE WHEN {applies} THEN 1 ELSE 0 END" for _, applies in checks)
         total = " + ".join(f"CASE WHEN {applies} THEN {score} ELSE 0 END" for score, applies in checks)
         parent_name = f"'{parent}'" if parent else "CAST(NULL AS VARCHAR)"
@@ -439,9 +453,9 @@ def _classified(source: str, columns: dict[str, str]) -> str:
                    FROM own o LEFT JOIN own p ON p.column_name = o.column_name AND p.type = o.parent)"""
 
 
-def _best(source: str, columns: dict[str, str], final: str) -> str:
+def _best(source: str, columns: dict[str, str], final: str, types: list = _TYPES) -> str:
     # Scores are compared to 12 places: sums in another order may differ past those.
-    return f"""{_classified(source, columns)},
+    return f"""{_classified(source, columns, types)},
     ranked AS (SELECT *, row_number() OVER (
                    PARTITION BY column_name ORDER BY round(score, 12) DESC, depth DESC, place) AS n FROM candidates)
     SELECT {final} FROM ranked WHERE n = 1"""
@@ -486,6 +500,16 @@ ORACLES["column_types_sampled"] = _best(
     _CUSTOMER,
     "column_name, type, round(score, 6) AS score",
 )
+ORACLES["column_types_own"] = _best(
+    "(SELECT lpad(CAST(c_custkey % 100000 AS VARCHAR), 5, '0') AS zip, upper(c_mktsegment) AS segment, c_acctbal FROM customer)",
+    {"zip": "text", "segment": "text", "c_acctbal": "number"},
+    "column_name, type, round(score, 6) AS score",
+    [
+        *_TYPES,
+        ("zipcode", _codes(_pattern(r"^\d{5}(-\d{4})?$", 1.0), _pattern(r"^\d{5}$", 1.2)), []),
+        ("marketsegment", _words(_pattern("^[A-Z]+$", 2.0)), ["segment"]),
+    ],
+)
 ORACLES["column_examples"] = " UNION ALL ".join(
     f"SELECT '{c}' AS column_name, string_agg(CAST({c} AS VARCHAR), ' | ' ORDER BY c_custkey) AS examples "
     "FROM (SELECT * FROM customer ORDER BY c_custkey LIMIT 3)"

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable
 
 from py4j.protocol import Py4JJavaError
@@ -17,6 +18,7 @@ from gridweave.functions import (
     normalize_text,
     normalize_text_list,
 )
+from gridweave.operators.detectors import TEXT_TYPE
 from gridweave.plans import ReshapeJob
 from gridweave.session import fresh_path
 
@@ -104,6 +106,61 @@ def missing_columns(spark, sf_dir):
     )
 
 
+@query
+def map_strict(spark, sf_dir):
+    """How a mapping that names absent columns fares under each flag: the rows and letters mapped, or why it is refused."""
+    customer = table(spark, sf_dir, "customer")
+    gaps = [["c_custkey"], ["c_name", "absent"], ["gone", "c_nationkey", "absent"]]
+    cases = [
+        ("lenient", gaps, {}),
+        ("strict", gaps, {"strict": True}),
+        ("per slot", gaps, {"strict_per_slot": True}),
+        ("all there", [["c_custkey"], ["c_name", "c_nationkey"]], {"strict": True, "strict_per_slot": True}),
+        ("no slot", [], {}),
+    ]
+    return _tried(customer, [(name, lambda m=m, f=f: op.apply_mapping(customer, m, **f)) for name, m, f in cases])
+
+
+def _tried(df: DataFrame, cases) -> DataFrame:
+    """``case, rows, letters, refused`` per case, a name and a function that gives a table of texts or refuses."""
+    out = []
+    for name, run in cases:
+        refused = None
+        try:
+            made = run()
+        except ValueError as error:
+            made, refused = df.where(F.lit(False)), str(error)
+        letters = F.coalesce(F.sum(F.length(F.concat(*[F.col(c).cast("string") for c in made.columns]))), F.lit(0))
+        counted = made.agg(F.count(F.lit(1)).alias("rows"), letters.alias("letters"))
+        out.append(counted.select(F.lit(name).alias("case"), "rows", "letters", F.lit(refused).cast("string").alias("refused")))
+    return functools.reduce(DataFrame.union, out)
+
+
+@query
+def map_used_sources(spark, sf_dir):
+    """The columns that a mapping needs, each once, in order of first use."""
+    mapping = [["o_orderpriority", "o_custkey"], {"sources": ["o_custkey", "o_orderkey"], "separator": "/"}, ["o_orderpriority"]]
+    return table(spark, sf_dir, "orders").select(*op.used_sources(mapping))
+
+
+@query
+def validate_names(spark, sf_dir):
+    """Tables whose names are fine, repeated after a join, or empty: rows of the first, and why the others are refused."""
+    orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
+    names = table(spark, sf_dir, "customer").select("c_custkey", F.col("c_name").alias("o_orderkey"))
+    tables = [
+        ("fine", orders),
+        ("repeated", orders.join(names, F.col("o_custkey") == F.col("c_custkey"))),
+        ("empty", orders.toDF("o_orderkey", "")),
+    ]
+
+    def valid(df):
+        op.validate_columns(df.columns)
+        return df
+
+    return _tried(orders, [(name, lambda df=df: valid(df)) for name, df in tables])
+
+
 @query
 def render_text(spark, sf_dir):
     items = table(spark, sf_dir, "lineitem")
@@ -609,6 +666,16 @@ def reshape_job(spark, sf_dir):
     return sources.open_table(spark, target, sep=";")
 
 
+@query
+def reshape_default_output(spark, sf_dir):
+    """A run that names no output writes beside its input."""
+    source = _export_lines(spark, sf_dir, ["customer;order;priority"], F.concat_ws(";", "o_custkey", "o_orderkey", "o_orderpriority"))
+    job = ReshapeJob.of({"source": source, "mapping": "order, priority"}, options={"sep": ";"})
+    target, _ = job.run(spark)
+    beside = F.lit(target == sources.processed_path(source)).alias("beside")
+    return sources.open_table(spark, target, sep=";").select("order", "priority", beside)
+
+
 # Checks
 
 
@@ -701,7 +768,7 @@ def check_custom(spark, sf_dir):
 
 @query
 def check_list_function(spark, sf_dir):
-    """A check of one's own over a list of values, judged by the first 100 rows."""
+    """A check of one's own over the list of all values of a column."""
     customer = table(spark, sf_dir, "customer")
 
     def repeats(values):
@@ -762,6 +829,20 @@ def column_types_sampled(spark, sf_dir):
     return best.withColumn("score", F.round("score", 6))
 
 
+@query
+def column_types_own(spark, sf_dir):
+    """Types that the default set lacks: zip codes, and a type of one's own with its keyword."""
+    customer = table(spark, sf_dir, "customer")
+    shown = customer.select(
+        F.lpad((F.col("c_custkey") % 100000).cast("string"), 5, "0").alias("zip"),
+        F.upper("c_mktsegment").alias("segment"),
+        "c_acctbal",
+    )
+    own = TEXT_TYPE.child("marketsegment", [op.pattern_check(r"^[A-Z]+$", weight=2.0, name="marketsegment_pattern")], ["segment"])
+    best = op.best_types(op.classify(shown, detectors=(*op.DETECTORS, op.ZIP_CODE, own)))
+    return best.withColumn("score", F.round("score", 6))
+
+
 @query
 def column_examples(spark, sf_dir):
     found = op.column_examples(table(spark, sf_dir, "customer"), "c_custkey")
