@@ -785,9 +785,10 @@ def check_folded_function(spark, sf_dir):
     orders = table(spark, sf_dir, "orders").select("o_orderpriority", "o_orderkey")
 
     def fold(state, values):
-        lengths = [len(v) for v in values]
-        least = min(lengths)
-        return merge(state, b"%d %d %d" % (least, lengths.count(least), len(lengths))) if state else b"%d %d %d" % (least, lengths.count(least), len(lengths))
+        lengths = [len(v) for v in values if v is not None]
+        least = min(lengths, default=1 << 62)
+        new = b"%d %d %d" % (least, lengths.count(least), len(values))
+        return merge(state, new) if state else new
 
     def merge(a, b):
         (x, n, t), (y, m, u) = (map(int, s.split()) for s in (a, b))

@@ -19,6 +19,7 @@ from gridweave.operators import (
     predicate_check,
     root_types,
     run_checks,
+    run_folded_check,
     string_check,
     uniqueness_check,
     variance_check,
@@ -193,3 +194,26 @@ def test_examples(spark, rows):
 def test_long_texts_do_not_exhaust_the_matcher(column):
     found = scores(column(["word " * 40_000, "x1 " * 40_000]))
     assert "text" in found
+
+
+def test_folded_check_with_tasks_without_rows(spark):
+    def count(state, values):
+        return merge(state or b"0 0", b"%d %d" % (sum(v is not None for v in values), len(values)))
+
+    def merge(a, b):
+        return b"%d %d" % tuple(x + y for x, y in zip(map(int, a.split()), map(int, b.split()), strict=True))
+
+    def share(state):
+        filled, total = map(int, state.split())
+        return filled / total
+
+    rows = spark.createDataFrame([("a",), (None,), ("b",), ("c",)], "v string").repartition(7)
+    assert run_folded_check(rows, ["v"], "filled", count, merge, share, weight=1.0).collect() == [("v", "filled", 0.75)]
+
+
+def test_folded_query_on_splits_and_nulls(spark, tmp_path):
+    from catalogue.queries import QUERIES
+
+    spark.createDataFrame([(1, "a"), (22, None), (3, "bb")], "o_orderkey long, o_orderpriority string").repartition(5).write.parquet(f"{tmp_path}/orders.parquet")
+    found = QUERIES["check_folded_function"](spark, str(tmp_path)).collect()
+    assert sorted((r["column_name"], r["score"]) for r in found) == [("o_orderkey", 0.666667), ("o_orderpriority", 0.333333)]
