@@ -10,10 +10,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import pick, stored
+from .common import free_memory, pick, stored
 
-SLICE = 1 << 21  # bytes of text hashed at once
-PENDING = 1 << 21  # fingerprints that a task gathers before it merges equal ones
+SLICE = 1 << 20  # bytes of text hashed at once
+PENDING = 1 << 20  # fingerprints that a task gathers before it merges equal ones
 ROWS = 1 << 16  # of an Arrow batch that leaves a task
 BITS = 28  # of the largest bitmap: 32 MB, however many phrases are frequent
 SPARE = 256  # bits for each frequent fingerprint below that
@@ -211,6 +211,8 @@ def _counted(n: int, shorter, mask: int):
                             parts, held = [], 0
             for columns in gathered():
                 yield from out(columns)
+        del powers, parts
+        free_memory()
 
     return run
 
@@ -259,6 +261,8 @@ def _written_out(known, longest: int, mask: int):
                         out = rows_of(words, batch, row, begin)
                         for at in range(0, out.num_rows, ROWS):
                             yield out.slice(at, ROWS)
+        del powers
+        free_memory()
 
     return run
 

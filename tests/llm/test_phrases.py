@@ -116,3 +116,16 @@ def test_long_pieces_are_cut_nowhere(monkeypatch):
     words = [w.phrase(i, 1).decode() for w, _, _ in parts for i in range(len(w.start))]
     assert words == [w for t in texts for w in re.findall(r"[^ .]+", t)]
     assert sum(int(w.whole(2).sum()) for w, _, _ in parts) == 99 + 0 + 50 + 0 + 1
+
+
+def test_memory_of_a_counting_task():
+    import tracemalloc
+
+    rng = np.random.default_rng(5)
+    text = "\n".join(" ".join(f"w{i}" for i in rng.integers(0, 1 << 30, 1000)) for _ in range(2500)).encode()
+    batch = pa.RecordBatch.from_pydict({"text": pa.array([text], pa.binary()), "salt": pa.array([1]), "split": pa.array([7])})
+    tracemalloc.start()
+    rows = sum(b.num_rows for b in phrases._counted(2, None, (1 << 64) - 1)(iter([batch])))
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert 2_497_000 < rows <= 2500 * 999 and most < 260e6, most
