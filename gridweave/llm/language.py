@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
-from .common import named, pick
+from .common import free_memory, named, pick
 
 UNKNOWN = "und"
 BITS = 13  # of the feature hash
@@ -65,11 +65,20 @@ def _scaled(counts: np.ndarray) -> np.ndarray:
     return np.sqrt(counts / max(1, counts.sum()))
 
 
-def _fit(x: np.ndarray, y: np.ndarray, penalty: float = 1e-4, rounds: int = 150) -> np.ndarray:
-    """Linear support vector machine with squared hinge loss; the last weight is the bias."""
-    x = np.hstack([x, np.ones((len(x), 1), np.float32)]) * 4
+def _fit(all_x: np.ndarray, rows: np.ndarray, y: np.ndarray, penalty: float = 1e-4, rounds: int = 150) -> np.ndarray:
+    """Linear support vector machine over the numbered rows, with squared hinge loss; the last weight is the bias.
+
+    The rows are copied once, and what is made of them on the way is made of ``SLICE`` at a time.
+    """
+    x = np.empty((len(rows), all_x.shape[1] + 1), np.float32)
+    norms = np.empty(len(rows), np.float32)
+    for at in range(0, len(rows), SLICE):
+        piece = x[at : at + SLICE]
+        piece[:, :-1], piece[:, -1] = all_x[rows[at : at + SLICE]], 1
+        piece *= 4
+        norms[at : at + SLICE] = (piece * piece).sum(1)
     share = np.where(y > 0, 0.5 / max(1, (y > 0).sum()), 0.5 / max(1, (y < 0).sum())).astype(np.float32)
-    step = 1 / (2 * float((share * (x * x).sum(1)).sum()) + penalty)
+    step = 1 / (2 * float((share * norms).sum()) + penalty)
     w = z = np.zeros(x.shape[1], np.float32)
     for t in range(rounds):
         slack = np.maximum(0, 1 - y * (x @ z))
@@ -98,8 +107,8 @@ class Model:
         jobs += [(pair, labels) for members in families.values() for pair in combinations(members, 2)]
         columns = []
         for (a, b), kind in jobs:
-            rows = (kind == a) | (kind == b)
-            columns.append(_fit(x[rows], np.where(kind[rows] == a, 1, -1).astype(np.float32)))
+            rows = np.flatnonzero((kind == a) | (kind == b))
+            columns.append(_fit(x, rows, np.where(kind[rows] == a, 1, -1).astype(np.float32)))
         weights = np.stack(columns, 1) if columns else np.zeros((x.shape[1] + 1, 0), np.float32)
         return cls(families, [pair for pair, _ in jobs], weights)
 
@@ -167,7 +176,12 @@ def fit(
             values = n.values.to_numpy()
             x[at, slots.values.to_numpy()] = np.sqrt(values / values.sum())
             at += 1
-    return Model.fit(found.column("label").to_pylist(), x)
+    labels = found.column("label").to_pylist()
+    del found, batch, slots, n, values
+    model = Model.fit(labels, x)
+    del x
+    free_memory()  # the driver goes on with other work
+    return model
 
 
 def identify(

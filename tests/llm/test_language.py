@@ -43,3 +43,17 @@ def test_odd_rows(docs):
     unlabelled = language.identify(docs([(0, "words here", None, "s")])).collect()
     assert [(r.lang_pred, r.score) for r in unlabelled] == [("und", 0.0)]
     assert language.identify(docs([])).count() == 0
+
+
+def test_fitting_copies_rows_once():
+    import tracemalloc
+
+    rng = np.random.default_rng(3)
+    x = rng.random((1200, 1 << language.BITS), np.float32)
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    labels = ["en", "de"] * 300 + ["fr", "es"] * 300
+    tracemalloc.start()
+    language.Model.fit(labels, x)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert most < 1.6 * x.nbytes
