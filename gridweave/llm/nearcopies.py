@@ -18,7 +18,7 @@ PICKED = 2  # k-mers of a sketch
 SKETCHES = 48
 THRESHOLD = 0.8
 MOST_BROADCAST = 500_000  # digests of candidates that are broadcast, 72 bytes each
-FIRST = 4  # one bucket in so many is compared with its leader first
+FIRST = 16  # one bucket in so many is compared with its leader first
 TURNS = 2  # of leaders for components of a bucket, before all open pairs are looked at
 SMALL = 16  # likeliest pairs of two components in a bucket, aligned before all others
 TILE = 1024  # members of a crowded bucket that are set against as many others at once

@@ -177,3 +177,19 @@ def test_unlike_texts_of_one_key_are_documents_of_their_own(docs):
     kept = sorted((r.doc_id, r.digest) for r in got if r.kept)
     assert len(kept) == 3 and len(set(kept)) == 2 and {k for k, _ in kept} == {7}
     assert {r.class_id for r in got} == {7} and sorted(r.class_size for r in got) == [2, 2, 3, 3, 3]
+
+
+def test_pairs_of_one_large_class(docs, monkeypatch):
+    """Few pairs are looked at for each text of a large class, since most of it is connected after a few buckets."""
+    r = random.Random(8)
+    words = [f"w{r.randrange(5000)}" for _ in range(80)]
+    texts = [" ".join(f"x{i}-{k}" if r.random() < 0.04 else w for k, w in enumerate(words)) for i in range(400)]
+    seen, allowed = [], nearcopies._allowed
+
+    def counting(pairs, *rest):
+        seen.append(pairs.count())
+        return allowed(pairs, *rest)
+
+    monkeypatch.setattr(nearcopies, "_allowed", counting)
+    assert {c.class_size for c in near_copies(docs(texts)).collect()} == {400}
+    assert sum(seen) < 4 * len(texts), seen
