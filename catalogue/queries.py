@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from py4j.protocol import Py4JJavaError
 from pyspark.errors import PySparkException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from gridweave import operators as op
@@ -571,18 +571,35 @@ def _quoted_field(text):
     return F.concat(F.lit('"'), F.replace(text, F.lit('"'), F.lit('""')), F.lit('"'))
 
 
+FILE_BYTES = 32 << 20  # of text in a file of records, about
+
+
 @query
 def scan_csv_records_skip(spark, sf_dir):
-    """Documents with their line breaks, a file for each language; a title and the first two documents, all over several
-    lines, are skipped by number, and the header spans two lines."""
+    """Documents with their line breaks, in files of one language each; a title and the language's first two documents, all over several
+    lines, open each file and are skipped by number, and the header spans two lines."""
     documents = table(spark, sf_dir, "documents").where("doc_id IS NOT NULL AND lang IS NOT NULL")
     marked = F.concat(F.lit('a "b", \r\n'), F.coalesce("text", F.lit("")))
     body = documents.select("lang", F.col("doc_id").alias("at"), F.concat(F.col("doc_id"), F.lit(","), _quoted_field(marked)).alias("value"))
+    # A language's rows up to its second key stay in its first file, the rest is dealt to as many files as its size asks for.
+    first = documents.select("lang", "doc_id").withColumn("n", F.row_number().over(Window.partitionBy("lang").orderBy("doc_id"))).where("n <= 2")
+    sizes = documents.groupBy("lang").agg(F.sum(F.coalesce(F.octet_length("text"), F.lit(0)) + 32).alias("size"))
+    files = sizes.join(first.groupBy("lang").agg(F.max("doc_id").alias("second")), "lang")
+    files.select("lang", "second", F.ceil(F.col("size") / FILE_BYTES).cast("int").alias("files")).write.parquet(kept := fresh_path(spark, "files"))
+    files = spark.read.parquet(kept)  # a row for each language
+    total = files.agg(F.sum("files")).first()[0] or 1
+    body = body.join(F.broadcast(files), "lang")
+    file = F.when(F.col("at") > F.col("second"), F.pmod(F.xxhash64("at"), F.col("files"))).otherwise(0).cast("int")
+    every = lambda begin: F.explode(F.sequence(F.lit(begin), F.col("files") - 1)).alias("file")
+    opening = body.where("at <= second AND files > 1").withColumn("n", F.row_number().over(Window.partitionBy("lang").orderBy("at", "value")))
+    opening = opening.where("n <= 2").select("lang", F.col("at"), "value", every(1))
     titles = F.posexplode(F.array(F.lit('"Documents, a\nlist"'), F.lit('"doc\nid",text'))).alias("at", "value")
-    first = documents.select("lang").distinct().select("lang", titles)
-    first = first.withColumn("at", (F.col("at") - (1 << 40)).cast("bigint"))
+    heads = files.select("lang", every(0)).select("lang", "file", titles)
+    heads = heads.withColumn("at", (F.col("at") - (1 << 40)).cast("bigint"))
     path = fresh_path(spark, "records") + ".csv"
-    body.unionByName(first).repartition("lang").sortWithinPartitions("lang", "at").drop("at").write.partitionBy("lang").text(path)
+    lines = body.select("lang", file.alias("file"), "at", "value").unionByName(opening).unionByName(heads)
+    lines = lines.repartition(4 * total, "lang", "file").sortWithinPartitions("lang", "file", "at").drop("at")
+    lines.write.partitionBy("lang", "file").text(path)
     return sources.read_csv(spark, path, multi_line=True, skip="0, 2-3", na_tokens=[]).toDF("doc_id", "text")
 
 

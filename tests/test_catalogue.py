@@ -27,3 +27,21 @@ def test_every_query_has_sql():
 def test_entry(spark):
     df = entry(spark)
     assert df.columns == ["user_id", "event_type"] and df.count() > 0
+
+
+def _documents(spark, tmp_path):
+    rows = [(i, f'text {i}\n"quoted", and more ' + "x" * 300, "en" if i % 4 else "de") for i in range(400)] + [(1, "of the first key again", "en")]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(4).write.parquet(f"{tmp_path}/documents.parquet")
+    return rows
+
+
+def test_records_of_a_language_lie_in_several_files(spark, tmp_path, monkeypatch):
+    from catalogue import queries
+
+    rows = _documents(spark, tmp_path)
+    monkeypatch.setattr(queries, "FILE_BYTES", 8 << 10)
+    found = queries.scan_csv_records_skip(spark, str(tmp_path))
+    own = sorted((str(i), 'a "b", \r\n' + t) for i, t, lang in sorted(rows, key=lambda r: r[0]) if (i > 1 if lang == "en" else i > 4))
+    assert sorted(map(tuple, found.collect())) == own
+    files = found.inputFiles()
+    assert sum("lang=en" in f for f in files) > 8 and sum("lang=de" in f for f in files) > 3
