@@ -287,15 +287,21 @@ def stream_dedupe(spark, sf_dir):
     return streaming.read_first_rows(spark, target)
 
 
+LOT_FILES = 8
+
+
 @query
 def stream_dedupe_replay(spark, sf_dir):
-    """The checkpoint is lost after two lots, and all arrives again: no key comes twice."""
+    """The checkpoint is lost after two lots, and all arrives again, a file in each batch: no key comes twice.
+
+    A lot comes as ``LOT_FILES`` files however many splits its table has, so batches grow with the input, not their number.
+    """
     orders = table(spark, sf_dir, "orders")
     landing, target = fresh_path(spark, "arrivals"), fresh_path(spark, "first-orders")
     early = F.col("o_orderdate") < "1996-01-01"
     lost = fresh_path(spark, "stream-state")
     for lot, state in ((orders.where(early), lost), (orders.where(~early), lost), (orders.limit(0), fresh_path(spark, "stream-state"))):
-        lot.write.mode("append").parquet(landing)
+        lot.repartition(LOT_FILES).write.mode("append").parquet(landing)
         stream = spark.readStream.schema(orders.schema).option("maxFilesPerTrigger", 1 if state != lost else 1000).parquet(landing)
         order = ["o_orderdate", "o_orderkey"]
         streaming.write_first_rows(stream, "o_custkey", ["o_orderkey", "o_orderstatus"], order, target, state).awaitTermination()

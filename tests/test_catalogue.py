@@ -45,3 +45,24 @@ def test_records_of_a_language_lie_in_several_files(spark, tmp_path, monkeypatch
     assert sorted(map(tuple, found.collect())) == own
     files = found.inputFiles()
     assert sum("lang=en" in f for f in files) > 8 and sum("lang=de" in f for f in files) > 3
+
+
+def test_batches_of_a_replay_do_not_grow_with_splits(spark, tmp_path, monkeypatch):
+    from gridweave import streaming
+
+    orders = spark.sql("SELECT id AS o_orderkey, id % 50 AS o_custkey, 'O' AS o_orderstatus, CAST(date_add(date'1995-06-01', CAST(id AS int)) AS timestamp) AS o_orderdate FROM range(400)")
+    orders.repartition(25).write.option("maxRecordsPerFile", 8).parquet(f"{tmp_path}/orders.parquet")
+    runs, write = [], streaming.write_first_rows
+
+    def counted(*args, **rest):
+        runs.append(write(*args, **rest))
+        return runs[-1]
+
+    monkeypatch.setattr(streaming, "write_first_rows", counted)
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "4k")
+    try:
+        found = QUERIES["stream_dedupe_replay"](spark, str(tmp_path)).collect()
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert sorted(r["o_orderkey"] for r in found) == list(range(50))
+    assert runs[-1].lastProgress["batchId"] <= 17
