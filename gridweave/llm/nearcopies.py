@@ -205,18 +205,17 @@ def _shared(a: np.ndarray, b: np.ndarray) -> int:
 def _aligned(threshold: float):
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("gap", pa.float64())])
 
-    def numbered(first: str, second: str) -> tuple[np.ndarray, np.ndarray]:
+    def numbered(texts: set[str | None]) -> dict[str | None, np.ndarray]:
         number: dict[str, int] = {}
-        return tuple(
-            np.array([number.setdefault(w, len(number)) for w in _WORD.findall((t or "").lower())], np.int32) for t in (first, second)
-        )
+        return {t: np.array([number.setdefault(w, len(number)) for w in _WORD.findall((t or "").lower())], np.int32) for t in texts}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 512):
                 piece = batch.slice(at, 512)
-                texts = zip(piece.column("left").to_pylist(), piece.column("right").to_pylist(), strict=True)
-                gaps = align([numbered(x, y) for x, y in texts], threshold)
+                left, right = piece.column("left").to_pylist(), piece.column("right").to_pylist()
+                words = numbered({*left, *right})
+                gaps = align([(words[x], words[y]) for x, y in zip(left, right, strict=True)], threshold)
                 yield pa.RecordBatch.from_arrays([piece.column("a"), piece.column("b"), pa.array(gaps)], schema=schema)
         free_memory()
 
@@ -272,6 +271,7 @@ def near_copies(rows: DataFrame, key: str = "doc_id", text: str = "text", thresh
     parts = seen.groupBy("digest").agg(F.min("n").alias("n"), F.min_by("keys", "id").alias("keys"), F.min("bag").alias("bag"))
     members = stored(copies.join(parts, "digest").select(F.monotonically_increasing_id().alias("id"), "*"), "members")
     bags = members.select("id", "n", "bag")
+    keyed = members.select("id", "n", "bag", "keys")
     buckets = members.select("id", "n", F.explode("keys").alias("bucket"))
     filed = stored(_led(buckets, ["bucket"]), "buckets")
     known = members.select("id", "digest")
@@ -282,7 +282,7 @@ def near_copies(rows: DataFrame, key: str = "doc_id", text: str = "text", thresh
         if turn < TURNS:
             pairs = _allowed(_between_leaders(filed, found, turn, threshold), bags, threshold)
         else:
-            pairs = _open_pairs(filed, found, bags, SMALL if turn == TURNS else None, threshold)
+            pairs = _open_pairs(filed, found, keyed, SMALL if turn == TURNS else None, threshold)
         pairs = stored(pairs.join(gaps.select("a", "b"), ["a", "b"], "left_anti"), "pairs")
         more = _verified(pairs, known, texts, threshold)
         found = stored(joined(found, _linked(more, threshold)), "found")
@@ -363,15 +363,37 @@ def _bags(column: pa.Array) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(-1, BINS)
 
 
+def _keys(column: pa.ChunkedArray) -> np.ndarray:
+    return np.concatenate([c.flatten().to_numpy(zero_copy_only=False) for c in column.chunks]).reshape(len(column), -1)
+
+
+def _first_met(keys: np.ndarray, bucket: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Whether the bucket that members ``i`` and ``j`` meet in is the smallest that both lie in, so each pair counts once.
+
+    Keys of different sketches that happen to be equal don't count; pairs that meet by them only are kept.
+    """
+    fine = np.zeros(len(i), bool)
+    for at in range(0, len(i), 1 << 13):
+        part = slice(at, at + (1 << 13))
+        own = keys[i[part]]
+        same = own == keys[j[part]]
+        least = np.where(same, own, np.iinfo(np.int64).max).min(axis=1)
+        fine[part] = (least == bucket[i[part]]) | ~same.any(axis=1)
+    return fine
+
+
 def _open_pairs(filed: DataFrame, found: DataFrame, bags: DataFrame, most: int | None, threshold: float) -> DataFrame:
-    """Allowed pairs of texts in one bucket that no links connect so far: all, or about the ``most`` likeliest for two components."""
+    """Allowed pairs of texts in one bucket that no links connect so far: all, or about the ``most`` likeliest for two components.
+
+    Where ``bags`` also has the members' ``keys``, a pair comes out of one of its buckets only.
+    """
     placed = stored(_placed(filed, found).drop("n"), "placed")
     several = placed.groupBy("bucket").agg(F.count("*").alias("crowd"), F.min("own").alias("least"), F.max("own").alias("last")).where("least < last")
     several = several.select("bucket", F.ceil(F.col("crowd") / TILE).cast("int").alias("tiles"))
     dealt = placed.join(several, "bucket").join(bags, "id").withColumn("tile", F.pmod(F.xxhash64("id"), "tiles").cast("int"))
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
     cell = ["bucket", "low", "high"]
-    dealt = dealt.select("bucket", F.least("tile", "other").alias("low"), F.greatest("tile", "other").alias("high"), "tile", "id", "n", "own", "bag")
+    dealt = dealt.select("bucket", F.least("tile", "other").alias("low"), F.greatest("tile", "other").alias("high"), "tile", "own", *bags.columns)
     return dealt.repartition(*cell).sortWithinPartitions(*cell).mapInArrow(_crossed(most, threshold), "a long, b long").distinct()
 
 
@@ -381,6 +403,7 @@ def _crossed(most: int | None, threshold: float):
     def pairs_of(rows: pa.Table) -> Iterator[pa.RecordBatch]:
         bucket, low, high, tile, ids, n, own = (rows.column(c).to_numpy() for c in ("bucket", "low", "high", "tile", "id", "n", "own"))
         bags = _bags(rows.column("bag"))
+        keys = _keys(rows.column("keys")) if "keys" in rows.column_names else None
         new = np.r_[True, (bucket[1:] != bucket[:-1]) | (low[1:] != low[:-1]) | (high[1:] != high[:-1])]
         cell = np.cumsum(new) - 1
         after = np.r_[np.flatnonzero(new)[1:], len(ids)][cell] - np.arange(len(ids)) - 1  # members of the cell that follow
@@ -401,6 +424,9 @@ def _crossed(most: int | None, threshold: float):
                 edits[k : k + len(a)] = least_edits(bags[a], bags[b], n[a], n[b])
             keep = edits <= 2 * _most_edits(n[i], n[j], threshold)
             i, j, edits = i[keep], j[keep], edits[keep]
+            if keys is not None:
+                keep = _first_met(keys, bucket, i, j)
+                i, j, edits = i[keep], j[keep], edits[keep]
             if most is not None and len(i) > most:
                 ends = np.minimum(own[i], own[j]), np.maximum(own[i], own[j])
                 order = np.lexsort((edits, *ends, cell[i]))

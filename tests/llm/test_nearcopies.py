@@ -1,6 +1,7 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -193,3 +194,41 @@ def test_pairs_of_one_large_class(docs, monkeypatch):
     monkeypatch.setattr(nearcopies, "_allowed", counting)
     assert {c.class_size for c in near_copies(docs(texts)).collect()} == {400}
     assert sum(seen) < 4 * len(texts), seen
+
+
+def test_open_pair_comes_out_of_one_of_its_buckets():
+    """Texts that lie together in many buckets and don't link are one pair, not one in each bucket."""
+    r = np.random.default_rng(6)
+    n, shared = 40, r.integers(-(1 << 62), 1 << 62, nearcopies.SKETCHES)
+    keys = r.integers(-(1 << 62), 1 << 62, (n, nearcopies.SKETCHES))
+    for i in range(n):
+        at = r.choice(nearcopies.SKETCHES, 30, replace=False)
+        keys[i, at] = shared[at]
+    keys[0] = shared
+    bag = nearcopies.bag(r.integers(0, 1 << 62, 50).astype(np.uint64)).tobytes()
+    rows = [{"bucket": b, "low": 0, "high": 0, "tile": 0, "own": i, "id": i, "n": 50, "bag": bag, "keys": keys[i]} for b in shared for i in range(n) if b in keys[i]]
+    batch = pa.RecordBatch.from_pylist(rows)
+    got = [(a, b) for out in nearcopies._crossed(None, 0.8)([batch.slice(0, 500), batch.slice(500)]) for a, b in zip(*(c.to_pylist() for c in out.columns), strict=True)]
+    want = {(a, b) for a in range(n) for b in range(a + 1, n) if (keys[a] == keys[b]).any()}
+    assert len(want) > 700 and sorted(got) == sorted(want)
+
+
+def test_components_end_with_stars(spark, monkeypatch):
+    """Components that are stars already take no round, and a round takes no more tasks than its edges need."""
+    from gridweave.llm import components as module
+
+    names, stored = [], module.stored
+
+    def counting(df, name):
+        out = stored(df, name)
+        names.append((name, len(out.inputFiles())))
+        return out
+
+    monkeypatch.setattr(module, "stored", counting)
+    star = spark.createDataFrame([(i % 7, i + 10) for i in range(300)], "a long, b long")
+    assert {(x.node, x.component) for x in components(star).collect()} == {(i + 10, i % 7) for i in range(300)} | {(i, i) for i in range(7)}
+    assert [n for n, _ in names] == ["edges"]
+    names.clear()
+    path = spark.createDataFrame([(i, i + 1) for i in range(40)], "a long, b long")
+    assert {x.component for x in components(path).collect()} == {0}
+    assert len(names) > 1 and max(files for name, files in names[1:]) <= module.TASKS
