@@ -18,7 +18,7 @@ LENGTH = 50
 GRAM = 20
 BATCH_BYTES = 8 << 20  # of text that one group holds on average
 BUCKET_BYTES = 4 << 20  # of text whose anchors one bucket holds on average
-CHUNK = 1 << 20  # bytes worked on at once
+CHUNK = 1 << 18  # bytes worked on at once
 NO_KEY = np.iinfo(np.int64).max
 
 
@@ -185,18 +185,19 @@ def _find(buckets: int):
         found = [(g, a, batch.keys[r]) for r, _, g, a, _, _ in batch.anchors()]
         out = []
         if found:
-            grams, around, keys = (np.concatenate(x) for x in zip(*found, strict=True))
-            order = np.lexsort((keys, around, grams))
-            grams, around, keys = grams[order], around[order], keys[order]
-            first = _firsts(grams, around)
-            last = np.r_[first[1:], len(keys)] - 1
-            grams, least = grams[first], keys[first]
-            around = around[first] | (keys[last] != least).astype(np.uint64)
+            all_grams, all_around, all_keys = (np.concatenate(x) for x in zip(*found, strict=True))
+            found.clear()
             number = rows.column("batch")[0].as_py()
-            for bucket, part in _pieces(len(grams), _bucket(grams, buckets)):
-                low = grams[part] & np.uint64((1 << 40) - 1)
+            for bucket, part in _pieces(len(all_grams), _bucket(all_grams, buckets)):
+                grams, around, keys = all_grams[part], all_around[part], all_keys[part]
+                order = np.lexsort((keys, around, grams))
+                grams, around, keys = grams[order], around[order], keys[order]
+                first = _firsts(grams, around)
+                last = np.r_[first[1:], len(keys)] - 1
+                low, least = grams[first] & np.uint64((1 << 40) - 1), keys[first]
+                around = around[first] | (keys[last] != least).astype(np.uint64)
                 packed = low.astype("<u4").tobytes() + (low >> np.uint64(32)).astype("u1").tobytes()
-                out.append({"batch": number, "bucket": bucket, "grams": packed, "around": around[part].astype("<u8").tobytes(), "least": _planes(least[part])})
+                out.append({"batch": number, "bucket": bucket, "grams": packed, "around": around.astype("<u8").tobytes(), "least": _planes(least)})
         return pa.Table.from_pylist(out, _FOUND_SCHEMA)
 
     return run
@@ -260,17 +261,19 @@ def _surround(buckets: int):
         out = []
         if rows.num_rows and answers.num_rows:
             batch, number = Batch(rows), rows.column("batch")[0].as_py()
+            kept = []
             for row, _, grams, left, right, least, varied in _matched(batch, answers):
                 held = np.flatnonzero(varied & (batch.keys[row] == least))
-                row, grams, left, right = row[held], grams[held], left[held], right[held]
-                for bucket, part in _pieces(len(row), _bucket(grams, buckets)):
-                    data = b"".join(batch.texts[r][a:b] for r, a, b in zip(row[part].tolist(), left[part].tolist(), right[part].tolist(), strict=True))
-                    out.append(
-                        {
-                            "bucket": bucket, "batch": number, "grams": grams[part].astype("<u8").tobytes(), "rows": row[part].astype("<i4").tobytes(),
-                            "keys": _planes(batch.keys[row[part]]), "at": _planes(left[part]), "sizes": (right - left)[part].astype("u1").tobytes(), "data": data,
-                        }
-                    )
+                kept.append((row[held], grams[held], left[held], right[held]))
+            row, grams, left, right = (np.concatenate(x) for x in zip(*kept, strict=True)) if kept else [np.zeros(0, np.int64)] * 4
+            for bucket, part in _pieces(len(row), _bucket(grams, buckets) if len(row) else row):
+                data = b"".join(batch.texts[r][a:b] for r, a, b in zip(row[part].tolist(), left[part].tolist(), right[part].tolist(), strict=True))
+                out.append(
+                    {
+                        "bucket": bucket, "batch": number, "grams": grams[part].astype("<u8").tobytes(), "rows": row[part].astype("<i4").tobytes(),
+                        "keys": _planes(batch.keys[row[part]]), "at": _planes(left[part]), "sizes": (right - left)[part].astype("u1").tobytes(), "data": data,
+                    }
+                )
         return pa.Table.from_pylist(out, _AROUND_SCHEMA)
 
     return run
